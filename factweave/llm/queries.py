@@ -19,6 +19,13 @@ def p5_found(spark, d):
     return fact_groups(table(spark, d, "relationships"), table(spark, d, "facts"), Scratch(spark, "p5"))
 
 
+def p6_found(spark, d):
+    """Entity that a fact without one names."""
+    from factweave.llm.names import found_entities
+
+    return found_entities(table(spark, d, "facts"), table(spark, d, "entities"), Scratch(spark, "p6"))
+
+
 def p8_ids(spark, d):
     """Token ids of every document."""
     from factweave.llm.tokenize import encode_documents
