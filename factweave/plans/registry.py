@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from factweave.plans import problems
+
 
 def flagship(spark, sf_dir):
     return queries()["reconcile_orders"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return problems.queries()
 
 
 def oracle_sql():
