@@ -86,7 +86,7 @@ def currency(s: str | None) -> tuple[str | None, str]:
 
 
 def words(s: str) -> list[str]:
-    return [w for w in (x.strip(".,;:()") for x in re.split(r"\s+", s)) if w]
+    return [w for w in (x.strip(".,;:()-−–") for x in re.split(r"\s+", s)) if w]
 
 
 def scale_and_phrase(s: str, money: bool) -> tuple[float | None, str]:
@@ -94,7 +94,7 @@ def scale_and_phrase(s: str, money: bool) -> tuple[float | None, str]:
     scale, rest = None, []
     for w in words(s):
         f = SCALES.get(w.lower()) or (LETTERS.get(w.lower()) if money else None)
-        if f and not (w.lower() in ("million", "thousand") and rest):
+        if f and rest != ["per"]:
             scale = (scale or 1.0) * f
         else:
             rest.append(w)
