@@ -12,6 +12,20 @@ def p2_found(spark, d):
     return found_lines(table(spark, d, "pages"), table(spark, d, "document_files"), Scratch(spark, "p2"))
 
 
+def p3_found(spark, d):
+    """Broken words, running lines, page numbers and misread words of pages."""
+    from factweave.llm.scans import Scan
+
+    return Scan(table(spark, d, "pages"), Scratch(spark, "p3")).found()
+
+
+def p3_pages(spark, d):
+    """Every page as repaired paragraphs."""
+    from factweave.llm.scans import Scan
+
+    return Scan(table(spark, d, "pages"), Scratch(spark, "p3")).repaired()
+
+
 def p5_found(spark, d):
     """Group of each fact that corroborating relationships link to another."""
     from factweave.llm.components import fact_groups
