@@ -34,3 +34,10 @@ reach(v, w) AS (
 )
 SELECT v AS fact_id, min(w) AS group_id FROM reach GROUP BY 1
 """
+
+SQL["p1_found"] = r"""
+WITH big AS (SELECT id, block_ids_json FROM chunks WHERE length(text) // 4 > 800),
+ids AS (SELECT DISTINCT id, unnest(from_json(block_ids_json, '["VARCHAR"]')) AS block_id FROM big WHERE json_valid(block_ids_json)),
+inner_blocks AS (SELECT i.id, i.block_id FROM ids i JOIN blocks b ON b.id = i.block_id WHERE length(b.text) // 4 > 800)
+SELECT DISTINCT b.id AS chunk_id, coalesce(i.block_id, '') AS block_id FROM big b LEFT JOIN inner_blocks i ON i.id = b.id
+"""

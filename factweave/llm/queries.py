@@ -5,6 +5,20 @@ from __future__ import annotations
 from factweave.session import Scratch, table
 
 
+def p1_found(spark, d):
+    """Chunks beyond the token limit and their blocks beyond it."""
+    from factweave.llm.splitting import found_oversized
+
+    return found_oversized(table(spark, d, "chunks"), table(spark, d, "blocks"), Scratch(spark, "p1"))
+
+
+def p1_pieces(spark, d):
+    """All chunks as pieces within the token limit."""
+    from factweave.llm.splitting import all_pieces
+
+    return all_pieces(table(spark, d, "chunks"), table(spark, d, "blocks"), Scratch(spark, "p1"))
+
+
 def p2_found(spark, d):
     """Occurrences of lines repeated across a publisher's files."""
     from factweave.llm.boilerplate import found_lines
