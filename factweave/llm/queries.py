@@ -61,6 +61,20 @@ def p8_ids(spark, d):
     return encode_documents(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def p9_found(spark, d):
+    """Documents and evaluation items that share a run of words."""
+    from factweave.llm.leakage import shared_runs
+
+    return shared_runs(table(spark, d, "documents"), table(spark, d, "eval_items"), Scratch(spark, "p9"))
+
+
+def p9_report(spark, d):
+    """Leaks of evaluation items, verbatim or paraphrased, with or without the answer."""
+    from factweave.llm.leakage import leak_report
+
+    return leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"), Scratch(spark, "p9"))
+
+
 def p10_found(spark, d):
     """Pairs of documents whose different texts look the same."""
     from factweave.llm.lookalike import lookalike_pairs
