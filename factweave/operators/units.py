@@ -53,11 +53,13 @@ _SIGN = re.compile("|".join(map(re.escape, SIGNS)))
 _SPACE = "     "
 _NUMBER = re.compile(rf"\d(?:[\d.,'’]|[{_SPACE}](?=\d{{3}}(?!\d)))*")
 _VAGUE = re.compile(r"^(?:about|approx(?:imately)?\.?|some|around|circa|ca\.?|roughly|nearly|almost|over|under|~|≈)(?=[\s\d(~+\-−$€£¥₹]|$)\s*", re.I)
+_DIGITLIKE = tuple("0123456789.,")
 _TAIL = re.compile(r"\s+(?:in total|at [A-Z][^.]*)?\.?\s*$")
 
 READ = T.StructType([T.StructField("number", T.DoubleType()), T.StructField("scale", T.DoubleType()), T.StructField("phrase", T.StringType()), T.StructField("currency", T.StringType())])
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def number(s: str) -> float | None:
     """The value of a written number: grouping by comma, point, apostrophe or a
     space; a comma before one or two final digits only is a decimal comma."""
@@ -74,6 +76,7 @@ def number(s: str) -> float | None:
         return None
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def currency(s: str | None) -> tuple[str | None, str]:
     """The currency a text states, and the text without it."""
     if not s:
@@ -89,6 +92,7 @@ def words(s: str) -> list[str]:
     return [w for w in (x.strip(".,;:()-−–") for x in re.split(r"\s+", s)) if w]
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def scale_and_phrase(s: str, money: bool) -> tuple[float | None, str]:
     """The scale words of a text and what is left, the unit phrase."""
     scale, rest = None, []
@@ -118,6 +122,7 @@ def split_value(v: str) -> tuple[str, float, str] | None:
     return head, n, tail
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def norm(phrase: str) -> str:
     """A unit phrase in the form of the table; letter case is dropped where it doesn't tell units apart."""
     return re.sub(r"\s+", " ", phrase).strip().lower()
@@ -131,12 +136,13 @@ def beside(quote: str | None, value: str) -> str:
     m = _NUMBER.search(value)
     if not m:
         return ""
-    q = _TAIL.sub("", unicodedata.normalize("NFC", quote))
-    at = -1
-    for k in re.finditer(r"(?<![\d.,])" + re.escape(m[0]) + r"(?!\d)", q):
-        at = k.start()
+    q = unicodedata.normalize("NFC", quote)
+    at = q.rfind(m[0])
+    while at >= 0 and (q[at - 1 : at] in _DIGITLIKE and at > 0 or q[at + len(m[0]) : at + len(m[0]) + 1].isdigit()):
+        at = q.rfind(m[0], 0, at)
     if at < 0:
         return ""
+    q = _TAIL.sub("", q[: at + 80])
     head, tail = q[:at], q[at + len(m[0]) :]
     h = re.search(r"(\S*)[\s(−-]*$", head)
     return (h[1] if h and currency(h[1])[0] else "") + " " + tail.lstrip(" )")
@@ -151,7 +157,6 @@ def read_amount(value: str | None, unit: str | None, cur: str | None, quote: str
     if not v:
         return None
     head, n, tail = v
-    near = beside(quote, value)
     money, own = currency(head + " " + tail)
     from_unit, unit_rest = currency(unit)
     if not money and not head.strip() and norm(own) in KNOWN and norm(own) not in LETTERS:
@@ -166,11 +171,12 @@ def read_amount(value: str | None, unit: str | None, cur: str | None, quote: str
         s, phrase = scale_and_phrase(own, False)
         if unit and unit.strip() and not phrase:
             us, up = scale_and_phrase(unit, False)
-            if up and norm(up) in KNOWN and not (norm(up) in LETTERS and currency(near)[0]):
+            if up and norm(up) in KNOWN and not (norm(up) in LETTERS and currency(beside(quote, value))[0]):
                 return n, s or us or 1.0, norm(up), None
             if up and norm(up) not in LETTERS:
                 return n, s or us or 1.0, norm(up), None
-        quoted, near_rest = currency(near)
+        near = beside(quote, value)
+        quoted = currency(near)[0]
         if quoted:
             stated = quoted
         else:
@@ -185,7 +191,7 @@ def read_amount(value: str | None, unit: str | None, cur: str | None, quote: str
         if unit_rest.strip():
             s, _ = scale_and_phrase(unit_rest, True)
         elif not (unit and unit.strip()):
-            s, _ = scale_and_phrase(currency(near)[1], True)
+            s, _ = scale_and_phrase(currency(beside(quote, value))[1], True)
     return n, s or 1.0, None, stated
 
 
