@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factweave.plans import problems
+from factweave.plans import problems, reference
 
 
 def flagship(spark, sf_dir):
@@ -10,8 +10,8 @@ def flagship(spark, sf_dir):
 
 
 def queries():
-    return problems.queries()
+    return reference.QUERIES | problems.queries()
 
 
 def oracle_sql():
-    return {}
+    return dict(reference.SQL)
