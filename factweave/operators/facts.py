@@ -42,7 +42,7 @@ def dedup_key(value: str = "normalized_numeric_value", unit: str = "normalized_u
     return {
         "k_subject": F.coalesce(filled(F.col("entity_id")), folded(F.col("subject"))),
         "k_predicate": folded(F.col("predicate")),
-        "k_value": F.coalesce(F.round(value, 6).cast("string"), folded(F.col("value_text"))),
+        "k_value": F.coalesce(F.concat(F.lit("number "), F.round(value, 6).cast("string")), F.concat(F.lit("text "), folded(F.col("value_text")))),
         "k_unit": folded(F.coalesce(filled(F.col(unit)), filled(F.col("unit")), filled(F.col("currency")))),
         "k_time": folded(F.col(time)), "k_start": F.coalesce(start, F.lit("")), "k_end": F.coalesce(end, F.lit("")),
         "k_scope": folded(F.col("scope")), "k_geo": folded(F.col("geography")), "k_quals": F.array_join(F.array_sort(json_list(F.col("qualifiers_json"))), "\u0001"),

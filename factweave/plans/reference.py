@@ -419,7 +419,7 @@ _LIST = "CASE WHEN json_valid({x}) AND json_type({x}) = 'ARRAY' THEN from_json({
 
 
 @query(f"""
-WITH k AS (SELECT *, coalesce(nullif(entity_id, ''), {folded_sql('subject')}) AS k1, {folded_sql('predicate')} AS k2, round(normalized_numeric_value, 6) AS k3, CASE WHEN normalized_numeric_value IS NULL THEN {folded_sql('value_text')} END AS k4,
+WITH k AS (SELECT *, coalesce(nullif(entity_id, ''), {folded_sql('subject')}) AS k1, {folded_sql('predicate')} AS k2, normalized_numeric_value::DECIMAL(30,6) AS k3, CASE WHEN normalized_numeric_value IS NULL THEN {folded_sql('value_text')} END AS k4,
   {folded_sql("coalesce(nullif(normalized_unit, ''), nullif(unit, ''), nullif(currency, ''))")} AS k5, {folded_sql('time_text')} AS k6, coalesce(time_start, '') AS k7, coalesce(time_end, '') AS k8, {folded_sql('scope')} AS k9, {folded_sql('geography')} AS k10,
   array_to_string(list_sort({_LIST.format(x='qualifiers_json')}), chr(1)) AS k11, {_LIST.format(x='source_block_ids_json')} AS bl, {_LIST.format(x='extraction_notes_json')} AS nl FROM facts),
 q AS (SELECT document_id, k1, k2, k3, k4, k5, k6, k7, k8, k9, k10, k11, source_quote, min(seq) AS s FROM k WHERE source_quote <> '' GROUP BY ALL),
