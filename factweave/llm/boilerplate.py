@@ -28,7 +28,7 @@ def line_key(line: Column) -> Column:
     space, runs of digits and everything outside the first and last letter or
     digit are ignored."""
     k = F.lower(line)
-    k = F.regexp_replace(k, r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", "")
+    k = F.regexp_replace(k, r"^[^\p{L}\p{Nd}]+|(?<![^\p{L}\p{Nd}])[^\p{L}\p{Nd}]+$", "")
     k = F.regexp_replace(k, r"\p{Nd}+", "0")
     return F.regexp_replace(k, r"(?U)\s+", " ")
 
@@ -94,12 +94,13 @@ def without_lines(texts: DataFrame, key: str, text: str, publisher: str, nodes:
     on exploded digests, and only digests that hit come back. Null texts stay
     null, texts without boilerplate stay as they are.
     """
-    rows = texts.withColumn("__row", F.monotonically_increasing_id())
+    row = next(c for c in (f"__row{i}" for i in range(len(texts.columns) + 1)) if c not in texts.columns)
+    rows = texts.withColumn(row, F.monotonically_increasing_id())
     split = F.split(F.col(text), "\n", -1)
-    node = lambda line: _digest(F.concat_ws("\x00", F.col(publisher), line_key(line)))
-    lines = rows.where(F.col(text).isNotNull() & F.col(publisher).isNotNull()).select("__row", publisher, F.posexplode(split).alias("n", "line"))
-    lines = lines.where(letters(F.col("line")) >= min_letters).select("__row", "n", node(F.col("line")).alias("node"))
-    hit = lines.join(nodes.select("node"), "node", "left_semi").groupBy("__row").agg(F.collect_set("n").alias("gone"))
-    out = rows.join(hit, "__row", "left")
-    kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("gone"), i))
-    return out.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).withColumn("removed", F.coalesce(F.size("gone"), F.lit(0))).drop("__row", "gone")
+    lines = rows.where(F.col(text).isNotNull() & F.col(publisher).isNotNull()).select(F.col(row).alias("row"), F.col(publisher).alias("publisher"), F.posexplode(split).alias("n", "line"))
+    lines = lines.where(letters(F.col("line")) >= min_letters).select("row", "n", _digest(F.concat_ws("\x00", "publisher", line_key(F.col("line")))).alias("node"))
+    hit = lines.join(nodes.select("node"), "node", "left_semi").groupBy(F.col("row").alias(row)).agg(F.collect_set("n").alias(row + "_gone"))
+    out = rows.join(hit, row, "left")
+    gone = F.col(row + "_gone")
+    kept = F.filter(split, lambda line, i: ~F.array_contains(gone, i))
+    return out.withColumn(text, F.when(gone.isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).withColumn("removed", F.coalesce(F.size(gone), F.lit(0))).drop(row, row + "_gone")

@@ -83,7 +83,7 @@ def fact_groups(relationships: DataFrame, facts: DataFrame, scratch, kind: str =
     Null ends or types, self pairs, repeated pairs and ends that are not in
     ``facts`` make no link.
     """
-    links = relationships.where(F.lower(F.regexp_replace("relationship_type", r"(?U)^\s+|\s+$", "")) == kind)
+    links = relationships.where(F.lower(F.regexp_replace("relationship_type", r"(?U)^\s+|(?<!\s)\s+$", "")) == kind)
     links = links.where("fact_a_id <> fact_b_id").select(F.least("fact_a_id", "fact_b_id").alias("a"), F.greatest("fact_a_id", "fact_b_id").alias("b")).distinct()
     known = facts.select(F.col("id")).where("id is not null")
     links = links.join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi")

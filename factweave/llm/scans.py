@@ -50,7 +50,7 @@ PAGE_NO = r"(?i)^(?:(?:page|p\.|pg\.?|seite|pagina|página|стр\.)\s*)?[\[(–
 
 def lines_of(text: Column) -> Column:
     """Lines of a text without white space at the end (a carriage return is such)."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    return F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)(?<!\s)\s+$", ""))
 
 
 def page_frame(pages: DataFrame) -> DataFrame:
@@ -96,7 +96,8 @@ def running_lines(outer: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 def _whole(lines: Column) -> Column:
     """Lines without the parts of words that a line end breaks."""
     ends = rf"[\p{{L}}\p{{Nd}}][{HYPHEN}]$"
-    cut = F.transform(lines, lambda x: F.regexp_replace(x, rf"(\S*[\p{{L}}\p{{Nd}}])[{HYPHEN}]$", ""))
+    # bounded and anchored by what precedes, so that a very long word or gap costs no more than its length
+    cut = F.transform(lines, lambda x: F.regexp_replace(x, rf"\S{{0,80}}[\p{{L}}\p{{Nd}}][{HYPHEN}]$", ""))
     return F.transform(cut, lambda x, i: F.when((i > 0) & F.get(lines, i - 1).rlike(ends), F.regexp_replace(x, r"^\s*\S+", "")).otherwise(x))
 
 
@@ -105,7 +106,7 @@ def tokens(frame: DataFrame) -> DataFrame:
     before on the line, ``start`` tells whether a sentence or line starts there."""
     per_line = frame.select("page_id", F.posexplode(_whole(F.col("lines"))).alias("i", "line")).where(F.col("line").rlike(r"\p{L}"))
     sentence = F.regexp_extract_all("line", F.lit(r'([.!?:;|>*)(“"]\s*)?(' + WORD + ")"), 0)
-    words = F.filter(F.transform(sentence, lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, WORD + "$", 0), r"[|!@$'’]+$", "").alias("w"), x.rlike(r"^[^\p{L}\p{Nd}]").alias("s"))), lambda s: F.length(s["w"]) <= MAX_WORD)
+    words = F.filter(F.transform(sentence, lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, WORD + "$", 0), r"(?<![|!@$'’])[|!@$'’]+$", "").alias("w"), x.rlike(r"^[^\p{L}\p{Nd}]").alias("s"))), lambda s: F.length(s["w"]) <= MAX_WORD)
     t = per_line.select("page_id", (F.col("i") + 1).alias("line_no"), words.alias("ws"))
     pair = F.transform("ws", lambda s, i: F.struct(F.when((i > 0) & ~s["s"], F.lower(F.get(F.col("ws"), i - 1)["w"])).alias("prev"), s["w"].alias("word"), ((i == 0) | s["s"]).alias("start")))
     t = t.select("page_id", "line_no", F.explode(pair).alias("x")).select("page_id", "line_no", "x.*")
@@ -190,8 +191,8 @@ def pick(tok: DataFrame, fixes: DataFrame, scratch) -> DataFrame:
 
 def broken_words(frame: DataFrame, lex: DataFrame, fixes: DataFrame) -> DataFrame:
     """(page_id, line_no) of lines that end inside a word without a hyphen of its own there."""
-    tail = rf"([\p{{L}}'\u2019]+)([{HYPHEN}])$"
-    head = r"^\s*([\p{L}'\u2019]+)"
+    tail = rf"([\p{{L}}'\u2019]{{1,64}})([{HYPHEN}])$"
+    head = r"^\s*([\p{L}'\u2019]{1,64})"
     pair = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), F.regexp_extract(x, tail, 1).alias("a"), F.regexp_extract(x, tail, 2).alias("h"), F.regexp_extract(F.coalesce(F.get("lines", i + 1), F.lit("")), head, 1).alias("b")))
     p = frame.select("page_id", F.explode(F.filter(pair, lambda s: (s["a"] != "") & (s["b"] != ""))).alias("s")).select("page_id", "s.*")
     p = p.where(F.col("b").rlike(r"^\p{Ll}") | F.col("a").rlike(r"^\p{Lu}{2,}$")).withColumns({"a": F.lower("a"), "b": F.lower("b")})

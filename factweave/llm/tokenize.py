@@ -168,15 +168,16 @@ def encode_documents(df: DataFrame, text: str = "text", out: str = "ids", vocabu
     short = df.where(is_long.isNull() | ~is_long).select(*keep, ids_of(F.col(text)).alias(out))
 
     cut = F.udf(lambda t: [(k, t[a:b], h) for k, (a, b, h) in enumerate(cut_points(t, segment_chars))], "array<struct<k:int,t:string,h:boolean>>")
+    row = next(c for c in (f"__row{i}" for i in range(len(df.columns) + 1)) if c not in df.columns)
     # the row number names a row even where keys repeat or are null; a scan numbers its rows alike when a task is run again
-    rows = df.where(is_long).withColumn("__row", F.monotonically_increasing_id())
-    segments = rows.select("__row", F.explode(cut(F.col(text))).alias("s")).select("__row", "s.*").repartition("__row", "k")
+    rows = df.where(is_long).withColumn(row, F.monotonically_increasing_id())
+    segments = rows.select(F.col(row).alias("row"), F.explode(cut(F.col(text))).alias("s")).select("row", "s.*").repartition("row", "k")
 
-    def together(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def together(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         ids = concat(encoder(path), list(pdf.t), [[int(i) for i in x] for x in pdf.ids], list(pdf.h))
-        return pd.DataFrame({"__row": [key[0]], out: [ids]})
+        return pd.DataFrame({row: [key[0]], out: [ids]})
 
     # one group holds the segments of one text, which was one value of one row before
-    joined = segments.withColumn("ids", ids_of(F.col("t"))).groupBy("__row").applyInPandas(together, T.StructType([T.StructField("__row", T.LongType()), T.StructField(out, IDS)]))
-    return short.unionByName(rows.select("__row", *keep).join(joined, "__row").select(*keep, out))
+    joined = segments.withColumn("ids", ids_of(F.col("t"))).groupBy("row").applyInPandas(together, T.StructType([T.StructField(row, T.LongType()), T.StructField(out, IDS)]))
+    return short.unionByName(rows.select(row, *keep).join(joined, row).select(*keep, out))
