@@ -26,6 +26,21 @@ def p2_found(spark, d):
     return found_lines(table(spark, d, "pages"), table(spark, d, "document_files"), Scratch(spark, "p2"))
 
 
+def p2_clean(spark, d):
+    """Every page and block without the repeated lines of its publisher."""
+    from pyspark.sql import functions as F
+
+    from factweave.llm.boilerplate import boilerplate, without_lines
+
+    pages, files = table(spark, d, "pages"), table(spark, d, "document_files")
+    nodes, _ = boilerplate(pages, files, Scratch(spark, "p2"))
+    owner = files.select(F.col("id").alias("document_id"), "publisher").where("document_id is not null").groupBy("document_id").agg(F.min("publisher").alias("publisher"))
+    owned = pages.select("id", "document_id", "raw_text").join(owner, "document_id", "left")
+    blocks = table(spark, d, "blocks").select("id", "page_id", "text").join(owned.select(F.col("id").alias("page_id"), "publisher"), "page_id", "left")
+    texts = owned.select(F.lit("page").alias("kind"), "id", "publisher", F.col("raw_text").alias("text")).unionByName(blocks.select(F.lit("block").alias("kind"), "id", "publisher", "text"))
+    return without_lines(texts, "id", "text", "publisher", nodes).select("kind", "id", "text", "removed")
+
+
 def p3_found(spark, d):
     """Broken words, running lines, page numbers and misread words of pages."""
     from factweave.llm.scans import Scan
@@ -83,6 +98,13 @@ def p10_found(spark, d):
     return pairs.withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
 
 
+def p10_texts(spark, d):
+    """Every document in the one form of its text."""
+    from factweave.llm.lookalike import canonical
+
+    return table(spark, d, "documents").select("doc_id", canonical("text").alias("text"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
