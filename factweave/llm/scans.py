@@ -45,6 +45,8 @@ EDGE, MIN_PAGES = 3, 3
 HYPHEN = "-\\u2010\\u00ad\\u00ac"
 # one class without alternatives, which Java would match by recursion on a very long word
 WORD = r"[\p{L}\p{Nd}][\p{L}\p{Nd}|!@$'’]*"
+#: What stands before the first word of a sentence or cell.
+OPENERS = '.!?:;|>*)(“"'
 PAGE_NO = r"(?i)^(?:(?:page|p\.|pg\.?|seite|pagina|página|стр\.)\s*)?[\[(–-]*\s*(\d{1,6})\s*(?:(?:/|of|von|de|sur)\s*\d{1,6}\s*)?[\])–-]*$"
 
 
@@ -79,8 +81,9 @@ def _without_number(line: Column, page: Column) -> Column:
     k = F.lower(F.regexp_replace(line, r"(?U)\s+", " "))
     k = F.regexp_replace(k, r"(?:^| )(?:page|p\.|pg\.?|seite) ?\d{1,6}(?: ?(?:/|of|von) ?\d{1,6})?(?= |$)", " ")
     p = F.coalesce(page.cast("string"), F.lit("x"))
-    k = F.regexp_replace(k, F.concat(F.lit("(?:^|(?<= ))[\\[(-]? ?"), p, F.lit(" ?(?:(?:/|of|von) ?\\d{1,6})? ?[\\])-]?$")), " ")
-    k = F.regexp_replace(k, F.concat(F.lit("^[\\[(-]? ?"), p, F.lit(" ?[\\])-]? ")), " ")
+    last, first = r"(?:^|(?<= ))[\[(-]? ?(\d{1,6}) ?(?:(?:/|of|von) ?\d{1,6})? ?[\])-]?$", r"^[\[(-]? ?(\d{1,6}) ?[\])-]? "
+    k = F.when(F.regexp_extract(k, last, 1) == p, F.regexp_replace(k, last, " ")).otherwise(k)
+    k = F.when(F.regexp_extract(k, first, 1) == p, F.regexp_replace(k, first, " ")).otherwise(k)
     return F.regexp_replace(k, r"(?U)\s+", "")
 
 
@@ -105,12 +108,15 @@ def tokens(frame: DataFrame) -> DataFrame:
     """(page_id, line_no, prev, word, lower, start) of whole words; ``prev`` is the word
     before on the line, ``start`` tells whether a sentence or line starts there."""
     per_line = frame.select("page_id", F.posexplode(_whole(F.col("lines"))).alias("i", "line")).where(F.col("line").rlike(r"\p{L}"))
-    sentence = F.regexp_extract_all("line", F.lit(r'([.!?:;|>*)(“"]\s*)?(' + WORD + ")"), 0)
-    words = F.filter(F.transform(sentence, lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, WORD + "$", 0), r"(?<![|!@$'’])[|!@$'’]+$", "").alias("w"), x.rlike(r"^[^\p{L}\p{Nd}]").alias("s"))), lambda s: F.length(s["w"]) <= MAX_WORD)
-    t = per_line.select("page_id", (F.col("i") + 1).alias("line_no"), words.alias("ws"))
-    pair = F.transform("ws", lambda s, i: F.struct(F.when((i > 0) & ~s["s"], F.lower(F.get(F.col("ws"), i - 1)["w"])).alias("prev"), s["w"].alias("word"), ((i == 0) | s["s"]).alias("start")))
-    t = t.select("page_id", "line_no", F.explode(pair).alias("x")).select("page_id", "line_no", "x.*")
-    return t.withColumn("lower", F.lower("word"))
+    # arrays are only cut and shifted; all work on words is done by scalar expressions after the explode
+    raw = F.regexp_extract_all("line", F.lit(rf'(?:[{OPENERS}]\s*)?' + WORD), F.lit(0))
+    t = per_line.select("page_id", (F.col("i") + 1).alias("line_no"), raw.alias("ws"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("ws", F.lit(1), F.greatest(F.lit(0), F.size("ws") - 1)))
+    t = t.select("page_id", "line_no", F.explode(F.arrays_zip(before.alias("p"), F.col("ws").alias("w"))).alias("x")).select("page_id", "line_no", F.col("x.p").alias("p"), F.col("x.w").alias("w"))
+    word = lambda c: F.rtrim(F.ltrim(c, F.lit(OPENERS + " \t\u00a0")), F.lit("|!@$'’"))
+    opened = F.instr(F.lit(OPENERS), F.substring("w", 1, 1)) > 0
+    t = t.select("page_id", "line_no", F.when(~opened, F.lower(word(F.col("p")))).alias("prev"), word(F.col("w")).alias("word"), (F.col("p").isNull() | opened).alias("start"))
+    return t.where(F.length("word") <= MAX_WORD).withColumn("lower", F.lower("word"))
 
 
 def plain(word: Column, start: Column) -> Column:
