@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.text import collapse, filled, literal_map, strip
+from factweave.session import once
 
 # Words and letters of magnitude.
 MAGNITUDES = {
@@ -17,47 +18,89 @@ SIGNS = [("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "IN
 CODES = ["aud", "cad", "chf", "cny", "eur", "gbp", "inr", "jpy", "krw", "nok", "sek", "usd"]
 
 
-def numeric(value: Column, unit: Column, currency: Column, kind: Column) -> Column:
-    """struct(raw, normalized, unit, normalized_unit, currency, value_type) (N-1).
+_WORD = r"(?U)\b(" + "|".join(CODES) + r")\b"
+_NUMBER = r"(\d+(?:\.\d+)?)"
+_RATIO = rf"^\s*{_NUMBER}\s*:\s*{_NUMBER}\s*$"
 
-    The last currency sign found wins over the declared currency, and the last
-    code, in order of the alphabet, over both. A percentage is divided by 100 only
-    if it is over 1. Magnitude words multiply; an attached letter counts only
-    without them. Null and blank texts keep what was declared.
-    """
+
+def _marks(value: Column, unit: Column, currency: Column, kind: Column) -> dict[str, Column]:
+    """Currency, percentage and the text without either."""
     text = strip(F.coalesce(value, F.lit("")))
     t = F.lower(text)
     sign = F.coalesce(*(F.when(F.contains(t, F.lit(s)), c) for s, c in reversed(SIGNS)))
     t = F.regexp_replace(t, r"[$€£¥₹₩]|chf", " ")
-    word = r"(?U)\b(" + "|".join(CODES) + r")\b"
-    code = F.upper(F.array_max(F.regexp_extract_all(t, F.lit(word), 1)))
-    cur = F.coalesce(code, sign, currency)
-    t = F.regexp_replace(t, word, " ")
+    code = F.upper(F.array_max(F.regexp_extract_all(t, F.lit(_WORD), 1)))
+    t = F.regexp_replace(t, _WORD, " ")
     pct = F.coalesce(t.rlike("%|percent|pct"), F.lit(False)) | F.coalesce(kind == "percentage", F.lit(False)) | F.coalesce(F.contains(unit, F.lit("%")), F.lit(False))
-    t = F.regexp_replace(t, "%|percentage|percent|pct", " ")
-    number = r"(\d+(?:\.\d+)?)"
-    ratio = rf"^\s*{number}\s*:\s*{number}\s*$"
-    is_ratio = t.rlike(ratio)
-    quotient = F.try_divide(F.regexp_extract(t, ratio, 1).try_cast("double"), F.regexp_extract(t, ratio, 2).try_cast("double"))
-    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
-    table = literal_map(MAGNITUDES)
-    size = lambda w: F.try_element_at(table, F.regexp_replace(w, r"^[.,;:()]+|[.,;:()]+$", ""))
-    times = F.aggregate(F.transform(words, size), F.lit(1.0), lambda a, x: a * F.coalesce(x, F.lit(1.0)))
-    rest = F.array_join(F.filter(words, lambda w: size(w).isNull()), " ")
-    suffix = F.try_element_at(table, filled(F.regexp_extract(rest, r"\d+(?:\.\d+)?\s*([kmbt])\b", 1)))
-    times = F.when(times == 1.0, F.coalesce(suffix, F.lit(1.0))).otherwise(times)
+    return {"blank": text == "", "cur": F.coalesce(code, sign, currency), "pct": pct, "t": F.regexp_replace(t, "%|percentage|percent|pct", " ")}
+
+
+def _magnitude(word: Column) -> Column:
+    return F.try_element_at(literal_map(MAGNITUDES), F.regexp_replace(word, r"^[.,;:()]+|[.,;:()]+$", ""))
+
+
+def _words(t: Column) -> dict[str, Column]:
+    """Words with their magnitudes."""
+    return {"ws": F.transform(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""), lambda w: F.struct(w.alias("w"), _magnitude(w).alias("m")))}
+
+
+def _parts(ws: Column) -> dict[str, Column]:
+    """The product of the magnitudes, and the words that are none."""
+    return {"times": F.aggregate(ws, F.lit(1.0), lambda a, x: a * F.coalesce(x["m"], F.lit(1.0))), "rest": F.array_join(F.transform(F.filter(ws, lambda x: x["m"].isNull()), lambda x: x["w"]), " ")}
+
+
+def _value(times: Column, rest: Column) -> dict[str, Column]:
+    suffix = F.try_element_at(literal_map(MAGNITUDES), filled(F.regexp_extract(rest, r"\d+(?:\.\d+)?\s*([kmbt])\b", 1)))
     base = filled(F.regexp_extract(F.regexp_replace(rest, r"(?<=\d),(?=\d)", ""), r"[-+]?\d*\.?\d+", 0)).try_cast("double")
-    blank = text == ""
-    has = base.isNotNull()
-    money = filled(cur).isNotNull()
+    return {"base": base, "by": F.when(times == 1.0, F.coalesce(suffix, F.lit(1.0))).otherwise(times)}
+
+
+def _result(m: dict, v: dict, unit: Column, currency: Column, kind: Column) -> Column:
+    blank, cur, pct, t, base = m["blank"], m["cur"], m["pct"], m["t"], v["base"]
+    is_ratio = t.rlike(_RATIO)
+    quotient = F.try_divide(F.regexp_extract(t, _RATIO, 1).try_cast("double"), F.regexp_extract(t, _RATIO, 2).try_cast("double"))
+    has, money = base.isNotNull(), filled(cur).isNotNull()
+    scaled = base * v["by"]
+    named = F.when(blank, unit).when(is_ratio, "ratio").when(has & pct, "%").when(has & money, cur).otherwise(unit)
+    plain = F.coalesce(kind, F.lit("text"))
     return F.struct(
         F.when(blank, None).when(is_ratio, quotient).otherwise(base).alias("raw"),
-        F.when(blank, None).when(is_ratio, quotient).when(pct, F.round(F.when(base > 1, base / 100).otherwise(base), 6)).when(money, F.round(base * times, 2)).otherwise(base * times).alias("normalized"),
-        F.when(blank, unit).when(is_ratio, "ratio").when(has & pct, "%").when(has & money, cur).otherwise(unit).alias("unit"),
-        F.when(blank, unit).when(is_ratio, "ratio").when(has & pct, "%").when(has & money, cur).otherwise(unit).alias("normalized_unit"),
-        F.when(blank, currency).otherwise(cur).alias("currency"),
-        F.when(blank, F.coalesce(kind, F.lit("text"))).when(is_ratio, "range").when(~has, F.coalesce(kind, F.lit("text"))).when(pct, "percentage").when(money, "currency").otherwise(F.coalesce(kind, F.lit("number"))).alias("value_type"),
-    )
+        F.when(blank, None).when(is_ratio, quotient).when(pct, F.round(F.when(base > 1, base / 100).otherwise(base), 6)).when(money, F.round(scaled, 2)).otherwise(scaled).alias("normalized"),
+        named.alias("unit"), named.alias("normalized_unit"), F.when(blank, currency).otherwise(cur).alias("currency"),
+        F.when(blank, plain).when(is_ratio, "range").when(~has, plain).when(pct, "percentage").when(money, "currency").otherwise(F.coalesce(kind, F.lit("number"))).alias("value_type"),
+    )
+
+
+def numeric(value: Column, unit: Column, currency: Column, kind: Column) -> Column:
+    """struct(raw, normalized, unit, normalized_unit, currency, value_type) (N-1).
+
+    The last currency sign found wins over the declared currency, and the last
+    code, in order of the alphabet, over both. A percentage is divided by 100 only
+    if it is over 1. Magnitude words multiply; an attached letter counts only
+    without them. Null and blank texts keep what was declared.
+
+    As one expression the parts are computed several times; ``with_numeric`` computes
+    each once.
+    """
+    m = _marks(value, unit, currency, kind)
+    p = _parts(_words(m["t"])["ws"])
+    return _result(m, _value(p["times"], p["rest"]), unit, currency, kind)
+
+
+def with_numeric(df: DataFrame, out: str, value: Column, unit: Column, currency: Column, kind: Column) -> DataFrame:
+    """``df`` with ``out``, what ``numeric`` gives, in steps that are computed once each."""
+    names = []
+
+    def step(df: DataFrame, cols: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+        name = f"__{out}_{len(names)}"
+        names.append(name)
+        return once(df, name, F.struct(*(c.alias(k) for k, c in cols.items()))), {k: F.col(f"{name}.{k}") for k in cols}
+
+    df, m = step(df, _marks(value, unit, currency, kind))
+    df, w = step(df, _words(m["t"]))
+    df, p = step(df, _parts(w["ws"]))
+    df, v = step(df, _value(p["times"], p["rest"]))
+    return once(df, out, _result(m, v, unit, currency, kind)).drop(*names)
 
 
 # Month names and abbreviations.

@@ -24,7 +24,8 @@ def document_year_ends(files: DataFrame) -> DataFrame:
 def normalize_facts(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Facts with n_* columns: number, period and predicate in normal form (N-7)."""
     f = facts.join(document_year_ends(files), "document_id", "left")
-    f = f.withColumns({"n": N.numeric(F.col("value_text"), F.col("unit"), F.col("currency"), F.col("value_type")), "p": N.period(F.col("time_text"), F.col("fiscal_year_end")), "q": N.predicate(F.col("predicate"))})
+    f = N.with_numeric(f, "n", F.col("value_text"), F.col("unit"), F.col("currency"), F.col("value_type"))
+    f = f.withColumns({"p": N.period(F.col("time_text"), F.col("fiscal_year_end")), "q": N.predicate(F.col("predicate"))})
     return f.withColumns({
         "n_value": F.col("n.normalized"), "n_unit": F.col("n.normalized_unit"), "n_currency": F.col("n.currency"), "n_type": F.col("n.value_type"),
         "n_time_text": F.col("p.time_text"), "n_time_start": F.col("p.time_start"), "n_time_end": F.col("p.time_end"), "n_granularity": F.col("p.time_granularity"), "n_predicate": F.col("q.predicate"),

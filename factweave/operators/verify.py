@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.text import bare, quote_norm, strip
+from factweave.session import once
 
 NOTE_EMPTY = "Empty source quote provided."
 NOTE_FORM = "Source quote verified with minor punctuation or formatting differences."
@@ -25,8 +26,20 @@ def verdict(quote: Column, chunk: Column) -> Column:
     ``way`` is exact, form, part or none. A null or blank quote is rejected, a null
     chunk counts as empty.
     """
-    q, c = quote_norm(F.coalesce(quote, F.lit(""))), quote_norm(F.coalesce(chunk, F.lit("")))
-    bq, bc = bare(q), bare(c)
+    c = quote_norm(F.coalesce(chunk, F.lit("")))
+    return verdict_of_forms(quote, c, bare(c))
+
+
+def quote_forms(quote: Column) -> Column:
+    """struct(q, b): the two forms of a quote."""
+    q = quote_norm(F.coalesce(quote, F.lit("")))
+    return F.struct(q.alias("q"), bare(q).alias("b"))
+
+
+def verdict_of_forms(quote: Column, c: Column, bc: Column, forms: Column | None = None) -> Column:
+    """``verdict`` where the two forms of the chunk's text, and perhaps those of the quote,
+    are at hand already."""
+    q, bq = (forms["q"], forms["b"]) if forms is not None else (quote_norm(F.coalesce(quote, F.lit(""))), bare(quote_norm(F.coalesce(quote, F.lit("")))))
     make = lambda s, n, w: F.struct(F.lit(s).alias("status"), F.lit(n).alias("note"), F.lit(w).alias("way"))
     part = _first_long_words(bq)
     return (
@@ -41,17 +54,17 @@ def verdict(quote: Column, chunk: Column) -> Column:
 def attribution(quote: Column, way: Column, blocks: Column, start: Column, end: Column) -> Column:
     """struct(block_ids, start_page, end_page) of a verified quote (V-6, V-7).
 
-    ``blocks`` is the chunk's array of struct(id, text, page_number) in order. The
-    first block that holds the whole quote, else the blocks that hold its first or
+    ``blocks`` is the chunk's array of struct(id, norm, bare, page_number) in order, with
+    the two forms of each block's text. The first block that holds the whole quote, else the blocks that hold its first or
     last four words, else all blocks with the chunk's pages.
     """
     q = quote_norm(quote)
     words = F.filter(F.split(q, " "), lambda w: w != "")
     n = F.size(words)
     head, tail = F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, F.greatest(F.lit(1), n - 3), F.lit(4)), " ")
-    whole = F.slice(F.filter(blocks, lambda b: F.contains(quote_norm(b["text"]), q)), 1, 1)
-    partly = F.filter(blocks, lambda b: F.contains(quote_norm(b["text"]), head) | F.contains(quote_norm(b["text"]), tail))
-    loose = F.slice(F.filter(blocks, lambda b: F.contains(bare(quote_norm(b["text"])), bare(q))), 1, 1)
+    whole = F.slice(F.filter(blocks, lambda b: F.contains(b["norm"], q)), 1, 1)
+    partly = F.filter(blocks, lambda b: F.contains(b["norm"], head) | F.contains(b["norm"], tail))
+    loose = F.slice(F.filter(blocks, lambda b: F.contains(b["bare"], bare(q))), 1, 1)
     hit = F.when(way == "exact", F.when(F.size(whole) > 0, whole).otherwise(partly)).when(way == "form", loose)
     some = F.coalesce(F.size(hit) > 0, F.lit(False))
     page = lambda x: F.transform(x, lambda b: b["page_number"])
@@ -61,21 +74,30 @@ def attribution(quote: Column, way: Column, blocks: Column, start: Column, end:
 
 
 def chunk_block_texts(chunks: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """(chunk_id, blocks): each chunk's blocks with text and page, in the order of the chunk's list."""
+    """(chunk_id, blocks): each chunk's blocks with the two forms of their text and page, in
+    the order of the chunk's list."""
     listed = chunks.select(F.col("id").alias("chunk_id"), F.posexplode(F.from_json("block_ids_json", "array<string>")).alias("k", "block_id"))
-    b = blocks.select(F.col("id").alias("block_id"), "page_id", "text").join(pages.select(F.col("id").alias("page_id"), "page_number"), "page_id")
+    norm = quote_norm(F.col("text"))
+    b = blocks.select(F.col("id").alias("block_id"), "page_id", norm.alias("norm"), bare(norm).alias("bare")).join(pages.select(F.col("id").alias("page_id"), "page_number"), "page_id")
     j = listed.join(b, "block_id")
-    return j.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("k", F.col("block_id").alias("id"), "text", "page_number"))).alias("blocks"))
+    return j.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("k", F.col("block_id").alias("id"), "norm", "bare", "page_number"))).alias("blocks"))
+
+
+def chunk_forms(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, norm, bare): the two forms of every chunk's text, made once however many
+    facts quote it."""
+    c = quote_norm(F.coalesce("text", F.lit("")))
+    return chunks.where("id is not null").select(F.col("id").alias("chunk_id"), c.alias("norm"), bare(c).alias("bare"))
 
 
 def verify_facts(facts: DataFrame, chunks: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """(fact_id, seq, status, note, way, block_ids, start_page, end_page) of every fact
     whose chunk exists (V-5 to V-8)."""
-    c = chunks.select(F.col("id").alias("chunk_id"), F.col("text").alias("chunk_text"), "start_page", "end_page").join(chunk_block_texts(chunks, blocks, pages), "chunk_id", "left")
+    c = chunk_forms(chunks).join(chunks.select(F.col("id").alias("chunk_id"), "start_page", "end_page"), "chunk_id").join(chunk_block_texts(chunks, blocks, pages), "chunk_id", "left")
     j = facts.select(F.col("id").alias("fact_id"), "seq", "chunk_id", "source_quote").join(c, "chunk_id")
-    none = F.array().cast("array<struct<k:int,id:string,text:string,page_number:int>>")
-    j = j.withColumn("v", verdict(F.col("source_quote"), F.col("chunk_text")))
-    j = j.withColumn("a", attribution(F.coalesce("source_quote", F.lit("")), F.col("v.way"), F.coalesce("blocks", none), F.col("start_page"), F.col("end_page")))
+    none = F.array().cast("array<struct<k:int,id:string,norm:string,bare:string,page_number:int>>")
+    j = once(once(j, "f", quote_forms(F.col("source_quote"))), "v", verdict_of_forms(F.col("source_quote"), F.col("norm"), F.col("bare"), F.col("f")))
+    j = once(j, "a", attribution(F.coalesce("source_quote", F.lit("")), F.col("v.way"), F.coalesce("blocks", none), F.col("start_page"), F.col("end_page")))
     return j.select("fact_id", "seq", "v.status", "v.note", "v.way", "a.block_ids", F.col("a.start_page").alias("start_page"), F.col("a.end_page").alias("end_page"))
 
 

@@ -9,7 +9,7 @@ from factweave.functions import normalize as N
 from factweave.functions import text as X
 from factweave.functions import vectors as V
 from factweave.operators import chunking, facts as FA, pages as PG, pairs as PR, store as ST, verify as VF
-from factweave.session import table
+from factweave.session import Scratch, once, table
 
 QUERIES, SQL = {}, {}
 
@@ -67,22 +67,26 @@ def reconcile_orders(spark, d):
     v, amount = F.col("c_custkey") % 5, F.col("amount")
     lit = F.lit
     value_b = F.when(v == 0, F.concat(amount, lit(",000 USD"))).when(v == 1, F.concat(lit("$"), amount * 2, lit(" thousand"))).when(v == 2, F.concat(lit("$"), amount * 250)).when(v == 3, F.concat(lit("$"), amount * 600)).otherwise(F.concat(amount * 700, lit("")))
-    rows = j.select(
-        F.concat(lit("a"), "c_custkey", lit("-"), "y").alias("a_id"), F.concat(lit("b"), "c_custkey", lit("-"), "y").alias("b_id"), F.concat(lit("customer "), "c_custkey").alias("s"), F.col("c_nationkey").cast("string").alias("g"),
-        F.concat(lit("$"), amount, lit(" thousand")).alias("va"), value_b.alias("vb"), F.concat(lit("FY"), "y").alias("ta"), F.when(v == 2, F.concat(lit("Q4 FY"), "y")).otherwise(F.concat(lit("FY"), "y")).alias("tb"),
-        lit("consolidated").alias("sa"), F.when(v == 3, "segment").otherwise("consolidated").alias("sb"),
-    )
     none = lit(None).cast("string")
-    rows = rows.withColumns({f"n{s}": N.numeric(F.col(f"v{s}"), none, none, none) for s in "ab"} | {f"p{s}": N.period(F.col(f"t{s}"), none) for s in "ab"})
-    out = []
-    for s in "ab":
-        vals = {
-            "document_id": lit(f"report {s}"), "entity_id": none, "subject": F.col("s"), "predicate": lit("total_revenue"), "value_text": F.col(f"v{s}"), "value_type": F.col(f"n{s}.value_type"), "normalized_numeric_value": F.col(f"n{s}.normalized"),
-            "unit": F.col(f"n{s}.unit"), "normalized_unit": F.col(f"n{s}.normalized_unit"), "currency": F.col(f"n{s}.currency"), "time_text": F.col(f"p{s}.time_text"), "time_start": F.col(f"p{s}.time_start"), "time_end": F.col(f"p{s}.time_end"),
-            "scope": F.col(f"s{s}"), "geography": F.col("g"), "qualifiers_json": none, "validation_status": lit("validated"), "name": none, "entity_type": none,
-        }
-        out += [e.alias(f"{s}_{k}") for k, e in vals.items()]
-    pairs = rows.select("a_id", "b_id", *out)
+    told = {
+        "a": (F.concat(lit("$"), amount, lit(" thousand")), F.concat(lit("FY"), "y"), lit("consolidated")),
+        "b": (value_b, F.when(v == 2, F.concat(lit("Q4 FY"), "y")).otherwise(F.concat(lit("FY"), "y")), F.when(v == 3, "segment").otherwise("consolidated")),
+    }
+
+    def report(s):
+        """The facts of one report, as written."""
+        value, time, scope = told[s]
+        return j.select(lit(s).alias("side"), F.concat("c_custkey", lit("-"), "y").alias("key"), F.concat(lit("customer "), "c_custkey").alias("subject"), F.col("c_nationkey").cast("string").alias("geography"), value.alias("value_text"), time.alias("said"), scope.alias("scope"))
+
+    f = N.with_numeric(report("a").unionByName(report("b")), "n", F.col("value_text"), none, none, none).withColumn("p", N.period(F.col("said"), none))
+    # normalised facts are a stage of their own: each is compared, none is read twice from its text
+    f = Scratch(spark, "reports").write(f.select("side", "key", "subject", "geography", "value_text", "scope", "n", "p"))
+    f = f.select(
+        "side", "key", F.concat("side", "key").alias("id"), F.col("side").alias("document_id"), none.alias("entity_id"), "subject", lit("total_revenue").alias("predicate"), "value_text", F.col("n.value_type").alias("value_type"),
+        F.col("n.normalized").alias("normalized_numeric_value"), F.col("n.unit").alias("unit"), F.col("n.normalized_unit").alias("normalized_unit"), F.col("n.currency").alias("currency"), F.col("p.time_text").alias("time_text"), F.col("p.time_start").alias("time_start"),
+        F.col("p.time_end").alias("time_end"), "scope", "geography", none.alias("qualifiers_json"), lit("validated").alias("validation_status"), none.alias("name"), none.alias("entity_type"),
+    )
+    pairs = PR.side(f.where("side = 'a'"), "a").join(PR.side(f.where("side = 'b'"), "b"), F.col("a_key") == F.col("b_key"))
     return PR.compare(pairs).groupBy(F.col("d.type").alias("relationship_type"), F.col("d.dimension").alias("primary_dimension")).agg(F.count(lit(1)).alias("n"))
 
 
@@ -231,8 +235,9 @@ SELECT seq, CASE WHEN {strip_sql("coalesce(raw, '')")} = '' THEN 'rejected' WHEN
 def verify_quotes(spark, d):
     """Whether the quote of every fact stands in its chunk."""
     f, c = table(spark, d, "facts"), table(spark, d, "chunks")
-    j = f.join(c.select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
-    return j.select("seq", VF.verdict(F.col("source_quote"), F.col("text"))["status"].alias("status"))
+    j = f.select("seq", "chunk_id", "source_quote").join(VF.chunk_forms(c), "chunk_id")
+    j = once(j, "f", VF.quote_forms(F.col("source_quote")))
+    return j.select("seq", VF.verdict_of_forms(F.col("source_quote"), F.col("norm"), F.col("bare"), F.col("f"))["status"].alias("status"))
 
 
 @query()
@@ -290,8 +295,8 @@ FROM i WHERE NOT ratio
 """)
 def normalize_numeric(spark, d):
     """Numbers, units and currencies of every fact's value in normal form."""
-    n = N.numeric(F.col("value_text"), F.col("unit"), F.col("currency"), F.col("value_type"))
-    return table(spark, d, "facts").select("seq", n.alias("n")).where("n.value_type <> 'range'").select("seq", "n.raw", "n.normalized", "n.unit", "n.currency", "n.value_type")
+    f = table(spark, d, "facts").select("seq", "value_text", F.col("unit").alias("du"), F.col("currency").alias("dc"), "value_type")
+    return N.with_numeric(f, "n", F.col("value_text"), F.col("du"), F.col("dc"), F.col("value_type")).where("n.value_type <> 'range'").select("seq", "n.raw", "n.normalized", "n.unit", "n.currency", "n.value_type")
 
 
 _Y = "(19[0-9][0-9]|20[0-9][0-9])"

@@ -48,6 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def once(df: DataFrame, name: str, value) -> DataFrame:
+    """``df`` with the column ``name``, computed once a row.
+
+    The optimizer inlines the fields of a struct wherever they are used; a generator
+    over a single element, which costs nothing, keeps it from doing so. For expressions
+    of moderate size: a generator's code isn't split into methods.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
