@@ -30,11 +30,12 @@ def merged(facts: DataFrame) -> DataFrame:
     return facts.join(kept, "id", "left_semi")
 
 
-def relationships(facts: DataFrame, entities: DataFrame, files: DataFrame, queries: str = "seq % 100 = 0", min_score: float = 0.6, k: int = 10) -> DataFrame:
+def relationships(facts: DataFrame, entities: DataFrame, files: DataFrame, queries: str | None = None, min_score: float = 0.6, k: int = 10) -> DataFrame:
     """(a_id, b_id, relationship_type, primary_dimension, confidence, explanation) of the
-    candidates of the query facts."""
+    candidates: the ``k`` best of either end among all facts or, with ``queries``, those
+    of the facts for which that condition holds."""
     f = merged(normalized(FA.latest(facts, ["id"], F.col("created_at"), F.col("seq")), files))
-    c = PR.candidates(f, entities, queries=f.where(queries), min_score=min_score, k=k).select("a_id", "b_id", "score")
+    c = PR.candidates(f, entities, queries=None if queries is None else f.where(queries), min_score=min_score, k=k).select("a_id", "b_id", "score")
     j = PR.pair_up(c.withColumnsRenamed({"a_id": "fa", "b_id": "fb"}), PR.with_entity(f, entities), "fa", "fb")
     d = PR.compare(j).where("d.branch <> 'rejected'")
     return d.select("a_id", "b_id", F.col("d.type").alias("relationship_type"), F.col("d.dimension").alias("primary_dimension"), F.col("d.confidence").alias("confidence"), "explanation")

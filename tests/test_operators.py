@@ -217,6 +217,17 @@ def test_pipeline_job(spark):
     assert out["chunks"].count() and out["extracted"].count() and out["normalized"].count()
 
 
+def test_job_relates_all_facts(spark):
+    from factweave.plans.pipeline import Job
+
+    t = demo.tables(spark)
+    job = Job({**t, "facts": t["facts"].withColumn("seq", F.col("seq") + 1)}, mode="relationship")
+    job.normalise()
+    job.relate()
+    got = {(r.a_id, r.b_id) for r in job.t["related"].collect()}
+    assert got >= {("0a", "0b"), ("1a", "1b"), ("2a", "2b")} and not [r for r in got if "3b" in r] and all(a < b for a, b in got)
+
+
 def test_streams(spark, tmp_path):
     from factweave.streaming import ingest
 
