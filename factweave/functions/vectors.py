@@ -57,10 +57,14 @@ def hash_embedding(text: pd.Series) -> pd.Series:
     return pd.Series([embed(t or "", memo=memo).astype("float32") for t in text], dtype=object)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors (E-4): 0 where one is empty, null or zero, or lengths differ; within [-1, 1]."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    norm = F.sqrt(dot(a, a) * dot(b, b))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
+
+
+def cosine(a: Column, b: Column, aa: Column | None = None, bb: Column | None = None) -> Column:
+    """Cosine of two vectors (E-4): 0 where one is empty, null or zero, or lengths differ; within [-1, 1].
+    ``aa`` and ``bb`` are their products with themselves, where these are at hand."""
+    norm = F.sqrt((dot(a, a) if aa is None else aa) * (dot(b, b) if bb is None else bb))
     ok = (F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm > 0)
     return F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm))).otherwise(0.0)
 

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from factweave.functions.normalize import family
 from factweave.functions.text import equivalent, filled, folded, is_quarter, year_of
-from factweave.functions.vectors import canonical_text, cosine, hash_embedding, sequence_ratio, word_jaccard
+from factweave.functions.vectors import canonical_text, cosine, dot, hash_embedding, sequence_ratio, word_jaccard
+from factweave.session import once
 
+#: Facts of one entity that a task compares with the others of the entity, where all facts meet.
+SHARE = 1024
 COLUMNS = ["id", "document_id", "entity_id", "subject", "predicate", "value_text", "value_type", "normalized_numeric_value", "unit", "normalized_unit", "currency", "time_text", "time_start", "time_end", "scope", "geography", "qualifiers_json", "validation_status"]
 
 
@@ -142,7 +145,7 @@ def candidates(facts: DataFrame, entities: DataFrame, queries: DataFrame | None
     from pyspark.sql import Window as W
 
     f = with_entity(facts.where("id is not null").where(F.coalesce(F.col("validation_status") != "rejected", F.lit(True))), entities)
-    f = f.withColumn("vector", hash_embedding(canonical_text(name=F.col("name")))).withColumn("p", folded(F.col("predicate")))
+    f = f.withColumn("vector", hash_embedding(canonical_text(name=F.col("name")))).withColumn("own", dot(F.col("vector"), F.col("vector"))).withColumn("p", folded(F.col("predicate")))
     f = f.withColumn("low", folded(F.coalesce("name", "subject"))).withColumn("e", F.coalesce("entity_id", "low"))
     left = f if queries is None else f.join(queries.select("id").distinct(), "id", "left_semi")
     left = left.withColumn("es", F.lit(1.0))
@@ -153,12 +156,19 @@ def candidates(facts: DataFrame, entities: DataFrame, queries: DataFrame | None
     met = left.select("e", F.col("p").alias("x")).distinct().join(f.select("e", F.col("p").alias("y")).distinct(), "e").select("x", "y").distinct()
     alike = F.when(F.col("x") == F.col("y"), 1.0).when(family(F.col("x")) == family(F.col("y")), 0.91).otherwise(F.round(sequence_ratio("x", "y"), 2))
     alike = met.select(F.col("x").alias("a_p"), F.col("y").alias("b_p"), alike.alias("pred"))
-    j = side(left, "a").join(side(f, "b"), F.col("a_e") == F.col("b_e"))
+    if queries is None:
+        # the facts of a large entity are dealt out over tasks, each of which meets all of them
+        shares = f.groupBy("e").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("n"))
+        left = left.join(shares, "e").withColumn("share", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).drop("n")
+        right = f.join(shares, "e").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        j = side(left, "a").join(side(right, "b"), (F.col("a_e") == F.col("b_e")) & (F.col("a_share") == F.col("b_share")))
+    else:
+        j = side(left, "a").join(side(f, "b"), F.col("a_e") == F.col("b_e"))
     j = j.where(F.col("a_id") < F.col("b_id") if queries is None else F.col("a_id") != F.col("b_id")).where(entity_compatible() & unit_compatible())
     if cross_document_only:
         j = j.where("a_document_id <> b_document_id")
     j = j.join(alike, ["a_p", "b_p"]).where(pair_score(F.col("a_es"), F.col("pred"), F.lit(1.0)) >= min_score)
-    j = j.withColumn("semantic", cosine(F.col("a_vector"), F.col("b_vector"))).withColumn("score", pair_score(F.col("a_es"), F.col("pred"), F.col("semantic"))).where(F.col("score") >= min_score)
+    j = once(j, "semantic", cosine(F.col("a_vector"), F.col("b_vector"), F.col("a_own"), F.col("b_own"))).withColumn("score", pair_score(F.col("a_es"), F.col("pred"), F.col("semantic"))).where(F.col("score") >= min_score)
     j = j.select("a_id", "b_id", "a_document_id", "b_document_id", F.col("a_es").alias("entity_similarity"), F.col("pred").alias("predicate_similarity"), F.round("semantic", 2).alias("semantic"), period_compatible().alias("period"), "score")
     if queries is None:
         return top_k_either(j, k)

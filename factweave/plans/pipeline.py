@@ -2,7 +2,8 @@
 
 Each stage is a plan over all selected documents; the driver only strings them
 together and logs one row per stage. Modes: `full` and `reprocess` make chunks and
-facts anew, the others take those that exist.
+facts anew, the others take those that exist. Facts of documents without pages among
+the tables aren't of the run and stay as they are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave import schemas
 from factweave.operators import chunking, facts as FA, pairs as PR, verify as VF
 from factweave.session import Scratch
 
@@ -30,23 +32,56 @@ def merged(facts: DataFrame) -> DataFrame:
     return facts.join(kept, "id", "left_semi")
 
 
-def relationships(facts: DataFrame, entities: DataFrame, files: DataFrame, queries: str | None = None, min_score: float = 0.6, k: int = 10) -> DataFrame:
+def prepared(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """The facts that are paired: last delivery of each, in normal form, one per claim."""
+    return merged(normalized(FA.latest(facts, ["id"], F.col("created_at"), F.col("seq")), files))
+
+
+def assembled(extracted: DataFrame, chunks: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Claims of an extractor as rows of the facts table, their quotes verified against the
+    chunks (V-5 to V-8).
+
+    ``extracted`` has chunk_id, k (the place of a claim in its chunk, which gives its id) and
+    any columns of the facts table, or `confidence` and `notes` for those of the extraction.
+    ``seq`` follows the chunks of a document.
+    """
+    e = extracted.join(chunks.select(F.col("id").alias("chunk_id"), F.col("document_id").alias("__document"), "sequence_index"), "chunk_id")
+    seq = F.shiftleft(F.coalesce("sequence_index", F.lit(0)).cast("bigint"), 32) + F.col("k")
+    e = e.withColumns({"id": F.substring(F.sha2(F.concat_ws("::", "chunk_id", "k"), 256), 1, 32), "seq": seq, "document_id": F.col("__document")})
+    v = VF.verify_facts(e, chunks, blocks, pages).select(F.col("fact_id").alias("id"), "status", "note", "block_ids", F.col("start_page").alias("__start"), F.col("end_page").alias("__end"))
+    or_null = lambda c: F.col(c) if c in extracted.columns else F.lit(None).cast("string")
+    made = {
+        "source_page_start": F.col("__start"), "source_page_end": F.col("__end"), "source_block_ids_json": F.to_json("block_ids"), "validation_status": F.col("status"),
+        "extraction_notes_json": F.to_json(F.array_compact(F.array(F.col("note"), or_null("notes")))), "created_at": F.current_timestamp(), "id": F.col("id"), "seq": F.col("seq"), "document_id": F.col("document_id"),
+    }
+    if "extraction_confidence" not in extracted.columns:
+        made["extraction_confidence"] = or_null("confidence")
+    names = [c.strip().split(" ") for c in schemas.TABLES["facts"].split(",")]
+    return e.join(v, "id").select(*((made[n] if n in made else or_null(n)).cast(t).alias(n) for n, t in names))
+
+
+def related(facts: DataFrame, entities: DataFrame, queries: str | None = None, min_score: float = 0.6, k: int = 10) -> DataFrame:
     """(a_id, b_id, relationship_type, primary_dimension, confidence, explanation) of the
-    candidates: the ``k`` best of either end among all facts or, with ``queries``, those
-    of the facts for which that condition holds."""
-    f = merged(normalized(FA.latest(facts, ["id"], F.col("created_at"), F.col("seq")), files))
-    c = PR.candidates(f, entities, queries=None if queries is None else f.where(queries), min_score=min_score, k=k).select("a_id", "b_id", "score")
-    j = PR.pair_up(c.withColumnsRenamed({"a_id": "fa", "b_id": "fb"}), PR.with_entity(f, entities), "fa", "fb")
+    candidates of ``prepared`` facts: the ``k`` best of either end among all facts or, with
+    ``queries``, those of the facts for which that condition holds."""
+    c = PR.candidates(facts, entities, queries=None if queries is None else facts.where(queries), min_score=min_score, k=k).select("a_id", "b_id", "score")
+    j = PR.pair_up(c.withColumnsRenamed({"a_id": "fa", "b_id": "fb"}), PR.with_entity(facts, entities), "fa", "fb")
     d = PR.compare(j).where("d.branch <> 'rejected'")
     return d.select("a_id", "b_id", F.col("d.type").alias("relationship_type"), F.col("d.dimension").alias("primary_dimension"), F.col("d.confidence").alias("confidence"), "explanation")
 
 
+def relationships(facts: DataFrame, entities: DataFrame, files: DataFrame, queries: str | None = None, min_score: float = 0.6, k: int = 10) -> DataFrame:
+    """``related`` of facts as they were delivered."""
+    return related(prepared(facts, files), entities, queries, min_score, k)
+
+
 class Job:
-    """A run over documents: chunk, extract, normalise, pair, decide.
+    """A run over documents: chunk, extract and verify, normalise, pair, decide.
 
-    ``extract`` maps chunks to facts and defaults to the offline extractor; a network
-    provider is given the same way (``sources.providers``). ``log`` holds one
-    (stage, status, seconds, message) per stage; a failing stage ends the job.
+    ``extract`` maps chunks to claims (see ``assembled``) and defaults to the offline
+    extractor; a network provider is given the same way (``sources.providers``). ``log``
+    holds one (stage, status, seconds, message) per stage; a failing stage, or one whose
+    input is missing, ends the job.
     """
 
     STAGES = ("chunk", "extract", "normalise", "relate")
@@ -57,22 +92,31 @@ class Job:
         self.scratch = Scratch(next(iter(tables.values())).sparkSession, "job")
         self.log: list[tuple[str, str, float, str | None]] = []
 
+    def need(self, *names: str) -> list[DataFrame]:
+        if missing := [n for n in names if n not in self.t]:
+            raise ValueError(f"no input: {', '.join(missing)}")
+        return [self.t[n] for n in names]
+
     def chunk(self) -> None:
         if self.mode in ("full", "reprocess") or "chunks" not in self.t:
-            c = chunking.chunk_documents(self.t["pages"], self.t["blocks"])
+            c = chunking.chunk_documents(*self.need("pages", "blocks"))
             self.t["chunks"] = self.scratch.write(c.withColumns({"block_ids_json": F.to_json("block_ids"), "heading_path_json": F.to_json("heading_path")}))
 
     def extract(self) -> None:
         if self.mode in ("full", "reprocess") or "facts" not in self.t:
-            self.t["extracted"] = self.scratch.write(self.extractor(self.t["chunks"]))
+            chunks, blocks, pages = self.need("chunks", "blocks", "pages")
+            self.t["extracted"] = self.scratch.write(self.extractor(chunks))
+            facts = assembled(self.t["extracted"], chunks, blocks, pages)
+            if "facts" in self.t:
+                others = self.t["facts"].join(pages.select("document_id").distinct(), "document_id", "left_anti")
+                facts = facts.unionByName(others.select(*facts.columns))
+            self.t["facts"] = self.scratch.write(facts)
 
     def normalise(self) -> None:
-        if "facts" in self.t:
-            self.t["normalized"] = self.scratch.write(merged(normalized(FA.latest(self.t["facts"], ["id"], F.col("created_at"), F.col("seq")), self.t["document_files"])))
+        self.t["normalized"] = self.scratch.write(prepared(*self.need("facts", "document_files")))
 
     def relate(self) -> None:
-        if "facts" in self.t:
-            self.t["related"] = self.scratch.write(relationships(self.t["facts"], self.t["entities"], self.t["document_files"]))
+        self.t["related"] = self.scratch.write(related(*self.need("normalized", "entities")))
 
     def run(self) -> dict[str, DataFrame]:
         for s in self.STAGES:

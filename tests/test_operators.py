@@ -228,6 +228,35 @@ def test_job_relates_all_facts(spark):
     assert got >= {("0a", "0b"), ("1a", "1b"), ("2a", "2b")} and not [r for r in got if "3b" in r] and all(a < b for a, b in got)
 
 
+def test_job_carries_extracted_facts_on(spark):
+    from factweave.plans.pipeline import Job
+
+    t = demo.tables(spark)
+    pages = spark.createDataFrame([(f"p{k}", f"d{k}", 1, False, 1.0) for k in (1, 2)], "id string, document_id string, page_number int, is_scanned boolean, text_quality double")
+    text = "Total sales were $120 million in that year."
+    blocks = spark.createDataFrame([(f"b{k}", f"p{k}", 0, "paragraph", text, 1) for k in (1, 2)], "id string, page_id string, block_index int, block_type string, text string, reading_order int")
+    old = t["facts"].limit(1).withColumns({"id": F.lit("old"), "document_id": F.lit("d1")}).unionByName(t["facts"].limit(1).withColumns({"id": F.lit("other"), "document_id": F.lit("elsewhere")}))
+    quotes = F.array(F.lit("sales were $120 million"), F.lit("a quote that was invented for this"))
+
+    def extract(chunks):
+        return chunks.select(F.col("id").alias("chunk_id"), F.posexplode(quotes).alias("k", "source_quote")).withColumns({"value_text": F.lit("$120 million"), "value_type": F.lit("currency"), "subject": F.lit("Acme"), "predicate": F.lit("sales"), "scope": F.col("k").cast("string"), "confidence": F.lit(0.9)})
+
+    given = {"pages": pages, "blocks": blocks, "facts": old, "entities": t["entities"], "document_files": t["document_files"]}
+    out = Job(given, extract=extract).run()
+    facts = {(r.document_id, r.source_quote): r for r in out["facts"].collect()}
+    assert len(facts) == 5 and "old" not in {r.id for r in facts.values()} and "other" in {r.id for r in facts.values()}
+    assert out["facts"].columns == t["facts"].columns and not out["facts"].where(F.size(schemas.violations("facts")) > 0).count()
+    good, bad = facts["d1", "sales were $120 million"], facts["d1", "a quote that was invented for this"]
+    assert (good.validation_status, good.source_block_ids_json, good.source_page_start) == ("validated", '["b1"]', 1) and (bad.validation_status, bad.source_block_ids_json) == ("rejected", "[]")
+    assert {r.normalized_numeric_value for r in out["normalized"].where("id <> 'other'").collect()} == {1.2e8}
+    assert [{r.a_id, r.b_id} for r in out["related"].collect()] == [{good.id, facts["d2", "sales were $120 million"].id}]
+    for missing, stage in (("blocks", "chunk"), ("document_files", "normalise"), ("entities", "relate")):
+        job = Job({k: v for k, v in given.items() if k != missing}, extract=extract)
+        with pytest.raises(ValueError, match=missing):
+            job.run()
+        assert job.log[-1][:2] == (stage, "failed")
+
+
 def test_streams(spark, tmp_path):
     from factweave.streaming import ingest
 
