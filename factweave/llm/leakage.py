@@ -15,6 +15,12 @@ WINDOW - RUN other words of either weigh at most 4 each; and the latent cosine
 falls short of the true one by no more than the share of the evaluation passage
 outside the basis.  The threshold of each evaluation passage is that bound.
 
+A paraphrase need not share any run, so the report doesn't rely on passages for it:
+if the common subsequence takes ``least`` of an item's words, the document holds all
+of the item's different words but (1 - ``least``) of its length.  These counts are a
+matrix product too, of documents with evaluation texts, and each pair that reaches
+the bound is compared.
+
 The evaluation texts are the stated query set.  They go to the tasks in blocks of
 bounded size; a larger set takes more passes over the corpus.
 """
@@ -189,7 +195,7 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 class Block:
     """One block of evaluation texts, ready to be compared with a corpus."""
 
-    def __init__(self, rows: list, corpus: DataFrame, items: DataFrame, rank: int):
+    def __init__(self, rows: list, corpus: DataFrame, items: DataFrame, rank: int, least: float | None = None):
         texts: dict[tuple, list] = {}
         for r in rows:
             texts.setdefault(tuple(r.words.split(" ")), []).append((r.key, r.answer))
@@ -200,11 +206,11 @@ class Block:
         self.basis = latent_basis(items, self.vocab, self.w, rank)
         lists, self.text_of, floor = [], [], []
         self.sets = [frozenset(t) for t in self.texts]
-        self.shared = []
+        #: different words that a document shares at least, if it shares a run; if it paraphrases (else None)
+        self.shared, self.kept = [], None if least is None else [max(1, len(s) - int((1 - least) * len(t) + 1e-9)) for s, t in zip(self.sets, self.texts)]
         for k, t in enumerate(self.texts):
             n = min(len({*t[s : s + RUN]}) for s in range(len(t) - RUN + 1))
-            # a shared run brings n different words along, a paraphrase at least half of all
-            self.shared.append(min(n, len(self.sets[k]) // 2))
+            self.shared.append(n)
             for known, _ in passages(t, self.vocab):
                 lists.append(known)
                 self.text_of.append(k)
@@ -219,7 +225,8 @@ class Block:
 
 
 def _search(blk):
-    """Candidates of each document by latent cosine, then the comparison of words."""
+    """Candidates of each document by latent cosine and, for paraphrases, by shared words,
+    then the comparison of words."""
 
     def candidates(docs: list[list[str]]) -> list[set[int]]:
         b = blk.value
@@ -239,21 +246,36 @@ def _search(blk):
                 out[doc[s + i]].add(int(b.text_of[j]))
         return out
 
+    def paraphrases(docs: list[list[str]], holds: np.ndarray) -> list[set[int]]:
+        b = blk.value
+        at = np.zeros((len(docs), len(b.vocab)), dtype=np.float32)
+        for d, ws in enumerate(docs):
+            at[d, [i for i in {b.vocab.get(w, -1) for w in ws} if i >= 0]] = 1
+        out: list[set[int]] = [set() for _ in docs]
+        for d, k in zip(*np.nonzero(at @ holds >= np.array(b.kept, dtype=np.float32))):
+            out[d].add(int(k))
+        return out
+
     def run(it):
         b = blk.value
+        if b.kept is not None:
+            holds = np.zeros((len(b.vocab), len(b.texts)), dtype=np.float32)
+            for k, s in enumerate(b.sets):
+                holds[[b.vocab[w] for w in s], k] = 1
         for pdf in it:
             rows = []
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 docs = [x.split(" ") for x in part.words]
-                for key, ws, found in zip(part.key, docs, candidates(docs)):
-                    held = {*ws} if found else ()
-                    for k in sorted(found):
+                alike = paraphrases(docs, holds) if b.kept is not None else [set()] * len(docs)
+                for key, ws, near, like in zip(part.key, docs, candidates(docs), alike):
+                    held = {*ws} if near or like else ()
+                    for k in sorted(near | like):
                         t = b.texts[k]
-                        if len(held & b.sets[k]) < b.shared[k]:
+                        if k not in like and len(held & b.sets[k]) < b.shared[k]:
                             continue
                         n = longest_run(ws, t)
-                        c = common_subsequence(ws, t) if n >= RUN // 2 else 0
+                        c = common_subsequence(ws, t) if b.kept is not None else 0
                         for item, answer in b.owners[k]:
                             aw = _WORDS.findall((answer or "").lower())
                             rows.append((key, item, n, c, len(t), bool(aw) and all(x in held for x in aw)))
@@ -262,10 +284,12 @@ def _search(blk):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, scratch, rank: int = RANK, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, run, lcs, n_words, has_answer) of all candidates.
+def leaks(documents: DataFrame, items: DataFrame, scratch, rank: int = RANK, block: int = BLOCK, least: float | None = None) -> DataFrame:
+    """(doc_id, item_id, run, lcs, n_words, has_answer) of all candidates: pairs that may
+    share a run and, with ``least``, all whose ``lcs`` is at least that part of the item.
 
-    ``run`` and ``lcs`` are the longest common run and subsequence in words,
+    ``run`` and ``lcs`` are the longest common run and subsequence in words (``lcs`` is 0
+    without ``least``),
     ``n_words`` the words of the item, ``has_answer`` whether the document holds all
     words of its answer.  Null, empty and short texts (under ``RUN`` words) give no
     row; documents or items that occur twice give their rows once.
@@ -278,7 +302,7 @@ def leaks(documents: DataFrame, items: DataFrame, scratch, rank: int = RANK, blo
     parts = []
     for n in blocks:
         own = keyed.where(F.col("block") == n).drop("block")
-        blk = spark.sparkContext.broadcast(Block(own.collect(), corpus, own, rank))  # about `block` texts, a stated bound
+        blk = spark.sparkContext.broadcast(Block(own.collect(), corpus, own, rank, least))  # about `block` texts, a stated bound
         parts.append(corpus.mapInPandas(_search(blk), "doc long, item long, run int, lcs int, n_words int, has_answer boolean"))
     if not parts:
         return corpus.select(F.col("key").alias("doc_id"), F.col("key").alias("item_id"), *(F.lit(0).alias(c) for c in ("run", "lcs", "n_words")), F.lit(False).alias("has_answer")).limit(0)
@@ -294,6 +318,6 @@ def shared_runs(documents: DataFrame, items: DataFrame, scratch, **kw) -> DataFr
 def leak_report(documents: DataFrame, items: DataFrame, scratch, least: float = 0.6, **kw) -> DataFrame:
     """Leaks with their kind: `verbatim` (a run of ``RUN`` words), `paraphrase` (at least
     ``least`` of the item's words in order) and, of those, with the answer or not."""
-    found = leaks(documents, items, scratch, **kw)
+    found = leaks(documents, items, scratch, least=least, **kw)
     kind = F.when(F.col("run") >= RUN, "verbatim").when(F.col("lcs") >= least * F.col("n_words"), "paraphrase")
     return found.withColumn("kind", kind).where("kind is not null")

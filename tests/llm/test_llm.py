@@ -309,6 +309,27 @@ def test_paraphrases_are_reported(spark, scratch):
     assert got == {1: ("paraphrase", True), 2: ("verbatim", False)}
 
 
+def test_paraphrases_without_runs_equal_brute_force(spark, scratch):
+    rnd = random.Random(5)
+    vocab = [f"w{k}" for k in range(300)] + ["the", "of"] * 40
+    items = [(k, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(12, 40))), None) for k in range(25)] + [(25, "yes no " * 8 + "x", None)]
+    docs = []
+    for k in range(200):
+        w = leakage.words(rnd.choice(items)[1])
+        step = rnd.randint(2, 6)
+        docs.append((k, " ".join([f"n{j}" if j % step == 0 else x for j, x in enumerate(w)] + [rnd.choice(vocab) for _ in range(rnd.randint(0, 60))])))
+    want = {}
+    for d, t in docs:
+        for i, u, _ in items:
+            a, b = leakage.words(t), leakage.words(u)
+            n, c = leakage.longest_run(a, b), leakage.common_subsequence(a, b)
+            if len(a) >= leakage.RUN and n < leakage.RUN and c >= 0.6 * len(b):
+                want[d, i] = (n, c)
+    assert sum(n < leakage.RUN // 2 for n, _ in want.values()) > 50
+    got = leakage.leak_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, answer string"), scratch, block=10).where("kind = 'paraphrase'").collect()
+    assert {(r.doc_id, r.item_id): (r.run, r.lcs) for r in got} == want
+
+
 # ---- 10
 
 ALIKE = [("ｶﾞ", "ガ"), ("éa", "éa"), ("ﬁx", "fix"), ("a​b", "ab"), ("а", "a"), ("a　b", "a b"), ("ё", "ë"), ("x­‍y", "xy"), ("Ａ１：", "A1:"), ("e​́", "é"), ("Å", "Å"), ("ΑΒΕ", "ABE"), ("no break", "no break")]
