@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import difflib
 import hashlib
 
@@ -82,6 +83,30 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
 
 
+def sequence_ratio_from(a: Column, b: Column, least: float) -> Column:
+    """``sequence_ratio`` where it is at least ``least``, else 0: the bounds by length and by
+    the letters that both texts have are tried first."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        letters: dict[str, collections.Counter] = {}
+        out = []
+        for x, y in zip(a, b):
+            n = len(x) + len(y)
+            if 2 * min(len(x), len(y)) < least * n:
+                out.append(0.0)
+                continue
+            for t in (x, y):
+                if t not in letters:
+                    letters[t] = collections.Counter(t)
+            u = letters[y]
+            same = sum(min(c, u[k]) for k, c in letters[x].items() if k in u)
+            out.append(difflib.SequenceMatcher(None, x, y).ratio() if 2 * same >= least * n else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return run(a, b)
+
+
 #: Query vectors that go to the tasks at once.
 BLOCK = 4096
 

@@ -97,3 +97,11 @@ def resolve_entities(facts: DataFrame, entities: DataFrame, aliases: DataFrame)
     found = F.coalesce("by_name", "by_alias", "by_stem", new)
     conf = F.when(way == "generic", 0.5).when(way == "stem", 0.95).otherwise(1.0)
     return j.select("name", F.when(F.col("generic"), F.concat(F.lit("generic:"), F.col("low"))).otherwise(found).alias("entity_id"), way.alias("way"), conf.alias("confidence"))
+
+
+def with_entities(facts: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Facts whose missing entity ids are resolved by their subject (N-6, N-7); ids of new
+    entities aren't among ``entities``, so their name is the subject and their type unknown."""
+    r = resolve_entities(facts.where(filled(F.col("entity_id")).isNull()), entities, aliases).select("name", F.col("entity_id").alias("__resolved"))
+    f = facts.withColumn("name", F.when(filled(F.col("entity_id")).isNull(), N.clean_name(F.col("subject")))).join(r, "name", "left")
+    return f.withColumn("entity_id", F.coalesce(filled(F.col("entity_id")), F.col("__resolved"))).select(*facts.columns)

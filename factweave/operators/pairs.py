@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.normalize import family
 from factweave.functions.text import equivalent, filled, folded, is_quarter, year_of
-from factweave.functions.vectors import canonical_text, cosine, dot, hash_embedding, sequence_ratio, word_jaccard
+from factweave.functions.vectors import canonical_text, cosine, dot, hash_embedding, sequence_ratio, sequence_ratio_from, word_jaccard
 from factweave.session import once
 
 #: Facts of one entity that a task compares with the others of the entity, where all facts meet.
@@ -119,22 +119,26 @@ def top_k_either(scored: DataFrame, k: int) -> DataFrame:
     return ends.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).drop("__end", "__k").dropDuplicates(["a_id", "b_id"])
 
 
-def name_pairs(facts: DataFrame, least: float = 0.5) -> DataFrame:
+def name_pairs(facts: DataFrame, least: float = 0.5, of: DataFrame | None = None) -> DataFrame:
     """(x, y, similarity) of different effective names that share a word and whose
-    similarity (E-8, E-9) is at least ``least``; over distinct names only."""
-    names = facts.select(folded(F.coalesce("name", "subject")).alias("x")).where("x <> ''").distinct()
-    words = names.select("x", F.explode(F.array_distinct(F.split("x", r"(?U)\s+"))).alias("w"))
-    pairs = words.join(words.withColumnRenamed("x", "y"), "w").where("x <> y").select("x", "y").distinct()
-    sim = F.round(F.greatest(sequence_ratio("x", "y"), word_jaccard(F.col("x"), F.col("y"))), 2)
-    return pairs.select("x", "y", sim.alias("similarity")).where(F.col("similarity") >= least)
+    similarity (E-8, E-9) is at least ``least``; over distinct names only. ``of`` restricts
+    x to the names of these facts."""
+    names = lambda d: d.select(folded(F.coalesce("name", "subject")).alias("x")).where("x <> ''").distinct()
+    words = lambda d: names(d).select("x", F.explode(F.array_distinct(F.split("x", r"(?U)\s+"))).alias("w"))
+    pairs = words(facts if of is None else of).join(words(facts).withColumnRenamed("x", "y"), "w").where("x <> y").select("x", "y").distinct()
+    # similarities are rounded to two places before they are held against `least`
+    sim = F.round(F.greatest(sequence_ratio_from(F.col("x"), F.col("y"), least - 0.006), word_jaccard(F.col("x"), F.col("y"))), 2)
+    return once(pairs, "similarity", sim).where(F.col("similarity") >= least)
 
 
 def candidates(facts: DataFrame, entities: DataFrame, queries: DataFrame | None = None, min_score: float = 0.6, k: int = 10, cross_document_only: bool = False, similar_names: DataFrame | None = None) -> DataFrame:
     """Candidate pairs (a_id, b_id, score, ...), the ``k`` best of each fact (C-1 to C-8).
 
-    Facts meet by an equality join on their entity (its id, else the subject).
+    Facts meet by an equality join on their entity (its id, else the subject) and on
+    their effective name, which different ids may share.
     ``similar_names``, as from ``name_pairs``, lets facts of names that are alike meet
-    as well. Predicates are compared once for each distinct pair of strings that meets.
+    as well, unless even equal predicates and a cosine of 1 can't lift them over the ``k``
+    best that an end has among its own entity's. Predicates are compared once for each distinct pair of strings that meets.
     A pair is dropped before vectors are touched if even a cosine of 1 can't lift it
     to ``min_score``. ``queries`` restricts one end to a set of facts, so that the
     work grows with the queries times the facts of their entities.
@@ -148,28 +152,49 @@ def candidates(facts: DataFrame, entities: DataFrame, queries: DataFrame | None
     f = f.withColumn("vector", hash_embedding(canonical_text(name=F.col("name")))).withColumn("own", dot(F.col("vector"), F.col("vector"))).withColumn("p", folded(F.col("predicate")))
     f = f.withColumn("low", folded(F.coalesce("name", "subject"))).withColumn("e", F.coalesce("entity_id", "low"))
     left = f if queries is None else f.join(queries.select("id").distinct(), "id", "left_semi")
-    left = left.withColumn("es", F.lit(1.0))
+    by_entity, by_name = F.concat(F.lit("e "), "e"), F.concat(F.lit("n "), "low")
+    shared = f.where("low <> ''").groupBy("low").agg(F.min("e").alias("e1"), F.max("e").alias("e2")).where("e1 <> e2").select("low")
+
+    def scored(left: DataFrame, right: DataFrame, bounds: bool = False) -> DataFrame:
+        """Scored pairs of rows with equal ``m``, of which those by name have different ``e``."""
+        if queries is None:
+            # the facts of a large entity are dealt out over tasks, each of which meets all of them
+            shares = right.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("n"))
+            left = left.join(shares, "m").withColumn("share", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).drop("n")
+            right = right.join(shares, "m").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        else:
+            left, right = left.withColumn("share", F.lit(0)), right.withColumn("share", F.lit(0))
+        met = left.select("m", F.col("p").alias("x")).distinct().join(right.select("m", F.col("p").alias("y")).distinct(), "m").select("x", "y").distinct()
+        alike = F.when(F.col("x") == F.col("y"), 1.0).when(family(F.col("x")) == family(F.col("y")), 0.91).otherwise(F.round(sequence_ratio("x", "y"), 2))
+        alike = met.select(F.col("x").alias("a_p"), F.col("y").alias("b_p"), alike.alias("pred"))
+        j = side(left, "a").join(side(right, "b"), (F.col("a_m") == F.col("b_m")) & (F.col("a_share") == F.col("b_share"))).where("a_m like 'e %' or a_e <> b_e")
+        j = j.where(F.col("a_id") < F.col("b_id") if queries is None else F.col("a_id") != F.col("b_id")).where(entity_compatible() & unit_compatible())
+        if cross_document_only:
+            j = j.where("a_document_id <> b_document_id")
+        most = pair_score(F.col("a_es"), F.col("pred"), F.lit(1.0))
+        least = F.lit(min_score) if not bounds else F.col("a_bound") if queries is not None else F.least("a_bound", "b_bound")
+        j = j.join(alike, ["a_p", "b_p"]).where(most >= least)
+        j = once(j, "semantic", cosine(F.col("a_vector"), F.col("b_vector"), F.col("a_own"), F.col("b_own"))).withColumn("score", pair_score(F.col("a_es"), F.col("pred"), F.col("semantic"))).where(F.col("score") >= min_score)
+        return j.select("a_id", "b_id", "a_document_id", "b_document_id", F.col("a_es").alias("entity_similarity"), F.col("pred").alias("predicate_similarity"), F.round("semantic", 2).alias("semantic"), period_compatible().alias("period"), "score")
+
+    one = F.lit(1.0)
+    named = left.join(shared, "low", "left_semi").withColumn("m", by_name)
+    right = f.withColumn("m", by_entity).unionByName(f.join(shared, "low", "left_semi").withColumn("m", by_name))
+    j = scored(left.withColumn("m", by_entity).unionByName(named).withColumn("es", one), right)
+    w = W.partitionBy("end").orderBy(F.col("score").desc())
     if similar_names is not None:
-        ids = f.select(F.col("low").alias("y"), F.col("e").alias("e2")).distinct()
-        more = left.join(similar_names.select(F.col("x").alias("low"), "y", "similarity"), "low").join(ids, "y").where("e2 <> e")
-        left = left.unionByName(more.withColumn("e", F.col("e2")).withColumn("es", F.col("similarity")).select(*left.columns))
-    met = left.select("e", F.col("p").alias("x")).distinct().join(f.select("e", F.col("p").alias("y")).distinct(), "e").select("x", "y").distinct()
-    alike = F.when(F.col("x") == F.col("y"), 1.0).when(family(F.col("x")) == family(F.col("y")), 0.91).otherwise(F.round(sequence_ratio("x", "y"), 2))
-    alike = met.select(F.col("x").alias("a_p"), F.col("y").alias("b_p"), alike.alias("pred"))
-    if queries is None:
-        # the facts of a large entity are dealt out over tasks, each of which meets all of them
-        shares = f.groupBy("e").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("n"))
-        left = left.join(shares, "e").withColumn("share", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).drop("n")
-        right = f.join(shares, "e").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-        j = side(left, "a").join(side(right, "b"), (F.col("a_e") == F.col("b_e")) & (F.col("a_share") == F.col("b_share")))
-    else:
-        j = side(left, "a").join(side(f, "b"), F.col("a_e") == F.col("b_e"))
-    j = j.where(F.col("a_id") < F.col("b_id") if queries is None else F.col("a_id") != F.col("b_id")).where(entity_compatible() & unit_compatible())
-    if cross_document_only:
-        j = j.where("a_document_id <> b_document_id")
-    j = j.join(alike, ["a_p", "b_p"]).where(pair_score(F.col("a_es"), F.col("pred"), F.lit(1.0)) >= min_score)
-    j = once(j, "semantic", cosine(F.col("a_vector"), F.col("b_vector"), F.col("a_own"), F.col("b_own"))).withColumn("score", pair_score(F.col("a_es"), F.col("pred"), F.col("semantic"))).where(F.col("score") >= min_score)
-    j = j.select("a_id", "b_id", "a_document_id", "b_document_id", F.col("a_es").alias("entity_similarity"), F.col("pred").alias("predicate_similarity"), F.round("semantic", 2).alias("semantic"), period_compatible().alias("period"), "score")
+        ends = j.select(F.explode(F.array("a_id", "b_id")).alias("end"), "score") if queries is None else j.select(F.col("a_id").alias("end"), "score")
+        full = ends.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).where(F.col("rank") == k).select(F.col("end").alias("id"), F.col("score").alias("bound"))
+        bound = lambda d: d.join(full, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(min_score)))
+        left, right = bound(left), f if queries is not None else bound(f)
+        names = similar_names.join(left.groupBy(F.col("low").alias("x")).agg(F.min("bound").alias("bx")), "x")
+        floor = F.col("bx")
+        if queries is None:
+            names, floor = names.join(left.groupBy(F.col("low").alias("y")).agg(F.min("bound").alias("by")), "y"), F.least("bx", "by")
+        # the best score with that similarity: same predicate and period, another document
+        names = names.where(F.round(F.least(one, F.col("similarity") * 0.30 + 0.30 + 0.25 + 0.10 + 0.05), 2) >= floor).select(F.col("x").alias("low"), "y", F.col("similarity").alias("es"))
+        more = left.join(names, "low").withColumn("m", F.concat(F.lit("n "), "y")).drop("y")
+        j = j.unionByName(scored(more, right.withColumn("m", by_name), True))
     if queries is None:
         return top_k_either(j, k)
     w = W.partitionBy("a_id").orderBy(F.col("score").desc(), (F.col("a_document_id") == F.col("b_document_id")).asc(), "b_id")

@@ -32,9 +32,12 @@ def merged(facts: DataFrame) -> DataFrame:
     return facts.join(kept, "id", "left_semi")
 
 
-def prepared(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """The facts that are paired: last delivery of each, in normal form, one per claim."""
-    return merged(normalized(FA.latest(facts, ["id"], F.col("created_at"), F.col("seq")), files))
+def prepared(facts: DataFrame, files: DataFrame, entities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """The facts that are paired: last delivery of each, in normal form and with their
+    entity, one per claim. Without ``aliases`` none are known."""
+    if aliases is None:
+        aliases = facts.sparkSession.createDataFrame([], schemas.TABLES["entity_aliases"])
+    return merged(FA.with_entities(normalized(FA.latest(facts, ["id"], F.col("created_at"), F.col("seq")), files), entities, aliases))
 
 
 def assembled(extracted: DataFrame, chunks: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -64,15 +67,19 @@ def related(facts: DataFrame, entities: DataFrame, queries: str | None = None, m
     """(a_id, b_id, relationship_type, primary_dimension, confidence, explanation) of the
     candidates of ``prepared`` facts: the ``k`` best of either end among all facts or, with
     ``queries``, those of the facts for which that condition holds."""
-    c = PR.candidates(facts, entities, queries=None if queries is None else facts.where(queries), min_score=min_score, k=k).select("a_id", "b_id", "score")
-    j = PR.pair_up(c.withColumnsRenamed({"a_id": "fa", "b_id": "fb"}), PR.with_entity(facts, entities), "fa", "fb")
+    scratch = Scratch(facts.sparkSession, "related")
+    facts = scratch.write(facts)
+    of, f = None if queries is None else facts.where(queries), PR.with_entity(facts, entities)
+    alike = scratch.write(PR.name_pairs(f, of=None if of is None else PR.with_entity(of, entities)))
+    c = PR.candidates(facts, entities, queries=of, min_score=min_score, k=k, similar_names=alike).select("a_id", "b_id", "score")
+    j = PR.pair_up(c.withColumnsRenamed({"a_id": "fa", "b_id": "fb"}), f, "fa", "fb")
     d = PR.compare(j).where("d.branch <> 'rejected'")
     return d.select("a_id", "b_id", F.col("d.type").alias("relationship_type"), F.col("d.dimension").alias("primary_dimension"), F.col("d.confidence").alias("confidence"), "explanation")
 
 
-def relationships(facts: DataFrame, entities: DataFrame, files: DataFrame, queries: str | None = None, min_score: float = 0.6, k: int = 10) -> DataFrame:
+def relationships(facts: DataFrame, entities: DataFrame, files: DataFrame, queries: str | None = None, min_score: float = 0.6, k: int = 10, aliases: DataFrame | None = None) -> DataFrame:
     """``related`` of facts as they were delivered."""
-    return related(prepared(facts, files), entities, queries, min_score, k)
+    return related(prepared(facts, files, entities, aliases), entities, queries, min_score, k)
 
 
 class Job:
@@ -113,7 +120,7 @@ class Job:
             self.t["facts"] = self.scratch.write(facts)
 
     def normalise(self) -> None:
-        self.t["normalized"] = self.scratch.write(prepared(*self.need("facts", "document_files")))
+        self.t["normalized"] = self.scratch.write(prepared(*self.need("facts", "document_files", "entities"), self.t.get("entity_aliases")))
 
     def relate(self) -> None:
         self.t["related"] = self.scratch.write(related(*self.need("normalized", "entities")))

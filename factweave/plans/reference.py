@@ -602,8 +602,11 @@ def topk_either_endpoint(spark, d):
 @query()
 def candidate_pairs(spark, d):
     """The ten best candidates of each query fact (seq divisible by 100) among all facts."""
-    f = latest_facts(spark, d)
-    c = PR.candidates(f, table(spark, d, "entities"), queries=f.where("seq % 100 = 0"))
+    e = table(spark, d, "entities")
+    scratch = Scratch(spark, "candidates")
+    f = scratch.write(FA.with_entities(latest_facts(spark, d), e, table(spark, d, "entity_aliases")))
+    of = f.where("seq % 100 = 0")
+    c = PR.candidates(f, e, queries=of, similar_names=scratch.write(PR.name_pairs(PR.with_entity(f, e), of=PR.with_entity(of, e))))
     return c.select("a_id", "b_id", "predicate_similarity", "semantic", "period", "score", "rank")
 
 
@@ -878,5 +881,5 @@ def pipeline_relationships(spark, d):
     """The whole pipeline over the facts of the tables for the query facts (seq divisible by 100): normalise, merge, pair, decide; relationships by outcome."""
     from factweave.plans.pipeline import relationships
 
-    r = relationships(*(table(spark, d, t) for t in ("facts", "entities", "document_files")), queries="seq % 100 = 0")
+    r = relationships(*(table(spark, d, t) for t in ("facts", "entities", "document_files")), queries="seq % 100 = 0", aliases=table(spark, d, "entity_aliases"))
     return r.groupBy("relationship_type", "primary_dimension").agg(F.count(F.lit(1)).alias("n"))

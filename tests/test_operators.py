@@ -129,6 +129,38 @@ def test_candidates_equal_brute_force(spark):
     assert PR.candidates(f.limit(0), ents).count() == 0
 
 
+def test_candidates_of_other_names_equal_brute_force(spark):
+    ents = spark.createDataFrame([("e1", "Acme Mining", "company"), ("e2", "Acme Mining Group", "company"), ("e3", "acme mining", "other")], "id string, canonical_name string, entity_type string")
+    subjects = [("e1", "x"), ("e2", "x"), ("e3", "x"), (None, "Acme Mining"), (None, "Acme Minning Co"), (None, "Acme"), (None, "Nobody")]
+    rows = [row(f"f{k:02}", n=float(k), p=p, e=e, subj=s, doc=f"d{k % 3}", t=t) for k, (p, (e, s), t) in enumerate([(p, x, t) for p in ("revenue", "sales", "headcount") for x in subjects for t in ("FY2023", None)])]
+    f = spark.createDataFrame([r[:18] for r in rows], ", ".join(SCHEMA.split(", ")[:18]))
+    fe = PR.with_entity(f, ents).withColumn("v", V.hash_embedding(V.canonical_text(name=F.col("name"))))
+    alike = PR.name_pairs(fe)
+    sims = {(r.x, r.y): r.similarity for r in alike.collect()}
+    a, b = PR.side(fe, "a"), PR.side(fe, "b")
+    j = a.join(b, F.col("a_id") != F.col("b_id")).where(PR.entity_compatible() & PR.unit_compatible())
+    names = spark.createDataFrame([(*k, v) for k, v in sims.items()], "x string, y string, sim double")
+    j = j.join(names, (PR.effective_name("a") == F.col("x")) & (PR.effective_name("b") == F.col("y")), "left").withColumn("es", F.when(PR.same_entity(), 1.0).otherwise(F.col("sim"))).where("es is not null")
+    s = PR.pair_score(F.col("es"), PR.predicate_similarity(V.sequence_ratio("a_predicate", "b_predicate")), V.cosine(F.col("a_v"), F.col("b_v")))
+    every = [r for r in j.select("a_id", "b_id", s.alias("s"), (F.col("a_document_id") == F.col("b_document_id")).alias("same"), "es").collect() if r.s >= 0.6]
+    assert any(r.es < 1 for r in every)
+    for k in (3, 12):
+        top = {e: [(r.a_id, r.b_id, r.s) for r in sorted((r for r in every if r.a_id == e), key=lambda r: (-r.s, r.same, r.b_id))[:k]] for e in {r.a_id for r in every}}
+        of = f.where("id in ('f00', 'f06', 'f08', 'f33')")
+        got = {(r.a_id, r.b_id, r.score) for r in PR.candidates(f, ents, queries=of, k=k, similar_names=alike).collect()}
+        assert got == {x for e in ("f00", "f06", "f08", "f33") for x in top[e]}
+        got = [(r.a_id, r.b_id) for r in PR.candidates(f, ents, k=k, similar_names=alike).collect()]
+        assert sorted(got) == sorted({tuple(sorted(x[:2])) for v in top.values() for x in v})
+
+
+def test_missing_entities_are_resolved(spark):
+    ents = spark.createDataFrame([("e1", "Acme Mining", "company", 1.0)], "id string, canonical_name string, entity_type string, confidence double")
+    aliases = spark.createDataFrame([("e1", "AM")], "entity_id string, alias string")
+    f = spark.createDataFrame([("a", None, "acme mining"), ("b", "", "AM"), ("c", "e9", "Acme Mining"), ("d", None, "Acme Mining Inc."), ("e", None, "Other"), ("f", None, None)], "id string, entity_id string, subject string")
+    got = {r.id: r.entity_id for r in FA.with_entities(f, ents, aliases).collect()}
+    assert [got[x] for x in "abcd"] == ["e1", "e1", "e9", "e1"] and got["e"].startswith("new:") and got["f"].startswith("new:") and len(got) == 6
+
+
 def test_vectors(spark):
     c = lambda a, b: spark.createDataFrame([(a, b)], "a array<float>, b array<float>").select(V.cosine(F.col("a"), F.col("b")).alias("x")).first().x
     assert [round(c(*x), 6) for x in (([1.0, 2.0], [1.0, 2.0]), ([1.0, 0.0], [0.0, 1.0]), ([1.0], [-1.0]), ([], []), ([1.0], [1.0, 2.0]), ([0.0], [0.0]))] == [1, 0, -1, 0, 0, 0]
@@ -250,7 +282,7 @@ def test_job_carries_extracted_facts_on(spark):
     assert (good.validation_status, good.source_block_ids_json, good.source_page_start) == ("validated", '["b1"]', 1) and (bad.validation_status, bad.source_block_ids_json) == ("rejected", "[]")
     assert {r.normalized_numeric_value for r in out["normalized"].where("id <> 'other'").collect()} == {1.2e8}
     assert [{r.a_id, r.b_id} for r in out["related"].collect()] == [{good.id, facts["d2", "sales were $120 million"].id}]
-    for missing, stage in (("blocks", "chunk"), ("document_files", "normalise"), ("entities", "relate")):
+    for missing, stage in (("blocks", "chunk"), ("document_files", "normalise"), ("entities", "normalise")):
         job = Job({k: v for k, v in given.items() if k != missing}, extract=extract)
         with pytest.raises(ValueError, match=missing):
             job.run()
