@@ -63,7 +63,8 @@ class Scratch:
 
     A written table survives the loss of executors, is columnar and compressed
     (``DataFrame.checkpoint`` writes neither) and carries exact size statistics
-    for the planner.  ``drop`` removes tables that no later plan reads.
+    for the planner.  ``drop`` and ``clear`` remove tables; the rest goes when the
+    driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -75,26 +76,44 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.n == 1:
+            self._fs().deleteOnExit(self._path(self.root))  # when the driver's JVM ends
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def bytes(self, df: DataFrame) -> int:
-        p = self._path(df._scratch_path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return int(fs.getContentSummary(p).getLength())
+        """Bytes of the files of a written table."""
+        return int(self._fs().getContentSummary(self._path(df._scratch_path)).getLength())
+
+    def width(self, df: DataFrame) -> int:
+        """Bytes of a written flat table's rows in memory, counted: its texts and 16 a column."""
+        text = [F.octet_length(F.col(f"`{n}`")) for n, t in df.dtypes if t in ("string", "binary")]
+        size = F.lit(16 * len(df.columns)).cast("long")
+        for t in text:
+            size = size + F.coalesce(t, F.lit(0))
+        return int(df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
 
     def drop(self, *dfs: DataFrame) -> None:
+        """Delete tables that no later plan reads."""
         for df in dfs:
-            p = self._path(df._scratch_path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._fs().delete(self._path(df._scratch_path), True)
+
+    def clear(self) -> None:
+        """Delete all tables, once what was made of them is stored; else they go with the driver."""
+        self._fs().delete(self._path(self.root), True)
 
     def hinted(self, df: DataFrame, of: DataFrame | None = None, bound: int = BROADCAST_BYTES) -> DataFrame:
-        """``df`` with a broadcast hint if the files of the written table ``of``
-        (``df`` itself, or what it selects from) are within ``bound`` / 4 bytes;
-        otherwise unhinted, so that a sort-merge join with AQE's skew handling
+        """``df`` with a broadcast hint if the rows of the flat written table ``of``
+        (``df`` itself, or what it selects from) take ``bound`` bytes at most, which are
+        counted; otherwise unhinted, so that a sort-merge join with AQE's skew handling
         takes over."""
-        return F.broadcast(df) if self.bytes(of if of is not None else df) * 4 <= bound else df
+        of = df if of is None else of
+        flat = all("<" not in t for _, t in of.dtypes)
+        return F.broadcast(df) if flat and self.bytes(of) <= bound and self.width(of) <= bound else df
+
+    def _fs(self):
+        return self._path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, path: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
