@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -33,7 +34,8 @@ NAMES = ["char", "space", "line", "sentence", "entry", "paragraph", "block"]
 
 _SENTENCE = re.compile(r"[.!?][\"'”’)\]]*\s+|[。！？]\s*")
 _BREAK = re.compile(r"\n+")
-_ENTRY = re.compile(r"\s*(?:[-*•>]|\(?\w{1,3}[.)])\s|.*\s\|\s|-{3,}")
+_ENTRY = re.compile(r"[-*•>]\s|\(?\w{1,3}[.)]\s|-{3,}")
+_CELL = re.compile(r"\s\|\s")
 _WORD = re.compile(r"[^\W\d_]{2,}|[぀-ヿ一-鿿]")
 
 PIECES = T.ArrayType(
@@ -58,11 +60,13 @@ def places(text: str, lengths: list[int]) -> dict[int, int]:
 
     for m in _SENTENCE.finditer(text):
         put(m.end(), SENTENCE)
-    for m in _BREAK.finditer(text):
-        left = text[text.rfind("\n", 0, m.start()) + 1 : m.start()][:400]
-        right = text[m.end() : m.end() + 400].split("\n", 1)[0]
-        entry = _ENTRY.match(left) or _ENTRY.match(right)
-        put(m.end(), PARAGRAPH if m.end() - m.start() > 1 else ENTRY if entry else LINE)
+    left, after = None, 0
+    for m in [*_BREAK.finditer(text), None]:
+        line = _is_entry(text[after : m.start() if m else len(text)])
+        if after:
+            put(after, PARAGRAPH if wide else ENTRY if left or line else LINE)
+        if m:
+            left, after, wide = line, m.end(), m.end() - m.start() > 1
     end = len(text)
     for n in reversed(lengths):
         start = end - n
@@ -76,40 +80,76 @@ def places(text: str, lengths: list[int]) -> dict[int, int]:
     return at
 
 
+def _is_entry(line: str) -> bool:
+    """Whether a line is a row of a table or an entry of a list."""
+    return bool(_ENTRY.match(line.lstrip()) or _CELL.search(line))
+
+
+class _Side:
+    """The words on one side of a place, counted, and their product with the other side."""
+
+    def __init__(self) -> None:
+        self.count: Counter = Counter()
+        self.square = self.words = 0
+
+    def change(self, words: list[str], by: int, other: _Side) -> int:
+        """Add or take away words; the change of the product."""
+        dot, count = 0, self.count
+        for w in words:
+            c = count[w]
+            self.square += 1 + 2 * by * c
+            count[w] = c + by
+            dot += by * other.count.get(w, 0)
+        self.words += by * len(words)
+        return dot
+
+
+def similarities(bags: list[list[str]]) -> list[float]:
+    """Cosine of the words before and after each place between two bags: whole bags, of a
+    large one the nearest ``SIDE_WORDS`` words, until a side has that many.
+
+    Each bag enters and leaves each side once, so the work is in proportion to the words.
+    """
+    near, far = [b[-SIDE_WORDS:] for b in bags], [b[:SIDE_WORDS] for b in bags]
+    left, right, dot, a, b, out = _Side(), _Side(), 0, 0, 0, []
+    for g in range(1, len(bags)):
+        dot += left.change(near[g - 1], 1, right)
+        while a < g - 1 and left.words - len(near[a]) >= SIDE_WORDS:
+            dot += left.change(near[a], -1, right)
+            a += 1
+        if b >= g:
+            dot += right.change(far[g - 1], -1, left) if g > 1 else 0
+        b = max(b, g)
+        while b < len(bags) and right.words < SIDE_WORDS:
+            dot += right.change(far[b], 1, left)
+            b += 1
+        norm = math.sqrt(left.square * right.square)
+        out.append(dot / norm if norm else 0.0)
+    return out
+
+
 def depths(text: str, gaps: list[int]) -> dict[int, float]:
     """Depth of the cohesion valley at each gap."""
     edges = [0, *gaps, len(text)]
-    bags = [_WORD.findall(text[a:b].lower()) for a, b in zip(edges, edges[1:])]
-    sims = []
-    for g in range(1, len(bags)):
-        left, right, k = Counter(), Counter(), g - 1
-        while k >= 0 and left.total() < SIDE_WORDS:
-            left.update(bags[k][-SIDE_WORDS:])
-            k -= 1
-        k = g
-        while k < len(bags) and right.total() < SIDE_WORDS:
-            right.update(bags[k][:SIDE_WORDS])
-            k += 1
-        dot = sum(c * right[w] for w, c in left.items())
-        norm = math.sqrt(sum(c * c for c in left.values()) * sum(c * c for c in right.values()))
-        sims.append(dot / norm if norm else 0.0)
-    out = {}
-    for i, gap in enumerate(gaps):
-        l = r = sims[i]
-        k = i
-        while k > 0 and sims[k - 1] >= l:
-            k -= 1
-            l = sims[k]
-        k = i
-        while k + 1 < len(sims) and sims[k + 1] >= r:
-            k += 1
-            r = sims[k]
-        out[gap] = (l - sims[i]) + (r - sims[i])
-    return out
+    sims = similarities([_WORD.findall(text[a:b].lower()) for a, b in zip(edges, edges[1:])])
+
+    def climbed(xs: list[float]) -> list[float]:
+        """The height reached from each place, going back as long as it doesn't fall."""
+        out: list[float] = []
+        for k, x in enumerate(xs):
+            out.append(out[-1] if k and xs[k - 1] >= x else x)
+        return out
+
+    before, behind = climbed(sims), climbed(sims[::-1])[::-1]
+    return {gap: (before[i] - sims[i]) + (behind[i] - sims[i]) for i, gap in enumerate(gaps)}
 
 
 def split_text(text: str, lengths: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, str, int, int, int, str]]:
-    """Pieces (number, text, tokens, start, characters of overlap, kind of place it ends at)."""
+    """Pieces (number, text, tokens, start, characters of overlap, kind of place it ends at).
+
+    The time is in proportion to the text; what is looked at for a cut is a window of
+    the size of a piece.
+    """
     most, lap = 4 * limit + 3, 4 * overlap + 3
     tokens = lambda n: max(1, n // 4) if n else 0
     if len(text) <= most:
@@ -117,17 +157,11 @@ def split_text(text: str, lengths: list[int], limit: int = LIMIT, overlap: int =
     at = places(text, lengths)
     natural = sorted(k for k, level in at.items() if level >= SENTENCE)
     deep = depths(text, natural)
-    out, s, o, i = [], 0, 0, 0
+    out, s, o = [], 0, 0
     while len(text) - o > most:
         top = o + most
-        while i < len(natural) and natural[i] <= s:
-            i += 1
-        room = []
-        for k in natural[i:]:
-            if k > top:
-                break
-            room.append(k)
-        inner = [k for k in room if k >= s + FILL * (top - s)] or room[-1:]
+        end = bisect_right(natural, top)
+        inner = natural[bisect_left(natural, max(s + 1, s + FILL * (top - s))) : end] or natural[max(bisect_right(natural, s), end - 1) : end]
         if inner:
             cut = max(inner, key=lambda k: (round(deep[k] + 0.02 * at[k], 6), k))
         else:
@@ -135,7 +169,8 @@ def split_text(text: str, lengths: list[int], limit: int = LIMIT, overlap: int =
         level = at.get(cut, SPACE if text[cut - 1].isspace() else CHAR)
         out.append((len(out), text[o:cut], tokens(cut - o), o, s - o, NAMES[level]))
         low = max(cut - lap, o + 1)
-        begin = next((k for k in natural if low <= k < cut), None) or next((k for k in range(low, cut) if text[k - 1].isspace() and not text[k].isspace()), low)
+        k = bisect_left(natural, low)
+        begin = natural[k] if k < len(natural) and natural[k] < cut else next((k for k in range(low, cut) if text[k - 1].isspace() and not text[k].isspace()), low)
         s, o = cut, begin if overlap else cut
     out.append((len(out), text[o:], tokens(len(text) - o), o, s - o, "end"))
     return out

@@ -3,8 +3,10 @@ ties, empty tables and columns of clashing names."""
 
 import collections
 import json
+import math
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -63,6 +65,41 @@ def test_cuts_are_natural_where_they_can_be():
     assert splitting.split_text(t, [])[0][5] == "paragraph"  # the valley between two topics
 
 
+def brute_similarities(bags):
+    out = []
+    for g in range(1, len(bags)):
+        left, right, k = collections.Counter(), collections.Counter(), g - 1
+        while k >= 0 and left.total() < splitting.SIDE_WORDS:
+            left.update(bags[k][-splitting.SIDE_WORDS :])
+            k -= 1
+        k = g
+        while k < len(bags) and right.total() < splitting.SIDE_WORDS:
+            right.update(bags[k][: splitting.SIDE_WORDS])
+            k += 1
+        dot = sum(c * right[w] for w, c in left.items())
+        norm = math.sqrt(sum(c * c for c in left.values()) * sum(c * c for c in right.values()))
+        out.append(dot / norm if norm else 0.0)
+    return out
+
+
+def test_cohesion_equals_brute_force():
+    rnd = random.Random(4)
+    for _ in range(200):
+        bags = [[rnd.choice("abcdefgh") for _ in range(rnd.choice([0, 0, 3, 20, 59, 60, 61, 150]))] for _ in range(rnd.randint(1, 30))]
+        assert splitting.similarities(bags) == brute_similarities(bags)
+
+
+@pytest.mark.parametrize("unit", ["12 | 34 | 56\n", "The same sentence stands here again. ", " ", "x"])
+def test_time_is_in_proportion_to_the_text(unit):
+    text, at = unit * (10_000_000 // len(unit)), time.time()
+    pieces = splitting.split_text(text, [])
+    assert time.time() - at < 60 and "".join(p[1][p[4] :] for p in pieces) == text and all(len(p[1]) // 4 <= 800 for p in pieces)
+
+
+def test_a_long_row_is_a_row():
+    assert splitting.places("a" * 3000 + " | b\nsecond line", [])[3005] == splitting.ENTRY
+
+
 def test_oversized_chunks(spark, scratch):
     long, mid = "word. " * 700, "x" * 1000
     chunks = clash(spark.createDataFrame([("c1", long, '["b1", "b2"]', None), ("c1", long, '["b1", "b2"]', None), ("c2", "\n\n".join([mid] * 4), '["b2", "b2"]', "[]"), ("c3", None, None, None), ("c4", "", "[]", None), ("c5", "y" * 100000, "{broken", None), (None, long, None, None), ("c6", "z" * 3203, "[]", None)], "id string, text string, block_ids_json string, heading_path_json string"))
