@@ -7,12 +7,19 @@ become precomposed ones, ligatures are written out, invisible characters vanish,
 every kind of space becomes U+0020 and look-alike letters of other scripts
 become the Latin ones. Letter case, digits, quotation marks, dashes, the number
 of spaces, tabs and line breaks stay.  Joiners that are visible stay as well:
-U+200D between emoji, and U+200C/U+200D next to a letter of a joining script.
-
-The mapping is computed from the Unicode database by rule, plus the fixed
-look-alike tables below, and is checked for conflicts when it is built: no
-canonical form may be changed by the mapping again, and no two characters that
-look different may fall together.
+U+200D between emoji, and U+200C/U+200D between letters of a cursive script or
+after a sign that joins consonants.
+
+The mapping is a table made once, from the Unicode database by rule and the fixed
+look-alike tables below: every character that changes, and every base letter with
+one accent.  It is checked for conflicts when it is made: no canonical form may be
+changed by the mapping again, no printable ASCII character may change, and
+characters fall together only for a reason that is stated (width, accent, ligature,
+space, nothing to be seen, look-alike).
+
+Equality is decided by that form.  For reading, look-alike letters are replaced only
+in words that mix scripts (``readable``): a word wholly in Cyrillic or Greek is what
+it seems to be.
 """
 
 from __future__ import annotations
@@ -29,16 +36,21 @@ from pyspark.sql.types import StringType
 
 # Letters that are drawn like a Latin letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХԌԚԜҮӀаеѕіјорсухԁһԛԝү", "ABESIJKMHOPCTYXGQWYIaesijopcyxdhqwy"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονϲ", "ABEZHIKMNOPTYXCjovc"))
-ARMENIAN = dict(zip("Օօ", "Oo"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳανογιρυϲ", "ABEZHIKMNOPTYXCjavoyipuc"))
+ARMENIAN = dict(zip("ՕՍԼօսհոզց", "OULouhnqg"))
 
 #: Cf characters that are drawn.
 DRAWN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 #: Drawn as nothing although they are no format characters.
 FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
 JOINERS = "\u200c\u200d"
-#: Scripts in which U+200C and U+200D change the shape of letters.
-SHAPED = r"\p{Arabic}\p{Syriac}\p{Mongolian}\p{Nko}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}"
+#: Cursive scripts, whose letters U+200C and U+200D part or join.
+CURSIVE = r"\p{Arabic}\p{Syriac}\p{Mongolian}\p{Nko}"
+#: Text without any of these is its own form.
+_ODD = "[^\\x20-\\x7e\\n\\t\\r]"
+_LATIN = regex.compile(r"\p{Latin}")
+_FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}]")
+_WORD = regex.compile(r"[\p{L}\p{M}]+")
 EMOJI = r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\ufe0f\u20e3]"
 
 
@@ -50,10 +62,13 @@ def _invisible(c: int) -> bool:
 class Transducer:
     def __init__(self) -> None:
         self.single: dict[str, str] = {}
+        accented, virama = [], []
         for c in range(0x110000):
             if 0xD800 <= c < 0xE000 or 0x20000 <= c < 0xE0000:
                 continue
             ch = chr(c)
+            if unicodedata.combining(ch) == 9:
+                virama.append(ch)
             if _invisible(c):
                 self.single[ch] = ""
                 continue
@@ -62,8 +77,12 @@ class Transducer:
                     self.single[ch] = " "
                 continue
             d = unicodedata.decomposition(ch)
-            if d.startswith(("<wide>", "<narrow>")) or (d.startswith("<compat>") and "LIGATURE" in unicodedata.name(ch, "")):
+            roman = 0x2160 <= c < 0x2180 and d.startswith("<compat>")
+            letter = d.startswith("<font>") and unicodedata.category(ch)[0] == "L"
+            if d.startswith(("<wide>", "<narrow>")) or roman or letter or (d.startswith("<compat>") and "LIGATURE" in unicodedata.name(ch, "")):
                 self.single[ch] = unicodedata.normalize("NFKC", ch)
+            elif d and d[0] != "<":
+                accented.append(ch)
         self.alike = CYRILLIC | GREEK | ARMENIAN
         cls = lambda chars: "".join(f"\\U{ord(c):08x}" for c in sorted(chars))
         gone = cls(c for c, o in self.single.items() if not o)
@@ -71,46 +90,69 @@ class Transducer:
         marks = r"\p{M}\uff9e\uff9f"
         # longest first: emoji sequences, joiners that shape letters, clusters with accents, single characters
         self.pattern = regex.compile(
-            rf"(?P<keep>{EMOJI}+(?:\u200d{EMOJI}+)+|(?<=[{SHAPED}])[{JOINERS}](?=[{SHAPED}]))"
+            rf"(?P<keep>{EMOJI}+(?:\u200d{EMOJI}+)+|(?<=[{CURSIVE}])[{JOINERS}](?=[{CURSIVE}])|(?<=[{cls(virama)}])[{JOINERS}](?=\p{{L}}))"
             rf"|[^{marks}{gone}][{marks}{gone}]*[{marks}]|[{special}]|[{gone}]|[^\x00-\x7f]"
         )
         # the transducer has to look only at runs of other than plain characters and the base letter before one
         self.odd = re.compile(r"[\x20-\x7e]?[^\t-\r\x20-\x7e]+")
-        self.memo: dict[str, str] = {}
+        #: what each cluster becomes: every character that changes, every base with one accent; longer clusters are added as they come
+        self.table = {c: self.cluster(c) for c in [*self.single, *self.alike, *accented]}
+        self.table |= {unicodedata.normalize("NFD", c): self.table[c] for c in accented}
         self._check()
+        self.runs: dict[str, str] = {}
 
-    def cluster(self, s: str) -> str:
-        s = "".join(self.single.get(c, c) for c in s)
-        s = unicodedata.normalize("NFD", s)
-        return unicodedata.normalize("NFC", "".join(self.alike.get(c, c) for c in s))
+    def cluster(self, s: str, alike: bool = True) -> str:
+        """The canonical form of a cluster, by rule."""
+        s = unicodedata.normalize("NFD", "".join(self.single.get(c, c) for c in s))
+        return unicodedata.normalize("NFC", "".join(self.alike.get(c, c) for c in s) if alike else s)
 
     def _one(self, m: regex.Match) -> str:
         s = m[0]
         if m["keep"] is not None:
             return s
-        out = self.memo.get(s)
+        out = self.table.get(s)
         if out is None:
             out = self.cluster(s)
-            if len(self.memo) < 65536:
-                self.memo[s] = out
+            if len(self.table) < 1 << 17:
+                self.table[s] = out
+        return out
+
+    def _run(self, m: re.Match) -> str:
+        s = m[0]
+        out = self.runs.get(s)
+        if out is None:
+            out = self.pattern.sub(self._one, s)
+            if len(s) <= 16 and len(self.runs) < 1 << 17:
+                self.runs[s] = out
         return out
 
     def __call__(self, text: str) -> str:
-        return self.odd.sub(lambda m: self.pattern.sub(self._one, m[0]), text)
+        return self.odd.sub(self._run, text)
+
+    def readable(self, text: str) -> str:
+        """The form for reading: look-alike letters stay in words of one script."""
+        mixed = lambda m: self(m[0]) if _FOREIGN.search(m[0]) and _LATIN.search(m[0]) else m[0]
+        plain = lambda m: m[0] if m["keep"] is not None else self.cluster(m[0], False)
+        text = self.odd.sub(lambda m: self.pattern.sub(plain, m[0]), text)
+        return _WORD.sub(mixed, text) if _FOREIGN.search(text) else text
 
     def _check(self) -> None:
         """Refuse a mapping with conflicts."""
-        out: dict[str, str] = {}
-        for ch in [*self.single, *self.alike]:
-            to = self.cluster(ch)
+        for s, to in self.table.items():
             if self.cluster(to) != to:
-                raise ValueError(f"{ch!r} -> {to!r} is mapped again")
-            out[ch] = to
+                raise ValueError(f"{s!r} -> {to!r} is mapped again")
         plain = [chr(c) for c in range(0x20, 0x7F)]
         if any(self.cluster(c) != c for c in plain) or len({*map(self.cluster, plain)}) != len(plain):
             raise ValueError("an ASCII character is mapped")
+        # what falls together without the look-alike tables must be the same under compatibility, a space or nothing
+        for s, to in self.table.items():
+            bare = self.cluster(s, False)
+            if bare not in ("", " ") and unicodedata.normalize("NFKC", s) != unicodedata.normalize("NFKC", bare):
+                raise ValueError(f"{s!r} -> {to!r} has no reason")
+            if bare != to and not {*unicodedata.normalize("NFD", bare)} & {*self.alike}:
+                raise ValueError(f"{s!r} -> {to!r} has no reason")
         for script in (CYRILLIC, GREEK, ARMENIAN):
-            if len({*script}) != len(script) or any(not v.isascii() for v in script.values()):
+            if len({*script.values()}) < len(script) - 3 or any(len(v) != 1 or not v.isascii() for v in script.values()):
                 raise ValueError("a look-alike table is ambiguous")
 
 
@@ -125,13 +167,26 @@ def _canonical(batches: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else t(x) for x in batches], dtype=object)
 
 
+@F.pandas_udf(StringType())
+def _readable(batches: pd.Series) -> pd.Series:
+    t = transducer()
+    return pd.Series([None if x is None else t.readable(x) for x in batches], dtype=object)
+
+
+def readable(text: Column | str) -> Column:
+    """``text`` for reading: as ``canonical``, but a word of one script keeps its letters."""
+    c = F.col(text) if isinstance(text, str) else text
+    odd = c.rlike(_ODD)
+    return F.when(odd, _readable(F.when(odd, c))).otherwise(c)
+
+
 def canonical(text: Column | str) -> Column:
     """The one form of ``text``; null for null.
 
     Text of printable ASCII only is its own form, so it never leaves the JVM.
     """
     c = F.col(text) if isinstance(text, str) else text
-    odd = c.rlike("[^\\x20-\\x7e\\n\\t\\r]")
+    odd = c.rlike(_ODD)
     return F.when(odd, _canonical(F.when(odd, c))).otherwise(c)
 
 
@@ -156,6 +211,17 @@ def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     return d.select("key", digest(F.col("one")).alias("form"), digest(F.col("text")).alias("exact"))
 
 
+def lookalike_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, form, links): a row for each key with a visible text: the digest of its one
+    form, which is its class, and to how many different texts it is linked by it.
+
+    Keys that repeat give a row for each of their texts.
+    """
+    members = lookalike_classes(df, key, text).distinct()
+    size = members.select("form", "exact").distinct().groupBy("form").agg((F.count(F.lit(1)) - 1).alias("links"))
+    return members.join(size, "form").select(F.col("key").alias(key), F.hex("form").alias("form"), "links")
+
+
 def lookalike_pairs(df: DataFrame, scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b), a < b: keys whose texts differ but have the same one form.
 

@@ -98,11 +98,18 @@ def p10_found(spark, d):
     return pairs.withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
 
 
+def p10_classes(spark, d):
+    """Class of each document by the one form of its text, and its number of links."""
+    from factweave.llm.lookalike import lookalike_groups
+
+    return lookalike_groups(table(spark, d, "documents"))
+
+
 def p10_texts(spark, d):
-    """Every document in the one form of its text."""
-    from factweave.llm.lookalike import canonical
+    """Every document in one form for reading, and the form by which texts are equal."""
+    from factweave.llm.lookalike import canonical, readable
 
-    return table(spark, d, "documents").select("doc_id", canonical("text").alias("text"))
+    return table(spark, d, "documents").select("doc_id", readable("text").alias("text"), canonical("text").alias("form"))
 
 
 def queries():

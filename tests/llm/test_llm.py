@@ -373,6 +373,25 @@ ALIKE = [("ｶﾞ", "ガ"), ("éa", "éa"), ("ﬁx", "fix"), ("a​b", "ab"), (
 DIFFERENT = [("a b", "a  b"), ("A", "a"), ("“q”", '"q"'), ("a–b", "a-b"), ("0", "O"), ("1", "l"), ("👩‍🔧", "👩🔧"), ("a\tb", "a b"), ("№", "No"), ("é", "e"), ("ж", "x"), ("क्‍ष", "क्ष")]
 
 
+ALIKE += [("Ⅳ", "IV"), ("𝐀b", "Ab"), ("α", "a"), ("हि\u200cन्दी", "हिन्दी"), ("ոо", "no")]
+DIFFERENT += [("क्\u200cष", "क्ष"), ("می\u200cروم", "میروم"), ("к", "k"), ("½", "1/2"), ("²", "2")]
+
+
+def test_words_of_one_script_stay_readable():
+    t = lookalike.transducer()
+    s = "Аудиторы проверили отчёт и Ｗater; Rероrt, Αθήνα, κόσμος"
+    assert t.readable(s) == "Аудиторы проверили отчёт и Water; Report, Αθήνα, κόσμος"
+    assert t(s) == t(t.readable(s)) == t("Аудиторы проверили отчёт и Water; Report, Αθήνα, κόσμος")
+
+
+def test_groups_of_lookalikes(spark):
+    docs = [(1, "Report"), (2, "Repоrt"), (3, "Report"), (4, "Ｒeport"), (5, "report"), (6, None), (7, " "), (None, "Report")]
+    df = clash(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {r.doc_id: (r.form, r.links) for r in lookalike.lookalike_groups(df).collect()}
+    assert {k: v[1] for k, v in got.items()} == {1: 2, 2: 2, 3: 2, 4: 2, 5: 0} and len({got[k][0] for k in (1, 2, 3, 4)}) == 1
+    assert lookalike.lookalike_groups(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("a, b", ALIKE)
 def test_alike(a, b):
     t = lookalike.transducer()
