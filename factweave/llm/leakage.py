@@ -5,48 +5,49 @@ Texts are brought to one visual form, split into words and cut into passages of
 whole in a passage of its text.  A passage is a TF-IDF vector over the words of
 the evaluation texts, with document frequencies counted over the whole corpus and
 weights between 1 and 2 (binary counts).  A distributed randomised SVD of the
-evaluation passages gives a latent basis; corpus passages are folded into it, and
-their cosines with all evaluation passages give the candidates, which are then
-compared word by word: longest common run, longest common subsequence, answer.
-
-No case is lost by the search.  If two passages share a run with n different
-words, their cosine is at least n / (n + 4 (WINDOW - RUN)), because the at most
-WINDOW - RUN other words of either weigh at most 4 each; and the latent cosine
-falls short of the true one by no more than the share of the evaluation passage
-outside the basis.  The threshold of each evaluation passage is that bound.
-
-A paraphrase need not share any run, so the report doesn't rely on passages for it:
-if the common subsequence takes ``least`` of an item's words, the document holds all
-of the item's different words but (1 - ``least``) of its length.  These counts are a
-matrix product too, of documents with evaluation texts, and each pair that reaches
-the bound is compared.
-
-The evaluation texts are the stated query set.  They go to the tasks in blocks of
-bounded size; a larger set takes more passes over the corpus.
+evaluation passages gives a latent space of ``RANK`` dimensions; corpus passages are
+folded into it and their cosines with all evaluation passages give the candidates,
+which are then compared word by word: longest common run, longest common
+subsequence, answer.
+
+No case is lost by the reduction, whatever the rank.  Let P be the projection on the
+latent space, y an evaluation passage and s the words of a run of it.  A corpus passage
+that holds the run is s plus at most WINDOW - RUN other words, so its product with y in
+the latent space is at least <Ps, Py> + (WINDOW - RUN) m, where m, at most 0, is the
+least that one word adds, over all known words.  The least such bound over the runs
+of y, divided by the lengths of both passages, is the cosine from which a pair is a
+candidate.  The rank decides only how many candidates are compared for nothing.
+
+A paraphrase need not share any run.  Stretches of a document, twice as long as the
+item and every half of its length, are compared with the item if enough of their words
+are among the item's: a common subsequence can't be longer than their number.
+
+The evaluation texts are the stated query set.  What goes to the tasks at once is
+bounded in bytes (``BLOCK_BYTES``, counted from the texts): a set of some ten thousand
+texts takes one pass over the words of the corpus, a larger one more passes.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
 import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from factweave.llm.lookalike import transducer
+from factweave.llm.lookalike import canonical, transducer
 
 RUN, WINDOW, STRIDE = 12, 16, 5
-#: Passages in which words of the evaluation texts take fewer places than this are not
-#: searched. A shared run takes RUN places, so none is lost.
-KNOWN = 9
-#: Dimensions of the latent space, at most; passes of the power iteration.
-RANK, POWER = 1536, 2
-#: Evaluation texts that go to the tasks at once; the bound of what is broadcast is about this many times 10 kB.
-BLOCK = 1000
+#: Dimensions of the latent space; passes of the power iteration.
+RANK, POWER = 128, 2
+#: Bound of what one block of evaluation texts takes in a task, in bytes.
+BLOCK_BYTES = 64 << 20
+#: Documents that are compared with a block as one matrix product.
+BATCH = 512
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -56,15 +57,11 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall(transducer()(text).lower()) if text else []
 
 
-@F.pandas_udf(StringType())
-def _words(text: pd.Series) -> pd.Series:
-    return pd.Series([" ".join(words(t)) for t in text], dtype=object)
-
-
 def with_words(df: DataFrame, key: str, scratch, *more: str) -> DataFrame:
     """(key, words) of texts with at least ``RUN`` words, joined by spaces; null keys and
-    texts have no row."""
-    d = df.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("key"), *more, _words("text").alias("words"))
+    texts have no row. Only texts with other than ASCII characters leave the JVM."""
+    spaced = F.trim(F.regexp_replace(F.lower(canonical("text")), r"[^\p{L}\p{N}]+", " "))
+    d = df.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("key"), *more, spaced.alias("words"))
     return scratch.write(d.where(F.length("words") - F.length(F.translate("words", " ", "")) >= RUN - 1))
 
 
@@ -89,7 +86,7 @@ def _frequency(vocab: dict[str, int]):
 
 def weights(corpus: DataFrame, vocab: dict[str, int]) -> np.ndarray:
     """Weights from 1 (in every document) to 2 (in none), by document frequency in the corpus."""
-    rows = corpus.select("words").mapInPandas(_frequency(vocab), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most one row a word of the evaluation block
+    rows = corpus.select("words").mapInPandas(_frequency(vocab), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()  # at most one row a word of the block
     df, n = np.zeros(len(vocab)), 1
     for r in rows:
         if r.k < 0:
@@ -128,37 +125,48 @@ def _rows(lists: list[list[int]], w: np.ndarray, basis: np.ndarray) -> np.ndarra
 
 
 def _gram(vocab: dict[str, int], w: np.ndarray, omega: np.ndarray):
-    """A' A omega of a partition's passages, as bytes."""
+    """Rows of A' A omega of a partition's passages A."""
 
     def run(it):
-        total = np.zeros(omega.shape, dtype=np.float32)
+        total: dict[int, np.ndarray] = {}
         for pdf in it:
             lists = [p for ws in pdf.words for p, _ in passages(ws.split(" "), vocab)]
             y = _rows(lists, w, omega)
-            flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if lists else np.zeros(0, dtype=np.int64)
-            rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            order = np.argsort(flat, kind="stable")
-            if len(flat):
-                cols, starts = np.unique(flat[order], return_index=True)
-                total[cols] += np.add.reduceat(y[rows[order]] * w[flat[order], None].astype(np.float32), starts, axis=0)
-        yield pd.DataFrame({"part": [total.tobytes()]})
+            for p, row in zip(lists, y):
+                for k in p:
+                    total[k] = total[k] + row * w[k] if k in total else row * w[k]
+        if total:
+            yield pd.DataFrame({"k": list(total), "row": [r.astype(np.float32) for r in total.values()]})
 
     return run
 
 
-def latent_basis(items: DataFrame, vocab: dict[str, int], w: np.ndarray, rank: int = RANK, power: int = POWER, parts: int = 8) -> np.ndarray:
+#: Words whose rows one task adds.
+TOGETHER = 1024
+
+
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    ks, at = np.unique(pdf.k, return_inverse=True)
+    total = np.zeros((len(ks), len(pdf.row.iloc[0])), dtype=np.float32)
+    np.add.at(total, at, np.stack(pdf.row))
+    return pd.DataFrame({"k": ks, "row": list(total)})
+
+
+def latent_basis(items: DataFrame, vocab: dict[str, int], w: np.ndarray, rank: int = RANK, power: int = POWER) -> np.ndarray:
     """Orthonormal basis (words x rank) of a randomised SVD of the passages of ``items``.
 
-    Each pass multiplies the passages with the current sketch in ``parts`` tasks and
-    adds the partial products, parts x words x rank numbers, on the driver.
+    Each pass multiplies the passages with the current sketch in the tasks; the rows of
+    the partial products are added there too, so that words x rank numbers come to the
+    driver, which makes them orthogonal.
     """
     k = min(rank, len(vocab))
     q = np.random.default_rng(9).standard_normal((len(vocab), k)).astype(np.float32)
-    spread = items.select("words").repartition(parts)
     for _ in range(power + 1):
         y = np.zeros((len(vocab), k))
-        for r in spread.mapInPandas(_gram(vocab, w, q), "part binary").toLocalIterator():
-            y += np.frombuffer(r.part, dtype=np.float32).reshape(y.shape)
+        parts = items.select("words").mapInPandas(_gram(vocab, w, q), "k long, row array<float>")
+        # a group holds one row a word and task
+        for r in parts.groupBy(F.floor(F.col("k") / TOGETHER)).applyInPandas(_add, "k long, row array<float>").toLocalIterator():
+            y[r.k] = r.row
         q = np.linalg.qr(y)[0].astype(np.float32)
     return q
 
@@ -192,6 +200,18 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(b) - v.bit_count()
 
 
+def near_subsequence(ws: list[str], t: list[str], own: frozenset, least: int) -> int:
+    """The longest common subsequence of ``t`` with a stretch of ``ws`` twice as long, one
+    every half of its length; 0 if it is under ``least``."""
+    n, best = len(t), 0
+    known = [0, *itertools.accumulate(x in own for x in ws)]
+    for at in range(0, max(1, len(ws) - n), max(1, n // 2)):
+        end = min(len(ws), at + 2 * n)
+        if known[end] - known[at] >= max(least, best + 1):
+            best = max(best, common_subsequence(ws[at:end], t))
+    return best if best >= least else 0
+
+
 class Block:
     """One block of evaluation texts, ready to be compared with a corpus."""
 
@@ -203,79 +223,89 @@ class Block:
         self.owners = list(texts.values())
         self.vocab = {w: k for k, w in enumerate(sorted({w for t in self.texts for w in t}))}
         self.w = weights(corpus, self.vocab)
-        self.basis = latent_basis(items, self.vocab, self.w, rank)
-        lists, self.text_of, floor = [], [], []
+        basis = latent_basis(items, self.vocab, self.w, rank)
+        #: the latent vector of each word, weighted
+        self.latent = (basis * self.w[:, None]).astype(np.float32)
         self.sets = [frozenset(t) for t in self.texts]
-        #: different words that a document shares at least, if it shares a run; if it paraphrases (else None)
-        self.shared, self.kept = [], None if least is None else [max(1, len(s) - int((1 - least) * len(t) + 1e-9)) for s, t in zip(self.sets, self.texts)]
+        #: different words that a document shares at least if it shares a run
+        self.shared = [min(len({*t[s : s + RUN]}) for s in range(len(t) - RUN + 1)) for t in self.texts]
+        #: words that a subsequence takes at least, if it is a paraphrase
+        self.least = None if least is None else [max(1, math.ceil(least * len(t) - 1e-9)) for t in self.texts]
+        if least is not None:
+            #: different words that a paraphrase shares at least: all but those of the places that it leaves out
+            self.kept = np.array([max(1, len(s) - len(t) + n) for s, t, n in zip(self.sets, self.texts, self.least)])
+            holders: list[list[int]] = [[] for _ in self.vocab]
+            for k, s in enumerate(self.sets):
+                for x in s:
+                    holders[self.vocab[x]].append(k)
+            #: the texts in which each word occurs
+            self.holders = [np.array(h) for h in holders]
+        y, floor, self.text_of = [], [], []
+        latent = self.latent.astype(np.float64)
         for k, t in enumerate(self.texts):
-            n = min(len({*t[s : s + RUN]}) for s in range(len(t) - RUN + 1))
-            self.shared.append(n)
-            for known, _ in passages(t, self.vocab):
-                lists.append(known)
+            ids = [self.vocab[x] for x in t]
+            for s in windows(len(t)):
+                part = ids[s : s + WINDOW]
+                z = latent[sorted({*part})].sum(0)
+                add = latent @ z
+                run = min(add[sorted({*part[j : j + RUN]})].sum() for j in range(len(part) - RUN + 1))
+                y.append(z)
+                floor.append(run + (WINDOW - RUN) * min(0.0, add.min()))
                 self.text_of.append(k)
-                floor.append(n / (n + 4.0 * (WINDOW - RUN)))
-        norm = np.array([np.sqrt((self.w[x] ** 2).sum()) for x in lists])
-        z = _rows(lists, self.w, self.basis) / norm[:, None]
-        outside = np.sqrt(np.maximum(0, 1 - (z.astype(np.float64) ** 2).sum(1)))
-        self.z = z.astype(np.float32)
-        self.floor = (np.array(floor) - outside - 1e-4).astype(np.float32)
+        self.y = np.array(y, dtype=np.float32)
+        self.floor = (np.array(floor) - 1e-3).astype(np.float32)
         self.text_of = np.array(self.text_of)
-        self.low = float(self.floor.min())
 
 
 def _search(blk):
-    """Candidates of each document by latent cosine and, for paraphrases, by shared words,
-    then the comparison of words."""
+    """Candidates of each document by latent cosine and, for paraphrases, by their words in
+    a stretch, then the comparison of words."""
 
     def candidates(docs: list[list[str]]) -> list[set[int]]:
+        """Texts one of whose passages is as near as a passage with a shared run must be."""
         b = blk.value
-        lists, norms, doc = [], [], []
+        lists, doc = [], []
         for d, ws in enumerate(docs):
-            for known, other in passages(ws, b.vocab, KNOWN):
-                own = float((b.w[known] ** 2).sum())
-                if own and own >= (b.low * b.low if b.low > 0 else 0) * (own + other):
-                    lists.append(known)
-                    norms.append(np.sqrt(own + other))
-                    doc.append(d)
+            for known, _ in passages(ws, b.vocab, RUN):
+                lists.append(known)
+                doc.append(d)
         out: list[set[int]] = [set() for _ in docs]
         for s in range(0, len(lists), 1024):
-            z = _rows(lists[s : s + 1024], b.w, b.basis) / np.array(norms[s : s + 1024], dtype=np.float32)[:, None]
-            hit = z @ b.z.T >= b.floor
-            for i, j in zip(*np.nonzero(hit)):
+            part = lists[s : s + 1024]
+            flat = np.concatenate([np.asarray(x) for x in part])
+            z = np.add.reduceat(b.latent[flat], np.cumsum([0, *(len(x) for x in part)])[:-1], axis=0)
+            # both sides of the cosine and of its bound are divided by the same two lengths
+            for i, j in zip(*np.nonzero(z @ b.y.T >= b.floor)):
                 out[doc[s + i]].add(int(b.text_of[j]))
         return out
 
-    def paraphrases(docs: list[list[str]], holds: np.ndarray) -> list[set[int]]:
+    def paraphrases(docs: list[list[str]]) -> list[set[int]]:
+        """Texts of whose different words a document holds as many as a paraphrase must."""
         b = blk.value
-        at = np.zeros((len(docs), len(b.vocab)), dtype=np.float32)
-        for d, ws in enumerate(docs):
-            at[d, [i for i in {b.vocab.get(w, -1) for w in ws} if i >= 0]] = 1
-        out: list[set[int]] = [set() for _ in docs]
-        for d, k in zip(*np.nonzero(at @ holds >= np.array(b.kept, dtype=np.float32))):
-            out[d].add(int(k))
+        out = []
+        for ws in docs:
+            held = [b.holders[b.vocab[x]] for x in {*ws} if x in b.vocab]
+            count = np.bincount(np.concatenate(held), minlength=len(b.texts)) if held else np.zeros(len(b.texts))
+            out.append({int(k) for k in np.flatnonzero(count >= b.kept)})
         return out
 
     def run(it):
         b = blk.value
-        if b.kept is not None:
-            holds = np.zeros((len(b.vocab), len(b.texts)), dtype=np.float32)
-            for k, s in enumerate(b.sets):
-                holds[[b.vocab[w] for w in s], k] = 1
         for pdf in it:
             rows = []
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
+            for at in range(0, len(pdf), BATCH):
+                part = pdf.iloc[at : at + BATCH]
                 docs = [x.split(" ") for x in part.words]
-                alike = paraphrases(docs, holds) if b.kept is not None else [set()] * len(docs)
+                alike = paraphrases(docs) if b.least is not None else [set()] * len(docs)
                 for key, ws, near, like in zip(part.key, docs, candidates(docs), alike):
                     held = {*ws} if near or like else ()
                     for k in sorted(near | like):
                         t = b.texts[k]
-                        if k not in like and len(held & b.sets[k]) < b.shared[k]:
+                        n = longest_run(ws, t) if k in near and len(held & b.sets[k]) >= b.shared[k] else 0
+                        c = near_subsequence(ws, t, b.sets[k], b.least[k]) if k in like else 0
+                        if n < RUN and not c:
                             continue
-                        n = longest_run(ws, t)
-                        c = common_subsequence(ws, t) if b.kept is not None else 0
+                        n = n or longest_run(ws, t)
                         for item, answer in b.owners[k]:
                             aw = _WORDS.findall((answer or "").lower())
                             rows.append((key, item, n, c, len(t), bool(aw) and all(x in held for x in aw)))
@@ -284,12 +314,19 @@ def _search(blk):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, scratch, rank: int = RANK, block: int = BLOCK, least: float | None = None) -> DataFrame:
-    """(doc_id, item_id, run, lcs, n_words, has_answer) of all candidates: pairs that may
-    share a run and, with ``least``, all whose ``lcs`` is at least that part of the item.
+def block_bytes(words: int, rank: int = RANK) -> int:
+    """What evaluation texts of so many words take in a task, at most: a passage every
+    ``STRIDE`` words and a latent vector for each word, and the words themselves."""
+    return words * (4 * rank // STRIDE + 4 * rank + 200)
+
+
+def leaks(documents: DataFrame, items: DataFrame, scratch, rank: int = RANK, block: int = BLOCK_BYTES, least: float | None = None) -> DataFrame:
+    """(doc_id, item_id, run, lcs, n_words, has_answer) of documents and items that share a
+    run of ``RUN`` words and, with ``least``, of those whose ``lcs`` is at least that part of
+    the item.
 
-    ``run`` and ``lcs`` are the longest common run and subsequence in words (``lcs`` is 0
-    without ``least``),
+    ``run`` is the longest common run in words, ``lcs`` the longest common subsequence with
+    a stretch of the document (see ``near_subsequence``; 0 below ``least`` or without it),
     ``n_words`` the words of the item, ``has_answer`` whether the document holds all
     words of its answer.  Null, empty and short texts (under ``RUN`` words) give no
     row; documents or items that occur twice give their rows once.
@@ -297,12 +334,14 @@ def leaks(documents: DataFrame, items: DataFrame, scratch, rank: int = RANK, blo
     spark = documents.sparkSession
     corpus = with_words(documents, "doc_id", scratch)
     queries = with_words(items, "item_id", scratch, "answer")
-    keyed = queries.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(max(1, -(-queries.count() // block)))))
+    size = queries.agg(F.coalesce(F.sum(F.size(F.split("words", " "))), F.lit(0)).alias("n")).first().n
+    # a hash deals texts out unevenly, by a part that shrinks with their number; half the bound leaves room for it
+    keyed = queries.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(max(1, -(-block_bytes(size, rank) * 2 // block)))))
     blocks = sorted(r.block for r in keyed.select("block").distinct().collect())
     parts = []
     for n in blocks:
         own = keyed.where(F.col("block") == n).drop("block")
-        blk = spark.sparkContext.broadcast(Block(own.collect(), corpus, own, rank, least))  # about `block` texts, a stated bound
+        blk = spark.sparkContext.broadcast(Block(own.collect(), corpus, own, rank, least))  # texts of bounded bytes
         parts.append(corpus.mapInPandas(_search(blk), "doc long, item long, run int, lcs int, n_words int, has_answer boolean"))
     if not parts:
         return corpus.select(F.col("key").alias("doc_id"), F.col("key").alias("item_id"), *(F.lit(0).alias(c) for c in ("run", "lcs", "n_words")), F.lit(False).alias("has_answer")).limit(0)
