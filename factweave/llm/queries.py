@@ -52,7 +52,7 @@ def p3_pages(spark, d):
     """Every page as repaired paragraphs."""
     from factweave.llm.scans import Scan
 
-    return Scan(table(spark, d, "pages"), Scratch(spark, "p3")).repaired()
+    return Scan(table(spark, d, "pages"), Scratch(spark, "p3"), context=True).repaired()
 
 
 def p5_found(spark, d):

@@ -9,9 +9,10 @@
   rare one, a weighted edit distance in which pairs of confused glyphs are cheap
   decides, and the word before picks among several repairs.
 
-The lexicon, the index and the repairs are tables over distinct words, which grow
-far slower than the text; occurrences are only counted with partial aggregates
-and looked up.  Lines of one page stay in one row.
+Pages are read once, into a table of lines, and lines are cut into words once, into
+a table of words with what tells names from ordinary words.  The lexicon, the index
+and the repairs are tables over distinct words, which grow far slower than the text;
+occurrences are only counted with partial aggregates and looked up.
 """
 
 from __future__ import annotations
@@ -38,11 +39,12 @@ CONFUSED, EDIT, MOST = 0.3, 1.0, 0.35
 LONG, MOST_LONG = 9, 0.65
 #: A printed word occurs at least so often, and so many times as often as its misreading.
 MIN_COUNT, RATIO = 8, 8.0
-#: Words beyond this length are codes.
-MAX_WORD = 32
+#: Beyond this length a word is found by pieces of ``PIECE`` characters, of which two misread places leave one whole.
+LONG_KEYS, PIECE = 32, 6
 EDGE, MIN_PAGES = 3, 3
 
-HYPHEN = "-\\u2010\\u00ad\\u00ac"
+HYPHENS = ("-", "\u2010", "\u00ad", "\u00ac")
+WHITE = " \t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # one class without alternatives, which Java would match by recursion on a very long word
 WORD = r"[\p{L}\p{Nd}][\p{L}\p{Nd}|!@$'’]*"
 #: What stands before the first word of a sentence or cell.
@@ -50,27 +52,35 @@ OPENERS = '.!?:;|>*)(“"'
 PAGE_NO = r"(?i)^(?:(?:page|p\.|pg\.?|seite|pagina|página|стр\.)\s*)?[\[(–-]*\s*(\d{1,6})\s*(?:(?:/|of|von|de|sur)\s*\d{1,6}\s*)?[\])–-]*$"
 
 
-def lines_of(text: Column) -> Column:
-    """Lines of a text without white space at the end (a carriage return is such)."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)(?<!\s)\s+$", ""))
+def _broken(line: Column) -> Column:
+    """Whether a line ends in a hyphen after a letter or digit."""
+    hyphen = functools.reduce(lambda x, y: x | y, (F.endswith(line, F.lit(h)) for h in HYPHENS))
+    return F.coalesce(hyphen & F.right(line, F.lit(2)).rlike(r"^[\p{L}\p{Nd}]"), F.lit(False))
 
 
-def page_frame(pages: DataFrame) -> DataFrame:
-    """(page_id, file, page_number, lines) of pages with text."""
-    return pages.where("id is not null and raw_text is not null").select(F.col("id").alias("page_id"), F.col("document_id").alias("file"), "page_number", lines_of(F.col("raw_text")).alias("lines"))
+def line_table(pages: DataFrame) -> DataFrame:
+    """(page_id, file, page_number, line_no, line, broken, after, cont, outer) of the lines
+    that aren't blank, of pages with text.
 
-
-def _outer(lines: Column) -> Column:
-    """(line_no, line) of the first and last lines that aren't blank."""
-    full = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda s: s["line"].rlike(r"(?U)\S"))
-    n = F.size(full)
-    return F.filter(full, lambda s, i: (i < EDGE) | (i >= n - EDGE))
+    Lines have no white space at the end (a carriage return is such).  ``broken`` and
+    ``cont`` tell whether the line and the one before end in a hyphen after a letter or
+    digit, ``after`` is the next line where this one is broken, ``outer`` tells whether it
+    is among the first or last three that aren't blank.
+    """
+    lines = F.transform(F.split("raw_text", "\n", -1), lambda x: F.rtrim(x, F.lit(WHITE)))
+    p = pages.where("id is not null and raw_text is not null").select(F.col("id").alias("page_id"), F.col("document_id").alias("file"), "page_number", lines.alias("lines"))
+    full = F.filter(F.transform("lines", lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
+    p = p.withColumn("full", full)
+    edge = F.concat(F.slice("full", 1, EDGE), F.slice("full", F.greatest(F.lit(1), F.size("full") - EDGE + 1), F.lit(EDGE)))
+    p = p.withColumns({"edge": edge, "broken": F.transform("lines", _broken)})
+    each = F.transform("full", lambda i: F.struct((i + 1).alias("line_no"), F.get("lines", i).alias("line"), F.get("broken", i).alias("broken"), F.when(F.get("broken", i), F.coalesce(F.get("lines", i + 1), F.lit(""))).alias("after"), F.coalesce(F.get("broken", i - 1), F.lit(False)).alias("cont"), F.array_contains("edge", i).alias("outer")))
+    return p.select("page_id", "file", "page_number", F.explode(each).alias("s")).select("page_id", "file", "page_number", "s.*")
 
 
-def outer_lines(frame: DataFrame) -> DataFrame:
+def outer_lines(lines: DataFrame) -> DataFrame:
     """(page_id, file, page_number, line_no, line, page_no) of the outer lines;
     ``page_no`` tells whether the line is nothing but the page's number."""
-    o = frame.select("page_id", "file", "page_number", F.explode(_outer(F.col("lines"))).alias("s")).select("page_id", "file", "page_number", "s.*")
+    o = lines.where("outer").select("page_id", "file", "page_number", "line_no", "line")
     bare = F.regexp_extract(F.trim("line"), PAGE_NO, 1)
     is_no = (bare != "") & ((bare.try_cast("int") == F.col("page_number")) | (F.col("page_number").isNull() & F.trim("line").rlike(r"(?i)[a-z\[/-]")))
     return o.withColumn("page_no", F.coalesce(is_no, F.lit(False)))
@@ -96,77 +106,116 @@ def running_lines(outer: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return o.join(often, ["file", "key", "key2"], "left_semi").select("page_id", "line_no")
 
 
-def _whole(lines: Column) -> Column:
-    """Lines without the parts of words that a line end breaks."""
-    ends = rf"[\p{{L}}\p{{Nd}}][{HYPHEN}]$"
-    # bounded and anchored by what precedes, so that a very long word or gap costs no more than its length
-    cut = F.transform(lines, lambda x: F.regexp_replace(x, rf"\S{{0,80}}[\p{{L}}\p{{Nd}}][{HYPHEN}]$", ""))
-    return F.transform(cut, lambda x, i: F.when((i > 0) & F.get(lines, i - 1).rlike(ends), F.regexp_replace(x, r"^\s*\S+", "")).otherwise(x))
+def tokens(lines: DataFrame, context: bool = False) -> DataFrame:
+    """(page_id, line_no, word, plain, capital) of whole words, with ``context`` also
+    ``prev``, the word before on the line, where no sentence starts between.
 
-
-def tokens(frame: DataFrame) -> DataFrame:
-    """(page_id, line_no, prev, word, lower, start) of whole words; ``prev`` is the word
-    before on the line, ``start`` tells whether a sentence or line starts there."""
-    per_line = frame.select("page_id", F.posexplode(_whole(F.col("lines"))).alias("i", "line")).where(F.col("line").rlike(r"\p{L}"))
+    ``plain`` tells that a word is no name: it has no capital, or one at the start of a
+    sentence or line only.  Parts of words that a line end breaks are no words; numbers
+    are left out.
+    """
+    # from behind, so that a very long word or gap costs no more than its length
+    cut = F.when(F.col("broken"), F.reverse(F.regexp_replace(F.reverse("line"), r"^\S+", ""))).otherwise(F.col("line"))
+    cut = F.when(F.col("cont"), F.regexp_replace(cut, r"^\s*\S+", "")).otherwise(cut)
     # arrays are only cut and shifted; all work on words is done by scalar expressions after the explode
-    raw = F.regexp_extract_all("line", F.lit(rf'(?:[{OPENERS}]\s*)?' + WORD), F.lit(0))
-    t = per_line.select("page_id", (F.col("i") + 1).alias("line_no"), raw.alias("ws"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("ws", F.lit(1), F.greatest(F.lit(0), F.size("ws") - 1)))
-    t = t.select("page_id", "line_no", F.explode(F.arrays_zip(before.alias("p"), F.col("ws").alias("w"))).alias("x")).select("page_id", "line_no", F.col("x.p").alias("p"), F.col("x.w").alias("w"))
+    raw = F.regexp_extract_all(cut, F.lit(rf"(?:[{OPENERS}]\s*)?" + WORD), F.lit(0))
+    t = lines.select("page_id", "line_no", raw.alias("ws"))
     word = lambda c: F.rtrim(F.ltrim(c, F.lit(OPENERS + " \t\u00a0")), F.lit("|!@$'’"))
-    opened = F.instr(F.lit(OPENERS), F.substring("w", 1, 1)) > 0
-    t = t.select("page_id", "line_no", F.when(~opened, F.lower(word(F.col("p")))).alias("prev"), word(F.col("w")).alias("word"), (F.col("p").isNull() | opened).alias("start"))
-    return t.where(F.length("word") <= MAX_WORD).withColumn("lower", F.lower("word"))
-
-
-def plain(word: Column, start: Column) -> Column:
-    """Not a name: no capital, or one at the start of a sentence or line only."""
-    return word.rlike(r"^[^\p{Lu}]+$") | (start & word.rlike(r"^\p{Lu}[^\p{Lu}]*\p{Ll}[^\p{Lu}]*\p{Ll}"))
+    if context:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice("ws", F.lit(1), F.greatest(F.lit(0), F.size("ws") - 1)))
+        t = t.select("page_id", "line_no", F.posexplode(F.arrays_zip(before.alias("p"), F.col("ws").alias("w"))).alias("k", "x")).select("page_id", "line_no", "k", F.col("x.p").alias("p"), F.col("x.w").alias("w"))
+    else:
+        t = t.select("page_id", "line_no", F.posexplode("ws").alias("k", "w"))
+    opened = F.instr(F.lit(OPENERS), F.left("w", F.lit(1))) > 0
+    t = t.withColumns({"word": word(F.col("w")), "start": (F.col("k") == 0) | opened}).where(F.translate("word", "0123456789", "") != "")
+    t = t.withColumns({"low": F.lower("word"), "rest": F.substring("word", 2, 1 << 30)})
+    capital = F.left("word", F.lit(1)) != F.left("low", F.lit(1))
+    plain = (F.col("word") == F.col("low")) | (F.col("start") & capital & (F.col("rest") == F.lower("rest")) & F.col("rest").rlike(r"\p{Ll}[^\p{Ll}]*\p{Ll}"))
+    more = [F.when(~opened, F.lower(word(F.col("p")))).alias("prev")] if context else []
+    return t.select("page_id", "line_no", "word", plain.alias("plain"), capital.alias("capital"), *more)
 
 
 def lexicon(tok: DataFrame) -> DataFrame:
     """(word, n, small, caps): how often a word stands as an ordinary word, in small
     letters only, and with a capital inside a sentence."""
-    p = plain(F.col("word"), F.col("start"))
-    return tok.groupBy(F.col("lower").alias("word")).agg(F.count_if(p).alias("n"), F.count_if(F.col("word") == F.col("lower")).alias("small"), F.count_if(~p & F.col("word").rlike(r"^\p{Lu}")).alias("caps"))
-
-
-@functools.lru_cache(maxsize=1 << 16)
-def distance(printed: str, seen: str) -> float:
-    """Weighted edits that turn ``printed`` into ``seen``."""
-    n, m = len(printed), len(seen)
-    d = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if not i and not j:
-                continue
-            best = 99.0
-            if i:
-                best = min(best, d[i - 1][j] + EDIT)
-            if j:
-                best = min(best, d[i][j - 1] + EDIT)
-            if i and j:
-                best = min(best, d[i - 1][j - 1] + (EDIT if printed[i - 1] != seen[j - 1] else 0.0))
-            for a, b in ((1, 1), (1, 2), (2, 1), (2, 2)):
-                if i >= a and j >= b and (printed[i - a : i], seen[j - b : j]) in CONFUSIONS:
-                    best = min(best, d[i - a][j - b] + CONFUSED)
-            d[i][j] = best
-    return d[n][m]
-
-
-def deletes(word: str) -> set[str]:
-    """The word with none, one or two characters left out."""
-    return {"".join(c for k, c in enumerate(word) if k not in gone) for r in (0, 1, 2) for gone in itertools.combinations(range(len(word)), r)}
-
-
-def _deletes(it):
-    for pdf in it:
-        yield pdf.assign(key=[sorted(deletes(w)) for w in pdf.word]).explode("key")
+    return tok.groupBy(F.lower("word").alias("word")).agg(F.count_if("plain").alias("n"), F.count_if(F.col("plain") & ~F.col("capital")).alias("small"), F.count_if(~F.col("plain") & F.col("capital")).alias("caps"))
+
+
+#: What each printed letter or pair can be seen as.
+SEEN_AS: dict[str, list[str]] = {}
+for _a, _b in sorted(CONFUSIONS):
+    SEEN_AS.setdefault(_a, []).append(_b)
+
+
+def distance(printed: str, seen: str, most: int = 2) -> float:
+    """Weighted edits that turn ``printed`` into ``seen``: confused pairs, at most ``most``;
+    any other edit costs ``EDIT`` or more, which is beyond every repair, and gives ``EDIT``.
+
+    The two sides of a pair begin with different characters, so a pair can only stand
+    where the words differ: the alignment is forced up to there.
+    """
+
+    def walk(i: int, j: int, left: int) -> int:
+        while i < len(printed) and j < len(seen) and printed[i] == seen[j]:
+            i, j = i + 1, j + 1
+        if i == len(printed) and j == len(seen):
+            return 0
+        if not left:
+            return 99
+        tries = [walk(i + n, j + len(b), left - 1) for n in (1, 2) for b in SEEN_AS.get(printed[i : i + n], ()) if i + n <= len(printed) and seen.startswith(b, j)]
+        return min(tries, default=98) + 1
+
+    n = walk(0, 0, most)
+    return CONFUSED * n if n <= most else EDIT
+
+
+def variants(word: str) -> set[str]:
+    """The word with one confusion of two characters with one."""
+    return {word[:i] + b + word[i + n :] for n in (1, 2) for i in range(len(word) - n + 1) for b in SEEN_AS.get(word[i : i + n], ()) if n + len(b) > 2}
+
+
+def left_out(word: str, n: int) -> set[str]:
+    """The word with ``n`` characters left out."""
+    return {"".join(c for k, c in enumerate(word) if k not in gone) for gone in itertools.combinations(range(len(word)), n)}
+
+
+#: How many characters are left out of the printed and of the seen word.
+MEET = ((1, 1), (1, 2), (2, 1))
+
+
+def keys(word: str, printed: bool) -> set[str]:
+    """Keys under which a printed word and what it is seen as meet: both with one or two
+    characters left out, as one confusion takes; of long words both with two, also after a
+    confusion that changes the length.  Very long words meet by a piece that is whole in both."""
+    if len(word) > LONG_KEYS:
+        step = PIECE if printed else 1
+        out = {"=" + word[i : i + PIECE] for i in range(0, len(word) - PIECE + 1, step)}
+        if len(word) > LONG_KEYS + 2:
+            return out
+    else:
+        out = set()
+    for p, q in MEET:
+        out |= {f"{p}{q}{x}" for x in left_out(word, p if printed else q)}
+    if printed and len(word) >= LONG:
+        out |= {"22" + x for x in left_out(word, 2)}
+        for v in variants(word):
+            out |= {f"v{p}{q}{x}" for p, q in MEET for x in left_out(v, p)}
+    elif not printed and len(word) >= LONG - 2:
+        out |= {"22" + x for x in left_out(word, 2)} | {f"v{p}{q}{x}" for p, q in MEET for x in left_out(word, q)}
+    return out
+
+
+def _keys(printed: bool):
+    def run(it):
+        for pdf in it:
+            yield pdf.assign(key=[sorted(keys(w, printed)) for w in pdf.word]).explode("key").dropna(subset=["key"])
+
+    return run
 
 
 @F.pandas_udf(DoubleType())
 def _cost(printed: pd.Series, seen: pd.Series) -> pd.Series:
-    return pd.Series([distance(x, y) for x, y in zip(printed, seen)], dtype=float)
+    return pd.Series([distance(x, y, 2 if len(x) >= LONG else 1) for x, y in zip(printed, seen)], dtype=float)
 
 
 def repairs(lex: DataFrame, scratch) -> DataFrame:
@@ -174,8 +223,10 @@ def repairs(lex: DataFrame, scratch) -> DataFrame:
     lex = lex.where(F.length("word") >= 3)
     common = lex.where(((F.col("small") >= MIN_COUNT) | ((F.col("n") >= MIN_COUNT) & (F.col("caps") <= 0.1 * F.col("n")))) & F.col("word").rlike(r"^[\p{L}'’]+$")).select("word", "n")
     rare = lex.where((F.col("n") > 0) & F.col("word").rlike(r"^[\p{L}\p{Nd}|!@$'’]+$") & F.col("word").rlike(r"\p{L}") & (F.length(F.regexp_replace("word", r"[^\p{Nd}]", "")) <= 2)).select("word", "n")
-    a = common.mapInPandas(_deletes, "word string, n long, key string").withColumnsRenamed({"word": "printed", "n": "n"})
-    b = rare.mapInPandas(_deletes, "word string, n long, key string").withColumnsRenamed({"word": "seen", "n": "m"})
+    # distinct words are few bytes and much work
+    spread = lambda d: d.repartition(max(8, d.sparkSession.sparkContext.defaultParallelism), "word")
+    a = spread(common).mapInPandas(_keys(True), "word string, n long, key string").withColumnsRenamed({"word": "printed", "n": "n"})
+    b = spread(rare).mapInPandas(_keys(False), "word string, n long, key string").withColumnsRenamed({"word": "seen", "n": "m"})
     near = a.join(b, "key").where((F.col("printed") != F.col("seen")) & (F.col("n") >= RATIO * F.col("m"))).select("seen", "printed", "n").distinct()
     scored = scratch.write(near.withColumn("cost", _cost("printed", "seen")).where(F.col("cost") <= F.when(F.length("printed") >= LONG, MOST_LONG).otherwise(MOST)))
     best = scored.groupBy("seen").agg(F.min("cost").alias("low"))
@@ -188,6 +239,7 @@ def pick(tok: DataFrame, fixes: DataFrame, scratch) -> DataFrame:
     Among repairs of equal cost the one that the corpus has most often after
     ``prev`` comes first, then the more frequent word.
     """
+    tok = tok.select(F.lower("word").alias("lower"), "prev")
     places = tok.join(scratch.hinted(fixes.select(F.col("seen").alias("lower")).distinct(), of=fixes), "lower", "left_semi").select("prev", F.col("lower").alias("seen")).distinct()
     tried = places.join(fixes, "seen")
     pairs = tok.where("prev is not null").join(scratch.hinted(fixes.select(F.col("printed").alias("lower")).distinct(), of=fixes), "lower", "left_semi").groupBy("prev", F.col("lower").alias("printed")).agg(F.count(F.lit(1)).alias("k"))
@@ -195,19 +247,18 @@ def pick(tok: DataFrame, fixes: DataFrame, scratch) -> DataFrame:
     return scored.groupBy("prev", "seen").agg(F.max(F.struct(F.coalesce("k", F.lit(0)), "n", "printed")).alias("b")).select("prev", "seen", F.col("b.printed").alias("printed"))
 
 
-def broken_words(frame: DataFrame, lex: DataFrame, fixes: DataFrame) -> DataFrame:
+def broken_words(lines: DataFrame, lex: DataFrame, fixes: DataFrame) -> DataFrame:
     """(page_id, line_no) of lines that end inside a word without a hyphen of its own there."""
-    tail = rf"([\p{{L}}'\u2019]{{1,64}})([{HYPHEN}])$"
-    head = r"^\s*([\p{L}'\u2019]{1,64})"
-    pair = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), F.regexp_extract(x, tail, 1).alias("a"), F.regexp_extract(x, tail, 2).alias("h"), F.regexp_extract(F.coalesce(F.get("lines", i + 1), F.lit("")), head, 1).alias("b")))
-    p = frame.select("page_id", F.explode(F.filter(pair, lambda s: (s["a"] != "") & (s["b"] != ""))).alias("s")).select("page_id", "s.*")
+    ends = F.reverse(F.regexp_extract(F.reverse("line"), r"^[^\p{L}]([\p{L}'\u2019]+)", 1))
+    p = lines.where("broken").select("page_id", "line_no", ends.alias("a"), F.right("line", F.lit(1)).alias("h"), F.regexp_extract("after", r"^\s*([\p{L}'\u2019]+)", 1).alias("b")).where("a <> '' and b <> ''")
     p = p.where(F.col("b").rlike(r"^\p{Ll}") | F.col("a").rlike(r"^\p{Lu}{2,}$")).withColumns({"a": F.lower("a"), "b": F.lower("b")})
     soft = p.where(F.col("h").isin("\u00ad", "\u00ac")).select("page_id", "line_no")
     hard = p.where(~F.col("h").isin("\u00ad", "\u00ac"))
     kinds = hard.select("a", "b").distinct()
     # hyphenated words inside lines
     compound = F.lit(r"(?<![\p{L}-])(\p{L}+[-\u2010]\p{L}+)(?![\p{L}-])")
-    inside = frame.select(F.explode("lines").alias("line")).select(F.explode(F.regexp_extract_all(F.lower("line"), compound, 1)).alias("c"))
+    hyphened = F.contains("line", F.lit("-")) | F.contains("line", F.lit("\u2010"))
+    inside = lines.where(hyphened).select(F.explode(F.regexp_extract_all(F.lower("line"), compound, 1)).alias("c"))
     own = inside.groupBy(F.translate("c", "\u2010", "-").alias("c")).agg(F.count(F.lit(1)).alias("own"))
     fixed = fixes.groupBy("seen").agg(F.max_by("printed", "n").alias("printed"))
     right = lambda df, c: df.join(fixed.select(F.col("seen").alias(c), F.col("printed").alias("_p")), c, "left").withColumn(c + "_r", F.coalesce("_p", c)).drop("_p")
@@ -224,24 +275,24 @@ def broken_words(frame: DataFrame, lex: DataFrame, fixes: DataFrame) -> DataFram
 class Scan:
     """The findings of a table of pages, shared by the queries."""
 
-    def __init__(self, pages: DataFrame, scratch):
-        self.frame = page_frame(pages)
-        self.outer = outer_lines(self.frame)
-        self.tokens = tokens(self.frame)
-        self.scratch = scratch
+    def __init__(self, pages: DataFrame, scratch, context: bool = False):
+        self.pages, self.scratch = pages, scratch
+        self.lines = scratch.write(line_table(pages))
+        self.outer = outer_lines(self.lines)
+        self.tokens = scratch.write(tokens(self.lines, context))
         self.lexicon = scratch.write(lexicon(self.tokens))
         self.fixes = repairs(self.lexicon, scratch)
 
-    def misread(self) -> DataFrame:
+    def misread(self, *more: str) -> DataFrame:
         """(page_id, line_no, word) of misread whole words."""
         seen = self.scratch.hinted(self.fixes.select(F.col("seen").alias("lower")).distinct(), of=self.fixes)
-        return self.tokens.where(plain(F.col("word"), F.col("start"))).join(seen, "lower", "left_semi").select("page_id", "line_no", "word")
+        return self.tokens.where("plain").withColumn("lower", F.lower("word")).join(seen, "lower", "left_semi").select("page_id", "line_no", "word", *more)
 
     def found(self) -> DataFrame:
         """(page_id, line_no, kind), distinct.  Pages without text have no row; a page
         number is no running line."""
         kinds = [
-            broken_words(self.frame, self.lexicon, self.fixes).withColumn("kind", F.lit("split_word")),
+            broken_words(self.lines, self.lexicon, self.fixes).withColumn("kind", F.lit("split_word")),
             running_lines(self.outer).withColumn("kind", F.lit("running")),
             self.outer.where("page_no").select("page_id", "line_no").withColumn("kind", F.lit("page_no")),
             self.misread().select("page_id", "line_no").withColumn("kind", F.lit("misread")),
@@ -257,9 +308,11 @@ class Scan:
         found = self.found().where("kind <> 'misread'").groupBy("page_id").agg(F.collect_list(F.struct("line_no", "kind")).alias("marks"))
         best = self.scratch.write(pick(self.tokens, self.fixes, self.scratch))
         table = self.scratch.hinted(best.select(F.coalesce("prev", F.lit("")).alias("p"), "seen", "printed"), of=best)
-        words = self.tokens.where(plain(F.col("word"), F.col("start"))).select("page_id", "line_no", "word", F.coalesce("prev", F.lit("")).alias("p"), F.col("lower").alias("seen")).join(table, ["p", "seen"])
+        words = self.misread("prev", "lower").select("page_id", "line_no", "word", F.coalesce("prev", F.lit("")).alias("p"), F.col("lower").alias("seen")).join(table, ["p", "seen"])
         words = words.groupBy("page_id").agg(F.collect_set(F.struct("line_no", "word", "printed")).alias("words"))
-        out = self.frame.join(found, "page_id", "left").join(words, "page_id", "left")
+        # what is found in a page comes back to the page's text
+        frame = self.pages.where("id is not null and raw_text is not null").select(F.col("id").alias("page_id"), F.transform(F.split("raw_text", "\n", -1), lambda x: F.rtrim(x, F.lit(WHITE))).alias("lines"))
+        out = frame.join(found, "page_id", "left").join(words, "page_id", "left")
         return out.select("page_id", _rebuild("lines", F.to_json("marks"), F.to_json("words")).alias("repaired"))
 
 

@@ -155,7 +155,7 @@ def scanned(spark):
 
 
 def test_scans(spark, scratch):
-    s = scans.Scan(scanned(spark), scratch)
+    s = scans.Scan(scanned(spark), scratch, context=True)
     got = collections.defaultdict(set)
     for r in s.found().collect():
         got[r.page_id].add((r.line_no, r.kind))
@@ -168,9 +168,45 @@ def test_scans(spark, scratch):
     assert scans.Scan(scanned(spark).limit(0), scratch).found().count() == 0
 
 
+def brute_distance(printed, seen):
+    d = [[99.0] * (len(seen) + 1) for _ in range(len(printed) + 1)]
+    d[0][0] = 0.0
+    for i in range(len(printed) + 1):
+        for j in range(len(seen) + 1):
+            if i and j and printed[i - 1] == seen[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 1][j - 1])
+            for a, b in ((1, 1), (1, 2), (2, 1), (2, 2)):
+                if i >= a and j >= b and (printed[i - a : i], seen[j - b : j]) in scans.CONFUSIONS:
+                    d[i][j] = min(d[i][j], d[i - a][j - b] + scans.CONFUSED)
+    return d[-1][-1]
+
+
 def test_distance():
     assert scans.distance("maintenance", "malntenance") == pytest.approx(0.3) and scans.distance("in", "m") == pytest.approx(0.3)
-    assert scans.distance("abc", "abc") == 0 and scans.distance("cat", "dog") > 1
+    assert scans.distance("abc", "abc") == 0 and scans.distance("cat", "dog") >= 1
+    rnd = random.Random(6)
+    for _ in range(3000):
+        w = "".join(rnd.choice("mrnicldhuvwioae") for _ in range(rnd.randint(1, 12)))
+        v = w
+        for _ in range(rnd.randint(0, 3)):
+            v = rnd.choice(sorted(confused(v))) if confused(v) else v
+        want = brute_distance(w, v)
+        assert scans.distance(w, v) == pytest.approx(want) if want <= 2 * scans.CONFUSED + 0.01 else scans.distance(w, v) >= 1
+
+
+def confused(w):
+    return {w[:i] + b + w[i + n :] for n in (1, 2) for i in range(len(w) - n + 1) for b in scans.SEEN_AS.get(w[i : i + n], ())}
+
+
+def test_repairs_meet_in_the_index():
+    rnd = random.Random(9)
+    for _ in range(1500):
+        w = "".join(rnd.choice("mrnicldhuvwioaetsp") for _ in range(rnd.choice([3, 5, 8, 9, 14, 31, 32, 33, 34, 40, 60])))
+        v = w
+        for _ in range(rnd.choice([1, 2]) if len(w) >= scans.LONG else 1):
+            v = rnd.choice(sorted(confused(v))) if confused(v) else v
+        if 3 <= len(v) and v != w and scans.distance(w, v) < 1:
+            assert scans.keys(w, True) & scans.keys(v, False), (w, v)
 
 
 # ---- 5
