@@ -2,6 +2,7 @@
 ties, empty tables and columns of clashing names."""
 
 import collections
+import itertools
 import json
 import math
 import random
@@ -264,6 +265,36 @@ def test_spelling(spelling, entity):
     assert (best[0] if len(best) == 1 else None) == entity
 
 
+def test_assignment_equals_brute_force():
+    rnd = random.Random(1)
+    for _ in range(500):
+        n = rnd.randint(1, 4)
+        gain = [[rnd.choice([names.NEVER, rnd.random()]) for _ in range(rnd.randint(n, 5))] for _ in range(1)]
+        gain += [[rnd.choice([names.NEVER, rnd.random()]) for _ in gain[0]] for _ in range(n - 1)]
+        best = max(sum(gain[i][c] for i, c in enumerate(o)) for o in itertools.permutations(range(len(gain[0])), n))
+        assert names.assignment(gain) == pytest.approx(best)
+
+
+def test_variants_meet():
+    assert names.whole("abcd") & names.whole("abd") and names.whole("abcd") & names.whole("abxd") and names.whole("abcd") & names.whole("acbd")
+    assert not names.whole("abcd") & names.whole("axyd") and len(names.whole("abc")) == 4 and len(names.whole("x" * 10000)) == 2
+    p = names.parse
+    assert names.variant(p("Szelnd Mining"), p("szeland  mining")) and not names.variant(p("Remilmock Water"), p("Remilmock Energy")) and not names.variant(p("Acme Mining AG"), p("Acme Mining Inc"))
+
+
+def test_clusters_reach_variants_of_variants(spark, scratch):
+    e = spark.createDataFrame([("e1", "Sezeland Mining Inc."), ("e2", "Wei Li"), ("e3", "Kavolten Trading AG"), ("e4", "Kavolden Trading AG")], "id string, canonical_name string")
+    rows = [("f1", "Szeland Mining"), ("f2", "Szelnd Mining"), ("f3", "Szlnd Mining"), ("f4", "li wei"), ("f5", "Wei Li"), ("f6", "Kavolten Trading"), ("f7", "Kavolden Trading"), ("f8", " ".join(["word"] * 50000)), ("f9", "x" * 300000)]
+    f = spark.createDataFrame([(i, None, s, None) for i, s in rows], "id string, entity_id string, subject string, subject_mention string")
+    got = {tuple(r) for r in names.found_entities(f, e, scratch).collect()}
+    assert got >= {("f1", "e1"), ("f2", "e1"), ("f5", "e2"), ("f6", "e3"), ("f7", "e4")} and not {i for i, _ in got} & {"f8", "f9"}
+    scored = spark.createDataFrame([("szeland mining||", "e1", 0.9)], "form string, entity_id string, score double")
+    forms = spark.createDataFrame([("szeland mining||",), ("szelnd mining||",), ("zelnd mining||",), ("other||",)], "form string")
+    links = names.form_links(scored)
+    found = names.clustered(links, names.form_variants(forms, scored, links), scratch)
+    assert {tuple(r) for r in found.collect()} == {("szeland mining||", "e1"), ("szelnd mining||", "e1")}
+
+
 def test_names_meet_in_a_block():
     for a, b in [("Sezeland", "Szeland"), ("Kavolten", "Kavotlen"), ("Helorgor", "Helorgur"), ("Remilmock", "Remimock"), ("Remilmock", "Remilmotck")]:
         assert set(names.keys((a.lower(),))) & set(names.keys((b.lower(),)))
