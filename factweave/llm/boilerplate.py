@@ -4,11 +4,13 @@ Lines are the nodes of a graph per publisher, weighted by the number of the
 publisher's files they stand in; an edge joins two lines that follow each other
 (blank lines aside), weighted by the number of files in which they do.  Nodes
 and edges with high support stay, connected components of them are the
-boilerplate blocks, and every occurrence of a line of a block is deleted.
+boilerplate blocks (a line by itself is one, too), and matching occurrences are deleted:
+each occurrence of a line with ``MIN_LETTERS`` letters, and a shorter line where it
+stands next to another line of its block, since a few letters alone don't tell.
 
-Only digests of lines travel; a line is counted once per file by a distinct over
-(publisher, line, file), so that the counting key holds the line and a publisher
-with a third of all pages is spread over all tasks.
+Pages are cut into lines once.  Only digests of lines travel; a line is counted once per
+file by a distinct over (publisher, line, file), so that the counting key holds the line
+and a publisher with a third of all pages is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -23,24 +25,37 @@ MIN_SHARE = 0.3
 MIN_LETTERS = 12
 
 
+_ASCII_ODD = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and chr(c) != "\n")
+
+
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def line_key(line: Column) -> Column:
     """What two lines must share to be the same: letter case, the amount of white
     space, runs of digits and everything outside the first and last letter or
-    digit are ignored."""
+    digit are ignored. Patterns run only where characters that they concern are there."""
     k = F.lower(line)
-    k = F.regexp_replace(k, r"^[^\p{L}\p{Nd}]+|(?<![^\p{L}\p{Nd}])[^\p{L}\p{Nd}]+$", "")
-    k = F.regexp_replace(k, r"\p{Nd}+", "0")
-    return F.regexp_replace(k, r"(?U)\s+", " ")
+    k = F.when(_ascii(k), F.btrim(k, F.lit(_ASCII_ODD))).otherwise(F.regexp_replace(k, r"^[^\p{L}\p{Nd}]+|(?<![^\p{L}\p{Nd}])[^\p{L}\p{Nd}]+$", ""))
+    k = F.when(_ascii(k) & (F.translate(k, "0123456789", "") == k), k).otherwise(F.regexp_replace(k, r"\p{Nd}+", "0"))
+    plain = _ascii(k) & ~F.contains(k, F.lit("  ")) & (F.translate(k, "\t\x0b\x0c\r", "") == k)
+    return F.when(plain, k).otherwise(F.regexp_replace(k, r"(?U)\s+", " "))
 
 
 def letters(line: Column) -> Column:
-    return F.length(F.regexp_replace(line, r"\P{L}+", ""))
+    return F.when(_ascii(line), F.length(F.translate(line, _ASCII_ODD + "0123456789", ""))).otherwise(F.length(F.regexp_replace(line, r"\P{L}+", "")))
 
 
 def _digest(c: Column) -> Column:
     return F.unhex(F.md5(c.cast("binary")))
 
 
+def node_of(publisher: Column, key: Column) -> Column:
+    """The node of a publisher's lines with this key."""
+    return _digest(F.concat_ws("\x00", publisher, key))
+
+
 def page_lines(pages: DataFrame, files: DataFrame) -> DataFrame:
     """(publisher, file, page_id, line_no, rank, node, letters) of the lines that
     have a letter or digit, ``rank`` being the line's place among them on its
@@ -50,57 +65,74 @@ def page_lines(pages: DataFrame, files: DataFrame) -> DataFrame:
     numbered = F.transform(F.split("raw_text", "\n", -1), lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
     full = F.filter(numbered, lambda x: x["line"].rlike(r"[\p{L}\p{Nd}]"))
     lines = p.join(f, "file").select("publisher", "file", "page_id", F.posexplode(full).alias("rank", "x"))
-    line = F.col("x.line")
-    return lines.select("publisher", "file", "page_id", "x.line_no", "rank", _digest(F.concat_ws("\x00", "publisher", line_key(line))).alias("node"), letters(line).alias("letters"))
+    lines = lines.select("publisher", "file", "page_id", "x.line_no", "rank", line_key(F.col("x.line")).alias("key"))
+    # the key has the letters of the line
+    return lines.select("publisher", "file", "page_id", "line_no", "rank", node_of(F.col("publisher"), F.col("key")).alias("node"), letters(F.col("key")).alias("letters"))
 
 
-def boilerplate(pages: DataFrame, files: DataFrame, scratch, min_files: int = MIN_FILES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, publisher, n_files, block) with high support, and all their
-    occurrences (publisher, page_id, line_no, node, letters, block).
+def boilerplate(pages: DataFrame, files: DataFrame, scratch, min_files: int = MIN_FILES, min_share: float = MIN_SHARE, min_letters: int = MIN_LETTERS) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, publisher, n_files, letters, block, n_lines) with high support, ``block``
+    being the smallest node of their block and ``n_lines`` the lines of the block, and the
+    occurrences that match (publisher, page_id, line_no, node, letters, block).
 
     Support is counted over the files of ``files``; a file listed twice counts
     once, null publishers have no boilerplate.
     """
-    lines = page_lines(pages, files)
+    lines = scratch.write(page_lines(pages, files))
     total = files.where("publisher is not null and id is not null").groupBy("publisher").agg(F.count_distinct("id").alias("total"))
-    support = lines.select("publisher", "node", "file").distinct().groupBy("publisher", "node").agg(F.count(F.lit(1)).alias("n_files"))
+    support = lines.select("publisher", "node", "file", "letters").distinct().groupBy("publisher", "node").agg(F.count_distinct("file").alias("n_files"), F.max("letters").alias("letters"))
     high = support.where(F.col("n_files") >= min_files).join(total, "publisher").where(F.col("n_files") >= F.col("total") * min_share)
-    high = scratch.write(high.select("node", "publisher", "n_files", "total"))
-    found = lines.join(scratch.hinted(high.select("node"), of=high), "node").select("publisher", "file", "page_id", "line_no", "rank", "node", "letters")
-    found = scratch.write(found)
+    high = scratch.write(high.select("node", "publisher", "n_files", "letters", "total"))
+    found = scratch.write(lines.drop("letters").join(scratch.hinted(high.select("node", "letters"), of=high), "node"))
 
     after = found.select("page_id", (F.col("rank") - 1).alias("rank"), F.col("node").alias("b"))
     pairs = found.join(after, ["page_id", "rank"]).select("publisher", "file", F.col("node").alias("a"), "b").distinct()
     weight = pairs.groupBy("publisher", "a", "b").agg(F.count(F.lit(1)).alias("w"))
     edges = weight.join(total, "publisher").where((F.col("w") >= min_files) & (F.col("w") >= F.col("total") * min_share)).select("a", "b")
     blocks = components(edges, scratch).select(F.col("vertex").alias("node"), F.col("component").alias("block"))
-    nodes = scratch.write(high.join(blocks, "node", "left").select("node", "publisher", "n_files", F.coalesce("block", "node").alias("block")))
+    nodes = scratch.write(high.join(blocks, "node", "left").select("node", "publisher", "n_files", "letters", F.coalesce("block", "node").alias("block")))
+    lines_of = nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n_lines"))
+    # a short line goes with its neighbours in the block, so a block of short lines only, or one by itself, names none
+    nodes = scratch.write(nodes.join(lines_of, "block").select("node", "publisher", "n_files", "letters", "block", "n_lines"))
     hits = found.join(scratch.hinted(nodes.select("node", "block"), of=nodes), "node")
-    return nodes, hits.select("publisher", "page_id", "line_no", "node", "letters", "block")
+    near = hits.select("page_id", F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)).alias("rank"), "block").distinct()
+    short = hits.where(F.col("letters") < min_letters).join(near, ["page_id", "rank", "block"], "left_semi")
+    out = hits.where(F.col("letters") >= min_letters).unionByName(short)
+    return nodes, out.select("publisher", "page_id", "line_no", "node", "letters", "block")
 
 
 def found_lines(pages: DataFrame, files: DataFrame, scratch, min_letters: int = MIN_LETTERS, **kw) -> DataFrame:
     """(page_id, line_no) of each occurrence of a boilerplate line with at least
     ``min_letters`` letters."""
-    _, hits = boilerplate(pages, files, scratch, **kw)
+    _, hits = boilerplate(pages, files, scratch, min_letters=min_letters, **kw)
     return hits.where(F.col("letters") >= min_letters).select("page_id", F.col("line_no").cast("int").alias("line_no")).distinct()
 
 
-def without_lines(texts: DataFrame, key: str, text: str, publisher: str, nodes: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """``texts`` with the column ``text`` free of the boilerplate lines of its
-    publisher and ``removed``, the number of lines deleted.
+def block_lines(nodes: DataFrame) -> DataFrame:
+    """(publisher, block, n_lines, n_files, letters): each line with high support and the
+    block it belongs to."""
+    return nodes.select("publisher", F.hex("block").alias("block"), F.hex("node").alias("line"), "n_lines", "n_files", "letters")
+
+
+def without_lines(texts: DataFrame, text: str, publisher: str, nodes: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """``texts`` with the column ``text`` free of the boilerplate of its publisher and
+    ``removed``, the number of lines deleted.
 
-    The lines of one text stay together in one row: nodes are looked up by a join
-    on exploded digests, and only digests that hit come back. Null texts stay
-    null, texts without boilerplate stay as they are.
+    A publisher's lines come to its texts as one map. There are at most as many of them
+    as a file of the publisher has lines on average, divided by the share of files that a
+    line must stand in. Null texts stay null, texts without boilerplate stay as they are.
     """
-    row = next(c for c in (f"__row{i}" for i in range(len(texts.columns) + 1)) if c not in texts.columns)
-    rows = texts.withColumn(row, F.monotonically_increasing_id())
-    split = F.split(F.col(text), "\n", -1)
-    lines = rows.where(F.col(text).isNotNull() & F.col(publisher).isNotNull()).select(F.col(row).alias("row"), F.col(publisher).alias("publisher"), F.posexplode(split).alias("n", "line"))
-    lines = lines.where(letters(F.col("line")) >= min_letters).select("row", "n", _digest(F.concat_ws("\x00", "publisher", line_key(F.col("line")))).alias("node"))
-    hit = lines.join(nodes.select("node"), "node", "left_semi").groupBy(F.col("row").alias(row)).agg(F.collect_set("n").alias(row + "_gone"))
-    out = rows.join(hit, row, "left")
-    gone = F.col(row + "_gone")
+    own = next(c for c in (f"__own{i}" for i in range(len(texts.columns) + 1)) if c not in texts.columns)
+    known = nodes.where((F.col("letters") >= min_letters) | (F.col("n_lines") > 1)).groupBy(F.col("publisher").alias(own + "_p")).agg(F.map_from_entries(F.collect_set(F.struct("node", F.struct("block", (F.col("letters") >= min_letters).alias("long"))))).alias(own))
+    out = texts.join(known, F.col(publisher) == F.col(own + "_p"), "left")
+    split, table = F.split(F.col(text), "\n", -1), F.col(own)
+    keyed = F.filter(F.transform(split, lambda line, i: F.struct(i.alias("i"), line_key(line).alias("k"))), lambda s: s["k"] != "")
+    marks = F.transform(keyed, lambda s: F.struct(s["i"].alias("i"), F.try_element_at(table, node_of(F.col(publisher), s["k"])).alias("m")))
+    out = out.withColumn(own + "_m", F.when(table.isNotNull(), marks))
+    at = lambda j: F.get(own + "_m", j)["m"]["block"]
+    hit = F.filter(own + "_m", lambda s, j: F.coalesce(s["m"]["long"] | (s["m"]["block"] == at(j - 1)) | (s["m"]["block"] == at(j + 1)), F.lit(False)))
+    out = out.withColumn(own + "_g", F.transform(hit, lambda s: s["i"]))
+    gone = F.col(own + "_g")
     kept = F.filter(split, lambda line, i: ~F.array_contains(gone, i))
-    return out.withColumn(text, F.when(gone.isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).withColumn("removed", F.coalesce(F.size(gone), F.lit(0))).drop(row, row + "_gone")
+    some = F.coalesce(F.size(gone) > 0, F.lit(False))
+    return out.withColumns({text: F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text)), "removed": F.when(some, F.size(gone)).otherwise(0)}).select(*(c for c in texts.columns if c != "removed"), "removed")

@@ -38,7 +38,14 @@ def p2_clean(spark, d):
     owned = pages.select("id", "document_id", "raw_text").join(owner, "document_id", "left")
     blocks = table(spark, d, "blocks").select("id", "page_id", "text").join(owned.select(F.col("id").alias("page_id"), "publisher"), "page_id", "left")
     texts = owned.select(F.lit("page").alias("kind"), "id", "publisher", F.col("raw_text").alias("text")).unionByName(blocks.select(F.lit("block").alias("kind"), "id", "publisher", "text"))
-    return without_lines(texts, "id", "text", "publisher", nodes).select("kind", "id", "text", "removed")
+    return without_lines(texts, "text", "publisher", nodes).select("kind", "id", "text", "removed")
+
+
+def p2_blocks(spark, d):
+    """The lines repeated across a publisher's files, and the blocks they stand in together."""
+    from factweave.llm.boilerplate import block_lines, boilerplate
+
+    return block_lines(boilerplate(table(spark, d, "pages"), table(spark, d, "document_files"), Scratch(spark, "p2"))[0])
 
 
 def p3_found(spark, d):

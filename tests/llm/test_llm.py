@@ -135,8 +135,14 @@ def test_boilerplate(spark, scratch):
     blocks = {r.node: r.block for r in nodes.collect()}
     assert len(set(blocks.values())) == 1  # consecutive lines are one block
     texts = spark.createDataFrame([("t1", "P", f"Keep me please\n{legal}\nand me"), ("t2", "Q", legal), ("t3", None, legal), ("t4", "P", None)], "id string, publisher string, text string")
-    out = {r.id: (r.text, r.removed) for r in boilerplate.without_lines(texts, "id", "text", "publisher", nodes).collect()}
+    out = {r.id: (r.text, r.removed) for r in boilerplate.without_lines(texts, "text", "publisher", nodes).collect()}
     assert out == {"t1": ("Keep me please\nand me", 1), "t2": (legal, 0), "t3": (legal, 0), "t4": (None, 0)}
+    # `short 1` is removed with its block, and stays where it stands alone
+    texts = clash(spark.createDataFrame([("t5", "P", f"Keep\n{share}\n\nshort 2\nshort 3"), ("t6", "P", "short 1\nKeep"), ("t7", "P", "")], "id string, publisher string, text string"))
+    out = {r.id: (r.text, r.removed) for r in boilerplate.without_lines(texts, "text", "publisher", nodes).collect()}
+    assert out == {"t5": ("Keep\n", 3), "t6": ("short 1\nKeep", 0), "t7": ("", 0)}
+    assert {r.n_lines for r in boilerplate.block_lines(nodes).collect()} == {3} and boilerplate.block_lines(nodes).count() == 3
+    assert {(r.page_id, r.line_no) for r in hits.collect()} == {(f"p{k}", n) for k in range(10) for n in ((3, 4, 6) if k < 3 else (3, 4, 5))} - {(f"p{k}", 6) for k in range(3)}
     assert boilerplate.found_lines(p.limit(0), f.limit(0), scratch).count() == 0
 
 
