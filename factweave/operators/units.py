@@ -3,17 +3,21 @@
 1. An Arrow function reads each fact into a number, a scale, a unit phrase (or a
    currency); what ``value_text`` leaves open is taken from ``unit`` and
    ``currency``, else from the words beside the number in ``source_quote``.
-2. Unit phrases are the sources of a graph.  Phrases in the fixed table below are
-   its known nodes.  Facts of one entity and predicate state the same quantity, so
-   every pair of phrases used for it gives an estimate of the conversion between
-   them.  For a phrase that is not known the estimates against resolved
-   quantities are compared with all known conversions (scale and offset); the one
-   that the most entities agree with is snapped to, if a clear majority does.
-   Newly resolved phrases resolve further quantities, and so on through the graph.
-3. Amounts are converted with exact factors of ``unit_factors`` in the JVM.
-
-Only one row per (entity, predicate, phrase) enters step 2, pre-aggregated with a
-robust median, and only quantities that hold an unresolved phrase are joined.
+2. The sources of the graph are the ways in which amounts are recorded: unit phrases.
+   Its seeds are the codes of ``unit_factors``. Facts of one entity, metric and time
+   state one quantity; what the resolved sources say of it, in the common unit, is put
+   together as a median. A source that isn't resolved yet is compared with these
+   quantities over all entities: its scale is the densest place of the ratios, for
+   dimensions with an offset the offset that belongs to each known scale is the densest
+   place of the differences. The estimate is snapped to the known conversion if one is
+   that near and enough quantities agree. Newly resolved sources resolve further
+   quantities, until no source is new.
+3. The fixed spellings below check the result: a phrase that the graph can't resolve,
+   because too few quantities hold it, or resolves otherwise, is read by the table.
+4. Amounts are converted with exact factors of ``unit_factors`` in the JVM.
+
+Only one row per (entity, metric, time, phrase) enters step 2, pre-aggregated with a
+median of bounded memory; sources meet quantities, never each other in pairs.
 """
 
 from __future__ import annotations
@@ -130,7 +134,7 @@ def norm(phrase: str) -> str:
 
 def beside(quote: str | None, value: str) -> str:
     """The words of a quote around the number of ``value``: before it back to the last
-    word that is no currency, after it up to the place or end."""
+    word that is no currency, after it up to the place or the end of the quote."""
     if not quote:
         return ""
     m = _NUMBER.search(value)
@@ -142,7 +146,7 @@ def beside(quote: str | None, value: str) -> str:
         at = q.rfind(m[0], 0, at)
     if at < 0:
         return ""
-    q = _TAIL.sub("", q[: at + 80])
+    q = _TAIL.sub("", q)
     head, tail = q[:at], q[at + len(m[0]) :]
     h = re.search(r"(\S*)[\s(−-]*$", head)
     return (h[1] if h and currency(h[1])[0] else "") + " " + tail.lstrip(" )")
@@ -202,11 +206,11 @@ def _read(value: pd.Series, unit: pd.Series, cur: pd.Series, quote: pd.Series) -
 
 
 def amounts(facts: DataFrame) -> DataFrame:
-    """(fact_id, entity_id, predicate, number, scale, phrase, currency) of facts whose
+    """(fact_id, entity_id, predicate, time, number, scale, phrase, currency) of facts whose
     ``value_text`` holds a number beside a unit or currency."""
     f = facts.where("id is not null").where(F.col("value_text").rlike(r"\d"))
-    f = f.select(F.col("id").alias("fact_id"), "entity_id", F.lower(F.regexp_replace("predicate", r"[\s_-]+", "_")).alias("predicate"), _read("value_text", "unit", "currency", "source_quote").alias("a"))
-    return f.where("a.number is not null").select("fact_id", "entity_id", "predicate", "a.*")
+    f = f.select(F.col("id").alias("fact_id"), "entity_id", F.lower(F.regexp_replace("predicate", r"[\s_-]+", "_")).alias("predicate"), F.col("time_text").alias("time"), _read("value_text", "unit", "currency", "source_quote").alias("a"))
+    return f.where("a.number is not null").select("fact_id", "entity_id", "predicate", "time", "a.*")
 
 
 def phrase_table(spark, known: dict[str, str] | None = None) -> DataFrame:
@@ -214,52 +218,71 @@ def phrase_table(spark, known: dict[str, str] | None = None) -> DataFrame:
     return spark.createDataFrame(sorted((known or KNOWN).items()), "phrase string, unit_code string")
 
 
-#: Two amounts are the same quantity if their logarithms fall into the same or neighbouring steps of this size.
-STEP = 0.004
-#: A conversion is snapped to if this many (entity, predicate) agree with it, this
-#: share of those that could, and this many times as many as with any other.
-MIN_VOTES, MIN_SHARE, MARGIN = 3, 0.25, 2.0
-
-
-def _bucket(v):
-    return F.floor(F.log(F.abs(v)) / STEP)
-
-
-def learn_phrases(read: DataFrame, factors: DataFrame, phrases: DataFrame, scratch, rounds: int = 3) -> DataFrame:
-    """``phrases`` with the phrases of ``read`` that the source graph resolves.
-
-    ``read`` holds amounts(); entities or predicates that are null link nothing.
-    Amounts meet by equality of (entity, predicate, dimension, sign, step of the
-    logarithm), never as all pairs of an entity, and an entity with many amounts
-    has one vote per predicate.  ``rounds`` bounds the length of a path through
-    the graph.
-    """
-    seen = read.where("phrase is not null").select("phrase").distinct()
-    unknown = scratch.write(seen.join(phrases, "phrase", "left_anti"))
-    if unknown.isEmpty():
-        return phrases
-    nodes = read.where("phrase is not null and entity_id is not null and predicate is not null and number <> 0")
-    nodes = nodes.select("entity_id", "predicate", "phrase", (F.col("number") * F.col("scale")).alias("x")).distinct()
-    open_ = scratch.write(nodes.join(unknown, "phrase", "left_semi"))
-    groups = open_.select("entity_id", "predicate").distinct()
-    linked = scratch.write(nodes.join(groups, ["entity_id", "predicate"], "left_semi"))
-    conv = F.broadcast(factors.select("unit_code", "dimension", "factor", "shift").distinct())  # the table of unit codes is fixed, a few dozen rows
-    solved = phrases
-    for _ in range(rounds):
-        known = linked.join(solved, "phrase").join(conv, "unit_code").withColumn("y", F.col("x") * F.col("factor") + F.col("shift")).where("y <> 0")
-        known = known.select("entity_id", "predicate", "dimension", F.signum("y").alias("sign"), F.explode(F.array(*(_bucket(F.col("y")) + d for d in (-1, 0, 1)))).alias("bucket")).distinct()
-        could = known.select("entity_id", "predicate", "dimension").distinct()
-        tried = open_.join(solved, "phrase", "left_anti").join(could, ["entity_id", "predicate"]).join(conv, "dimension").withColumn("y", F.col("x") * F.col("factor") + F.col("shift")).where("y <> 0")
-        tried = tried.select("entity_id", "predicate", "phrase", "unit_code", "dimension", F.signum("y").alias("sign"), _bucket(F.col("y")).alias("bucket"))
-        total = tried.groupBy("phrase").agg(F.count_distinct("entity_id", "predicate").alias("n"))
-        votes = tried.join(known, ["entity_id", "predicate", "dimension", "sign", "bucket"], "left_semi").groupBy("phrase", "unit_code").agg(F.count_distinct("entity_id", "predicate").alias("votes"))
-        best = votes.groupBy("phrase").agg(F.max(F.struct("votes", "unit_code")).alias("b"), F.sort_array(F.collect_list("votes"), False).alias("all"))  # at most one vote count per unit code
-        best = best.join(total, "phrase").where((F.col("b.votes") >= MIN_VOTES) & (F.col("b.votes") >= MIN_SHARE * F.col("n")) & (F.col("b.votes") >= MARGIN * F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0))))
-        new = scratch.write(best.select("phrase", F.col("b.unit_code").alias("unit_code")))
+#: Ratios fall together within about so much of their logarithm, differences within so much of the common unit.
+STEP, OFFSET_STEP = 0.004, 0.5
+#: A conversion is snapped to if the estimate is within so many steps of it, and so many
+#: quantities agree with it, this share of those that the source meets.
+NEAR, MIN_VOTES, MIN_SHARE = 2, 3, 0.25
+GROUP = ["entity_id", "predicate", "time"]
+
+
+def quantities(read: DataFrame) -> DataFrame:
+    """(entity_id, predicate, time, phrase, x): what each source says of a quantity that
+    several sources state; null keys and zeros say nothing."""
+    n = read.where("phrase is not null and entity_id is not null and predicate is not null and time is not null and number <> 0")
+    n = n.groupBy(*GROUP, "phrase").agg(F.percentile_approx(F.col("number") * F.col("scale"), 0.5, 1000).alias("x"))
+    several = n.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*GROUP)
+    return n.join(several, GROUP, "left_semi")
+
+
+def _densest(df: DataFrame, by: list[str], value: str, step: float) -> DataFrame:
+    """(by, votes, estimate): how many values lie in the densest three neighbouring steps of
+    each group, and their mean."""
+    h = df.groupBy(*by, F.floor(F.col(value) / step).alias("b")).agg(F.count(F.lit(1)).alias("c"), F.sum(value).alias("s"))
+    wide = h.select(*by, "c", "s", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b")).groupBy(*by, "b").agg(F.sum("c").alias("votes"), F.sum("s").alias("s"))
+    return wide.groupBy(*by).agg(F.max(F.struct("votes", F.col("s") / F.col("votes"), "b")).alias("m")).select(*by, F.col("m.votes").alias("votes"), F.col("m.col2").alias("estimate"))
+
+
+def learn_sources(read: DataFrame, factors: DataFrame, seeds: DataFrame, scratch) -> DataFrame:
+    """(phrase, unit_code, n, votes, scale, offset) of the phrases of ``read``, which holds
+    amounts(), that the graph resolves from ``seeds`` (phrase, unit_code): how many quantities
+    the phrase meets, how many agree, and the estimate before it was snapped."""
+    conv = factors.select("unit_code", "dimension", "factor", "shift").distinct()
+    shifted = conv.where("shift <> 0").select("dimension").distinct()
+    linked = scratch.write(quantities(read))
+    solved = seeds.join(conv.select("unit_code"), "unit_code", "left_semi").select("phrase", "unit_code", *(F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("votes", "long"), ("scale", "double"), ("offset", "double"))))
+    while True:
+        # the unit codes are a fixed table of a few dozen rows
+        known = linked.join(solved.select("phrase", "unit_code"), "phrase").join(F.broadcast(conv), "unit_code")
+        said = known.groupBy(*GROUP, "dimension").agg(F.percentile_approx(F.col("x") * F.col("factor") + F.col("shift"), 0.5, 1000).alias("y"))
+        met = scratch.write(linked.join(solved, "phrase", "left_anti").join(said, GROUP).select("phrase", "dimension", "x", "y"))
+        total = met.groupBy("phrase", "dimension").agg(F.count(F.lit(1)).alias("n"))
+        ratio = met.join(F.broadcast(shifted), "dimension", "left_anti").where("y / x > 0").withColumn("r", F.log(F.col("y") / F.col("x")))
+        scale = _densest(ratio, ["phrase", "dimension"], "r", STEP).join(F.broadcast(conv.where("factor > 0")), "dimension")
+        scale = scale.withColumn("away", F.abs(F.log("factor") - F.col("estimate"))).where(F.col("away") <= NEAR * STEP).select("phrase", "dimension", "unit_code", "votes", "away", F.exp("estimate").alias("scale"), F.lit(0.0).alias("offset"))
+        each = met.join(F.broadcast(shifted), "dimension", "left_semi").join(F.broadcast(conv), "dimension").withColumn("r", F.col("y") - F.col("x") * F.col("factor"))
+        offset = _densest(each, ["phrase", "dimension", "unit_code", "factor", "shift"], "r", OFFSET_STEP)
+        offset = offset.withColumn("away", F.abs(F.col("shift") - F.col("estimate"))).where(F.col("away") <= NEAR * OFFSET_STEP).select("phrase", "dimension", "unit_code", "votes", "away", F.col("factor").alias("scale"), F.col("estimate").alias("offset"))
+        found = scale.unionByName(offset).join(total, ["phrase", "dimension"]).where((F.col("votes") >= MIN_VOTES) & (F.col("votes") >= MIN_SHARE * F.col("n")))
+        best = found.groupBy("phrase").agg(F.max_by(F.struct("unit_code", "n", "votes", "scale", "offset"), F.struct("votes", -F.col("away"), "unit_code")).alias("f"))
+        new = scratch.write(best.select("phrase", "f.*"))
+        scratch.drop(met)
         if new.isEmpty():
-            break
+            return solved
         solved = solved.unionByName(new)
-    return solved
+
+
+def source_units(read: DataFrame, factors: DataFrame, scratch, known: dict[str, str] | None = None) -> DataFrame:
+    """(phrase, unit_code, way, n, votes, scale, offset) of every phrase that is resolved;
+    ``way`` is seed, graph or table, the last for phrases that only the fixed spellings
+    ``known`` explain or that these explain otherwise."""
+    table = phrase_table(read.sparkSession, known)
+    codes = factors.where("unit_code is not null").groupBy(F.lower("unit_code").alias("phrase")).agg(F.min("unit_code").alias("unit_code"), F.max("unit_code").alias("z")).where("unit_code = z").select("phrase", "unit_code")
+    learnt = scratch.write(learn_sources(read, factors, codes, scratch))
+    both = learnt.join(table.withColumnRenamed("unit_code", "stated"), "phrase", "full")
+    other = F.col("unit_code").isNull() | (F.col("stated") != F.col("unit_code"))
+    way = F.when(F.coalesce(other, F.lit(False)), "table").when(F.col("votes").isNull(), "seed").otherwise("graph")
+    return both.select("phrase", F.coalesce("stated", "unit_code").alias("unit_code"), way.alias("way"), "n", "votes", "scale", "offset")
 
 
 def common_amounts(facts: DataFrame, factors: DataFrame, scratch, known: dict[str, str] | None = None) -> DataFrame:
@@ -271,7 +294,8 @@ def common_amounts(facts: DataFrame, factors: DataFrame, scratch, known: dict[st
     row; a fact delivered twice has one row.
     """
     read = scratch.write(amounts(facts))
-    phrases = learn_phrases(read, factors, phrase_table(facts.sparkSession, known), scratch)
+    phrases = scratch.write(source_units(read, factors, scratch, known)).select("phrase", "unit_code")
+    # the unit codes are a fixed table of a few dozen rows
     units = phrases.join(F.broadcast(factors.select("unit_code", "common_unit", "factor", "shift").distinct()), "unit_code")
     value = F.col("number") * F.col("scale")
     quantity = read.where("phrase is not null").join(units, "phrase").select("fact_id", "common_unit", (value * F.col("factor") + F.col("shift")).alias("v"))

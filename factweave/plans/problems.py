@@ -12,6 +12,15 @@ def p4_found(spark, d):
     return common_amounts(table(spark, d, "facts"), table(spark, d, "unit_factors"), Scratch(spark, "p4"))
 
 
+def p4_sources(spark, d):
+    """The unit that each way of recording amounts was found to mean, and by what."""
+    from factweave.operators.units import amounts, source_units
+
+    scratch = Scratch(spark, "p4")
+    read = scratch.write(amounts(table(spark, d, "facts")))
+    return source_units(read, table(spark, d, "unit_factors"), scratch).join(read.select("phrase").distinct(), "phrase", "left_semi")
+
+
 def p7_found(spark, d):
     """Points in time of facts as microseconds UTC."""
     from factweave.operators.timestamps import instants
