@@ -35,8 +35,8 @@ MONTHS = {
 }
 _MONTH = {w: m for m, ws in MONTHS.items() for w in ws.split()}
 
-#: What a string must hold to be worth reading (Java and Python agree on it).
-MAYBE = r"\d[:h]\d\d|\d\s*[ap]\.?m\b|^\s*-?\d{9,19}\s*$|\d{8}T?\d{4}"
+#: What a string must hold to be worth reading (no less than the patterns below ask for).
+MAYBE = r"(?iU)\d\s?[:h]\s?\d\d|\d\s*[ap]\.?\s?m\b|^\s*-?\d{9,19}\s*$|\d{8}T?\d{4}"
 
 _TIME = re.compile(r"(?<!\d)(\d{1,2})\s?[:h]\s?(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([ap])\.?\s?m\b\.?)?|(?<!\d)(\d{1,2})\s*([ap])\.?\s?m\b\.?", re.I)
 _COMPACT = re.compile(r"(\d{4})(\d{2})(\d{2})T?(\d{2})(\d{2})(?:(\d{2})(?:[.,](\d+))?)?\s*(Z|[+-]\d{2}:?\d{2})?")
@@ -166,10 +166,11 @@ def document_context(files: DataFrame) -> DataFrame:
     unknown zones and unknown orders give null.  A file listed twice gives one row."""
     meta = F.col("metadata_json")
     zone, order = F.get_json_object(meta, "$.timezone"), F.upper(F.get_json_object(meta, "$.date_order"))
-    known = F.array(*(F.lit(z) for z in sorted(regions())))
-    f = files.where("id is not null").select(F.col("id").alias("document_id"), zone.alias("zone"), order.alias("date_order"))
-    f = f.select("document_id", F.when(F.array_contains(known, F.col("zone")), F.col("zone")).alias("zone"), F.when(F.col("date_order").isin("DMY", "MDY"), F.col("date_order")).alias("date_order"))
-    return f.groupBy("document_id").agg(F.max("zone").alias("zone"), F.max("date_order").alias("date_order"))
+    # the zones of the machine's database, some 600 rows
+    known = F.broadcast(files.sparkSession.createDataFrame([(z,) for z in sorted(regions())], "known string"))
+    f = files.where("id is not null").select(F.col("id").alias("document_id"), zone.alias("zone"), F.when(order.isin("DMY", "MDY"), order).alias("date_order"))
+    f = f.join(known, F.col("zone") == F.col("known"), "left")
+    return f.groupBy("document_id").agg(F.max("known").alias("zone"), F.max("date_order").alias("date_order"))
 
 
 FIELDS = ("time_text", "time_start", "time_end")
@@ -194,22 +195,38 @@ def instants(facts: DataFrame, files: DataFrame) -> DataFrame:
     return s.select("fact_id", "field", _instant(F.col("stamp"), F.col("zone")).alias("epoch_us")).distinct()
 
 
-#: Zones tried for documents that state none: one for each offset history that matters commercially.
+#: Zones tried beside those that documents state: one for each offset history that matters commercially.
 CANDIDATES = ("UTC", "Europe/London", "Europe/Berlin", "Europe/Helsinki", "Europe/Moscow", "Asia/Dubai", "Asia/Kolkata", "Asia/Kathmandu", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney", "America/Sao_Paulo", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "Pacific/Honolulu")
+MINUTE = 60_000_000
 
 
-def zone_estimates(facts: DataFrame, files: DataFrame, slack_hours: float = 14.0) -> DataFrame:
-    """(document_id, stated_zone, zone, n, violations): the zone whose offset history
-    makes the fewest local stamps of a document later than their ingestion.
+def zone_estimates(facts: DataFrame, files: DataFrame, slack_hours: float = 14.0, candidates: tuple[str, ...] | None = None) -> DataFrame:
+    """(document_id, stated_zone, zone, ties, n, violations, away): the zone whose offset
+    history puts the local stamps of a document best before their ingestion.
 
-    Only stamps within ``slack_hours`` of ``created_at`` can tell zones apart; they
-    are counted per document and zone with partial aggregates.  Among equally good
-    zones UTC comes first, then the order of ``CANDIDATES``.
+    A stamp that comes out later than it was ingested is a violation; of zones with the
+    fewest, the one comes first under which the time between stamp and ingestion, in minutes
+    on average, is nearest to what is usual (``away``): the median of the stamps that state
+    an offset or zone, else none. So an offset too far east and one too far west both cost.
+    ``ties`` counts the zones that do as well, the chosen one included: one is an answer.
+
+    Only stamps within ``slack_hours`` of ``created_at``, the range of offsets, can tell zones
+    apart; they are counted per document and zone with partial aggregates. ``candidates`` are
+    ``CANDIDATES`` and all zones that documents state, unless given. Among equally
+    good zones UTC comes first, then the order of the candidates.
     """
-    s = stamps(facts, files).where("stamp.offset_s is null and stamp.zone is null and created_at is not null")
-    s = s.where(F.abs(F.col("stamp.local_us") - F.unix_micros("created_at")) <= int(slack_hours * 3.6e9))
-    tried = s.select("document_id", "zone", "created_at", "stamp", F.posexplode(F.array(*map(F.lit, CANDIDATES))).alias("rank", "candidate"))
-    late = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("stamp.local_us")), F.col("candidate"))) > F.unix_micros("created_at")
-    c = tried.groupBy("document_id", "zone", "rank", "candidate").agg(F.count(F.lit(1)).alias("n"), F.count_if(late).alias("violations"))
-    best = c.groupBy("document_id", F.col("zone").alias("stated_zone")).agg(F.min_by("candidate", F.struct("violations", "rank")).alias("zone"), F.max("n").alias("n"), F.min("violations").alias("violations"))
-    return best
+    slack = int(slack_hours * 3.6e9)
+    s = stamps(facts, files).where("created_at is not null").withColumn("at", F.unix_micros("created_at"))
+    told = s.where("stamp.offset_s is not null or stamp.zone is not null").withColumn("lag", F.col("at") - _instant(F.col("stamp"), F.col("zone")))
+    usual = told.where(F.col("lag").between(0, slack)).agg(F.percentile_approx("lag", 0.5)).first()[0] or 0
+    if candidates is None:
+        stated = [r.zone for r in document_context(files).where("zone is not null").select("zone").distinct().collect()]  # at most the zones there are
+        candidates = (*CANDIDATES, *sorted({*stated} - {*CANDIDATES}))
+    s = s.where("stamp.offset_s is null and stamp.zone is null").where(F.abs(F.col("stamp.local_us") - F.col("at")) <= slack)
+    tried = s.select("document_id", "zone", "at", "stamp", F.posexplode(F.array(*map(F.lit, candidates))).alias("rank", "candidate"))
+    lag = F.col("at") - F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("stamp.local_us")), F.col("candidate")))
+    c = tried.withColumn("lag", lag).groupBy("document_id", "zone", "rank", "candidate").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lag") < 0).alias("violations"), F.round(F.avg(F.abs(F.col("lag") - usual)) / MINUTE).cast("long").alias("away"))
+    cost = F.struct("violations", "away")
+    # one row a candidate
+    best = c.groupBy("document_id", F.col("zone").alias("stated_zone")).agg(F.min_by("candidate", F.struct(cost, "rank")).alias("zone"), F.collect_list(cost).alias("all"), F.min(cost).alias("low"), F.max("n").alias("n"))
+    return best.select("document_id", "stated_zone", "zone", F.size(F.filter("all", lambda x: x == F.col("low"))).alias("ties"), "n", F.col("low.violations").alias("violations"), F.col("low.away").alias("away"))

@@ -1,9 +1,10 @@
 import datetime as dt
+import random
 import zoneinfo
 
 import pytest
 
-from factweave.operators.timestamps import instants, read_stamp, zone_estimates
+from factweave.operators.timestamps import CANDIDATES, instants, read_stamp, zone_estimates
 
 UTC = dt.timezone.utc
 
@@ -46,12 +47,35 @@ def test_nulls_repeats_and_long_texts(spark):
 
 
 def test_zones_are_estimated(spark):
-    tz = zoneinfo.ZoneInfo("Asia/Tokyo")
-    at = dt.datetime(2023, 5, 1, 12, 0, tzinfo=UTC)
-    rows = []
-    for k in range(30):
-        t = at + dt.timedelta(hours=3 * k)
-        rows.append((f"f{k}", "d", (t - dt.timedelta(minutes=5)).astimezone(tz).strftime("%Y-%m-%d %H:%M"), None, None, t))
+    """Accuracy on documents whose zone is known but not told: stamps of a year, some minutes to
+    an hour before their ingestion, east and west of Greenwich, over clock changes."""
+    rnd, rows = random.Random(2), []
+    for z in CANDIDATES:
+        for k in range(40):
+            t = dt.datetime(2023, 1, 1, 12, tzinfo=UTC) + dt.timedelta(days=9 * k, hours=rnd.randrange(24))
+            rows.append((f"{z}{k}", z, (t - dt.timedelta(minutes=rnd.randint(1, 59))).astimezone(zoneinfo.ZoneInfo(z)).strftime("%Y-%m-%d %H:%M"), None, None, t))
+    rows.append(("none", None, "2023-01-01 12:00", None, None, None))
+    schema = "id string, document_id string, time_text string, time_start string, time_end string, created_at timestamp"
+    f = spark.createDataFrame(rows, schema)
+    files = spark.createDataFrame([(z, None) for z in CANDIDATES] + [("other", '{"timezone": "Asia/Calcutta"}')], "id string, metadata_json string")
+    got = {r.document_id: r for r in zone_estimates(f, files).collect()}
+    right = sum(got[z].zone == z for z in CANDIDATES)
+    assert right >= 0.9 * len(CANDIDATES) and all(got[z].zone == z for z in ("America/New_York", "America/Los_Angeles", "Asia/Tokyo", "Europe/Berlin"))
+    assert got["Asia/Kolkata"].ties == 2 and got["Asia/Tokyo"].ties == 1 and got["Asia/Tokyo"].n == 40  # Asia/Calcutta does as well
+    assert zone_estimates(f.limit(0), files).count() == 0
+
+
+def test_usual_lag_is_taken_from_stamps_with_offset(spark):
+    t = [dt.datetime(2023, 5, 1 + k, 20, tzinfo=UTC) for k in range(20)]
+    rows = [(f"a{k}", "told", (x - dt.timedelta(hours=3)).strftime("%Y-%m-%dT%H:%M:00Z"), None, None, x) for k, x in enumerate(t)]
+    rows += [(f"b{k}", "ny", (x - dt.timedelta(hours=3)).astimezone(zoneinfo.ZoneInfo("America/New_York")).strftime("%Y-%m-%d %H:%M"), None, None, x) for k, x in enumerate(t)]
+    f = spark.createDataFrame(rows, "id string, document_id string, time_text string, time_start string, time_end string, created_at timestamp")
+    got = {r.document_id: (r.zone, r.violations, r.away) for r in zone_estimates(f, spark.createDataFrame([("ny", None)], "id string, metadata_json string")).collect()}
+    assert got == {"ny": ("America/New_York", 0, 0)}
+
+
+def test_all_notations_reach_the_reader(spark):
+    rows = [("a", "d", "March 5, 2024 3 PM", "5.3.2024 14H30", "5.3.2024 14 h 30", None)]
     f = spark.createDataFrame(rows, "id string, document_id string, time_text string, time_start string, time_end string, created_at timestamp")
-    r = zone_estimates(f, spark.createDataFrame([("d", None)], "id string, metadata_json string")).collect()[0]
-    assert (r.zone, r.n, r.violations) in {("Asia/Tokyo", 30, 0), ("Australia/Sydney", 30, 0)}
+    got = {r.field: r.epoch_us for r in instants(f, spark.createDataFrame([("d", "{bad")], "id string, metadata_json string")).collect()}
+    assert got == {"time_text": us(2024, 3, 5, 15), "time_start": us(2024, 3, 5, 14, 30), "time_end": us(2024, 3, 5, 14, 30)}
