@@ -152,18 +152,30 @@ def period(text: Column, fiscal_year_end: Column) -> Column:
 
 # Metrics and their other names; every metric also stands for itself.
 PREDICATES = {
-    "revenue": "revenue revenues total_revenue total_revenues gross_revenue annual_revenue", "sales": "sales total_sales gross_sales net_sales product_sales",
-    "operating_income": "operating_income operating_profit operating_earnings ebit", "operating_margin": "operating_margin operating_profit_margin", "gross_margin": "gross_margin", "net_margin": "net_margin",
-    "net_income": "net_income net_profit net_earnings", "employee_count": "employee_count headcount total_employees number_of_employees workforce", "eps": "eps earnings_per_share diluted_eps basic_eps",
-    "chief_executive_officer": "ceo chief_executive_officer", "chief_financial_officer": "cfo chief_financial_officer", "founder": "founder", "chairman": "chairman",
-}
-SYNONYMS = {s: p for p, ss in PREDICATES.items() for s in ss.split()}
+    "revenue": ["revenue", "revenues", "total_revenue", "total_revenues", "gross_revenue", "annual_revenue"],
+    "sales": ["sales", "total_sales", "gross_sales", "net_sales", "product_sales"],
+    "operating_income": ["operating_income", "operating_profit", "operating_earnings", "ebit"],
+    "operating_margin": ["operating_margin", "operating_profit_margin"],
+    "gross_margin": ["gross_margin"],
+    "net_margin": ["net_margin"],
+    "net_income": ["net_income", "net_profit", "net_earnings"],
+    "employee_count": ["employee_count", "headcount", "total_employees", "number_of_employees", "workforce"],
+    "eps": ["eps", "earnings_per_share", "diluted_eps", "basic_eps"],
+    "chief_executive_officer": ["ceo", "chief_executive_officer"],
+    "chief_financial_officer": ["cfo", "chief_financial_officer"],
+    "founder": ["founder"],
+    "chairman": ["chairman"],
+}
+SYNONYMS = {s: p for p, ss in PREDICATES.items() for s in ss}
 # Families of comparable metrics.
 FAMILIES = {
-    "top_line": "revenue sales", "profitability": "operating_income net_income operating_margin gross_margin net_margin", "headcount": "employee_count",
-    "leadership": "chief_executive_officer chief_financial_officer founder chairman", "market": "market_cap valuation share_price",
-}
-FAMILY_OF = {p: f for f, ps in FAMILIES.items() for p in ps.split()}
+    "top_line": ["revenue", "sales"],
+    "profitability": ["operating_income", "net_income", "operating_margin", "gross_margin", "net_margin"],
+    "headcount": ["employee_count"],
+    "leadership": ["chief_executive_officer", "chief_financial_officer", "founder", "chairman"],
+    "market": ["market_cap", "valuation", "share_price"],
+}
+FAMILY_OF = {p: f for f, ps in FAMILIES.items() for p in ps}
 
 
 def predicate(c: Column) -> Column:

@@ -105,6 +105,25 @@ def pair_score(entity: Column, predicate: Column, semantic: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)), 2)
 
 
+def reasons(entity: Column, predicate: Column, semantic: Column) -> Column:
+    """Why a pair was selected, in words, in the order entity, metric, period, scope, unit, vector (C-1 to C-6)."""
+    say = lambda text, x: F.concat(F.lit(text), x)
+    two = lambda x: F.format_number(x, 2)
+    pa, pb, sa, sb, ga, gb = (folded(F.col(c)) for c in ("a_predicate", "b_predicate", "a_scope", "b_scope", "a_geography", "b_geography"))
+    ca, cb, ua, ub = _currency("a"), _currency("b"), _unit("a"), _unit("b")
+    start = F.col("a_time_start") == F.col("b_time_start")
+    span = start & (F.col("a_time_end") == F.col("b_time_end")) & _both(F.coalesce("a_time_start", F.lit("")), F.coalesce("a_time_end", F.lit("")))
+    # The wordings of reasons.
+    return F.array_compact(F.array(
+        F.when(same_entity(), "same canonical entity").when(entity >= 0.80, say("entity semantic similarity ", two(entity))),
+        F.when(pa == pb, say("exact predicate match: ", pa)).when(predicate >= 0.70, say("predicate semantic similarity ", two(predicate))),
+        F.when(_year("a") == _year("b"), "same fiscal year").when(_year("a").isNull() | _year("b").isNull(), F.when(span, "identical time period")),
+        F.when(_both(sa, sb) & (sa == sb), say("same scope ", sa)).when(_both(ga, gb) & (ga == gb), say("same geography ", ga)),
+        F.when(_both(ca, cb) & (ca == cb), say("same currency ", ca)), F.when(_both(ua, ub) & (ua == ub), say("same unit ", ua)),
+        F.when(semantic >= 0.70, say("embedding similarity ", two(semantic))),
+    ))
+
+
 def top_k_either(scored: DataFrame, k: int) -> DataFrame:
     """Scored pairs that are among the best ``k`` of either end (C-8).
 
@@ -175,7 +194,7 @@ def candidates(facts: DataFrame, entities: DataFrame, queries: DataFrame | None
         least = F.lit(min_score) if not bounds else F.col("a_bound") if queries is not None else F.least("a_bound", "b_bound")
         j = j.join(alike, ["a_p", "b_p"]).where(most >= least)
         j = once(j, "semantic", cosine(F.col("a_vector"), F.col("b_vector"), F.col("a_own"), F.col("b_own"))).withColumn("score", pair_score(F.col("a_es"), F.col("pred"), F.col("semantic"))).where(F.col("score") >= min_score)
-        return j.select("a_id", "b_id", "a_document_id", "b_document_id", F.col("a_es").alias("entity_similarity"), F.col("pred").alias("predicate_similarity"), F.round("semantic", 2).alias("semantic"), period_compatible().alias("period"), "score")
+        return j.select("a_id", "b_id", "a_document_id", "b_document_id", F.col("a_es").alias("entity_similarity"), F.col("pred").alias("predicate_similarity"), F.round("semantic", 2).alias("semantic"), period_compatible().alias("period"), "score", reasons(F.col("a_es"), F.col("pred"), F.col("semantic")).alias("reasons"))
 
     one = F.lit(1.0)
     named = left.join(shared, "low", "left_semi").withColumn("m", by_name)
@@ -201,6 +220,72 @@ def candidates(facts: DataFrame, entities: DataFrame, queries: DataFrame | None
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def candidate_rows(c: DataFrame) -> DataFrame:
+    """Candidates as rows of the table of candidate pairs, the smaller id first; a pair found
+    from both ends is one row, whose id comes from the ends."""
+    a, b = F.least("a_id", "b_id"), F.greatest("a_id", "b_id")
+    rows = c.select(
+        F.substring(F.sha2(F.concat_ws("::", a, b), 256), 1, 32).alias("id"), a.alias("fact_a_id"), b.alias("fact_b_id"), F.coalesce(F.col("a_document_id") == F.col("b_document_id"), F.lit(False)).alias("same_document"), "entity_similarity", "predicate_similarity",
+        F.greatest(F.lit(0.0), "semantic").alias("semantic_similarity"), F.lit(True).alias("unit_compatible"), F.col("period").alias("period_compatible"), F.lit(True).alias("scope_compatible"), F.col("score").alias("candidate_score"), "reasons",
+        F.lit("pending").alias("status"), F.current_timestamp().alias("created_at"),
+    )
+    return rows.dropDuplicates(["fact_a_id", "fact_b_id"])
+
+
+def evaluate(candidates: DataFrame, facts: DataFrame, entities: DataFrame, document_id: str | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(relationships, candidates) of a run over the table of candidate pairs (R-13, S-10).
+
+    Pending pairs are compared, with ``force`` all; with ``document_id`` those of which one
+    fact is the document's. Pairs with an unknown or rejected end give no relationship and
+    keep their status, all others come back as evaluated. Ids come from the ends.
+    """
+    f = with_entity(facts, entities).where(F.coalesce(F.col("validation_status") != "rejected", F.lit(True)))
+    todo = candidates if force else candidates.where("status = 'pending'")
+    j = pair_up(todo.select("fact_a_id", "fact_b_id").distinct(), f, "fact_a_id", "fact_b_id")
+    if document_id is not None:
+        j = j.where((F.col("a_document_id") == document_id) | (F.col("b_document_id") == document_id))
+    d = compare(j)
+    made = d.select(
+        F.substring(F.sha2(F.concat_ws("::", F.least("a_id", "b_id"), F.greatest("a_id", "b_id"), F.lit("v1")), 256), 1, 32).alias("id"), F.col("a_id").alias("fact_a_id"), F.col("b_id").alias("fact_b_id"), F.col("d.type").alias("relationship_type"),
+        F.col("d.confidence").alias("confidence"), F.col("d.dimension").alias("primary_dimension"), F.to_json(F.struct(*(F.col(c).alias(c[2:]) for c in DIMENSIONS))).alias("context_comparison_json"), "explanation", F.lit("v1").alias("reasoning_version"),
+    )
+    done = made.select(F.least("fact_a_id", "fact_b_id").alias("__x"), F.greatest("fact_a_id", "fact_b_id").alias("__y"), F.lit("evaluated").alias("__new")).distinct()
+    after = candidates.withColumns({"__x": F.least("fact_a_id", "fact_b_id"), "__y": F.greatest("fact_a_id", "fact_b_id")}).join(done, ["__x", "__y"], "left")
+    return made, after.withColumn("status", F.coalesce("__new", "status")).select(*candidates.columns)
+
+
+#: The dimensions that a relationship keeps of its comparison.
+DIMENSIONS = ["d_entity", "d_predicate", "d_period", "d_scope", "d_geo", "d_unit", "d_currency", "d_quals", "d_equal", "d_difference"]
+
+
+def comparison_rows() -> Column:
+    """The six rows that show a compared pair (T-16): dimension, both sides, whether they match."""
+    row = lambda name, a, b, m: F.struct(F.lit(name).alias("dimension"), F.coalesce(filled(a), F.lit("-")).alias("fact_a"), F.coalesce(filled(b), F.lit("-")).alias("fact_b"), F.coalesce(m, F.lit(False)).alias("match"))
+    two = lambda name, x, m: row(name, F.col(f"a_{x}"), F.col(f"b_{x}"), m)
+    unit = lambda s: F.coalesce(filled(F.col(f"{s}_unit")), filled(F.col(f"{s}_currency")))
+    return F.array(
+        row("Entity", F.coalesce("a_name", "a_subject"), F.coalesce("b_name", "b_subject"), F.col("d_entity")), two("Metric", "predicate", F.col("d_predicate")), two("Time Period", "time_text", F.col("d_period")),
+        two("Geography", "geography", F.col("d_geo")), row("Unit / Currency", unit("a"), unit("b"), F.col("d_unit") & F.col("d_currency")), two("Scope", "scope", F.col("d_scope")),
+    )
+
+
+def _prompt_lines(s: str) -> Column:
+    """A fact of a pair as lines of text; what is missing is said to be."""
+    c = lambda x: F.col(f"{s}_{x}")
+    or_ = lambda x, d: F.coalesce(filled(x), F.lit(d))
+    line = lambda name, *x: F.concat(F.lit(f"{name}: "), *x)
+    return F.concat_ws("\n",
+        line("Entity", F.coalesce(c("name"), c("subject"), F.lit("N/A"))), line("Metric", or_(c("predicate"), "N/A")), line("Value", or_(c("value_text"), "N/A")), line("Normalized", F.coalesce(c("normalized_numeric_value").cast("string"), F.lit("N/A"))),
+        line("Unit", F.coalesce(filled(c("normalized_unit")), filled(c("unit")), F.lit("N/A"))), line("Currency", or_(c("currency"), "N/A")), line("Period", or_(c("time_text"), "N/A")), line("Scope", or_(c("scope"), "unspecified")), line("Geography", or_(c("geography"), "unspecified")),
+        F.when(filled(c("qualifiers_json")).isNotNull(), line("Qualifiers", c("qualifiers_json"))),
+    )
+
+
+def pair_prompt() -> Column:
+    """The text that a judge of open pairs gets (R-15)."""
+    return F.concat(F.lit("Fact A\n"), _prompt_lines("a"), F.lit("\n\nFact B\n"), _prompt_lines("b"), F.lit("\n\nDecide from these facts alone: corroborates, contradicts, reconciles, uncertain or unrelated; name the dimension that decides and say why."))
+
+
 def _qualifiers(s: str) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(F.from_json(f"{s}_qualifiers_json", "array<string>"), F.array().cast("array<string>"))))
 

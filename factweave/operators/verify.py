@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factweave.functions.text import bare, quote_norm, strip
 from factweave.session import once
 
+# What is noted of a quote.
 NOTE_EMPTY = "Empty source quote provided."
 NOTE_FORM = "Source quote verified with minor punctuation or formatting differences."
 NOTE_PART = "Partial quote match detected in chunk text; some words differed."

@@ -116,16 +116,20 @@ def incremental_new_docs(spark, d):
 
 
 @query("""
-WITH first AS (SELECT sha256, min(id) AS first_id FROM document_files WHERE sha256 IS NOT NULL GROUP BY 1)
-SELECT id, CASE WHEN original_filename IS NULL OR NOT lower(original_filename) LIKE '%.pdf' THEN 'rejected' WHEN status = 'error' THEN 'failed' WHEN first_id < id THEN 'reused' ELSE 'new' END AS disposition
-FROM document_files LEFT JOIN first USING (sha256)
+WITH f AS (SELECT id, coalesce(original_filename, '') || '/' || id AS filename, sha256(coalesce(publisher, id)) AS sha256, created_at < TIMESTAMPTZ '2023-01-03' AS old, coalesce(lower(original_filename) LIKE '%.pdf', false) AS pdf FROM document_files),
+k AS (SELECT sha256, min(id) AS known_id FROM f WHERE old GROUP BY 1), n AS (SELECT sha256, min(filename) AS first FROM f WHERE NOT old AND pdf GROUP BY 1)
+SELECT f.filename, f.sha256, CASE WHEN pdf THEN coalesce(known_id, 'doc-' || substr(f.sha256, 1, 32)) END AS id, CASE WHEN NOT pdf THEN 'rejected' WHEN known_id IS NOT NULL THEN 'reused' WHEN f.filename > first THEN 'reused' ELSE 'new' END AS disposition
+FROM f LEFT JOIN k USING (sha256) LEFT JOIN n USING (sha256) WHERE NOT old
 """)
 def upload_disposition(spark, d):
-    """What becomes of each uploaded file: rejected, failed, reused (known content) or new."""
-    f = table(spark, d, "document_files")
-    first = f.where("sha256 is not null").groupBy("sha256").agg(F.min("id").alias("first_id"))
-    bad = ~F.coalesce(F.lower("original_filename").endswith(".pdf"), F.lit(False))
-    return f.join(first, "sha256", "left").select("id", F.when(bad, "rejected").when(F.col("status") == "error", "failed").when(F.col("first_id") < F.col("id"), "reused").otherwise("new").alias("disposition"))
+    """What becomes of each file of a later delivery: rejected, reused (known content) or new. The files have
+    no equal contents, so the publisher stands for it."""
+    from factweave.sources.files import dispositions
+
+    name = F.concat(F.coalesce("original_filename", F.lit("")), F.lit("/"), "id")
+    pdf = F.coalesce(F.lower("original_filename").endswith(".pdf"), F.lit(False))
+    f = table(spark, d, "document_files").select("id", name.alias("filename"), F.sha2(F.coalesce("publisher", "id"), 256).alias("sha256"), F.when(~pdf, "not a .pdf name").alias("problem"), (F.col("created_at") < F.lit("2023-01-03").cast("timestamp")).alias("old"))
+    return dispositions(f.where("not old"), f.where("old").select("id", "sha256"))
 
 
 @query(f"""
@@ -272,6 +276,7 @@ def extraction_prompts(spark, d):
 _CODES = "|".join(N.CODES)
 _SIGN_SQL = "CASE " + " ".join(f"WHEN contains(t0, '{s}') THEN '{c}'" for s, c in reversed(N.SIGNS)) + " END"
 _SIZE_SQL = "map {" + ", ".join(f"'{k}': {v:.1f}" for k, v in N.MAGNITUDES.items()) + "}"
+_PARTS = "^\\s*([0-9]+(?:\\.[0-9]+)?)\\s*:\\s*([0-9]+(?:\\.[0-9]+)?)\\s*$"
 _TRIMMED = "regexp_replace(regexp_replace({x}, '^[.,;:()]+', ''), '[.,;:()]+$', '')"
 
 
@@ -286,17 +291,17 @@ g AS (SELECT *, list_filter(list_transform(ws, lambda w: ({_SIZE_SQL})[{_TRIMMED
 h AS (SELECT *, coalesce(list_product(sizes), 1.0) AS m0, nullif(regexp_extract(rest, '[0-9]+(?:\\.[0-9]+)?\\s*([kmbt])\\b', 1), '') AS suffix FROM g),
 i AS (SELECT *, CASE WHEN m0 = 1.0 THEN coalesce(({_SIZE_SQL})[suffix], 1.0) ELSE m0 END AS m,
   try_cast(nullif(regexp_extract(regexp_replace(regexp_replace(rest, '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g'), '[-+]?[0-9]*\\.?[0-9]+'), '') AS DOUBLE) AS base FROM h)
-SELECT seq, CASE WHEN v = '' THEN NULL ELSE base END AS raw,
-  CASE WHEN v = '' THEN NULL WHEN pct THEN round(CASE WHEN base > 1 THEN base / 100 ELSE base END, 6) WHEN nullif(cur, '') IS NOT NULL THEN round(base * m, 2) ELSE base * m END AS normalized,
-  CASE WHEN v = '' THEN du WHEN base IS NOT NULL AND pct THEN '%' WHEN base IS NOT NULL AND nullif(cur, '') IS NOT NULL THEN cur ELSE du END AS unit,
+SELECT seq, CASE WHEN v = '' THEN NULL WHEN ratio THEN q ELSE base END AS raw,
+  CASE WHEN v = '' THEN NULL WHEN ratio THEN q WHEN pct THEN round(CASE WHEN base > 1 THEN base / 100 ELSE base END, 6) WHEN nullif(cur, '') IS NOT NULL THEN round(base * m, 2) ELSE base * m END AS normalized,
+  CASE WHEN v = '' THEN du WHEN ratio THEN 'ratio' WHEN base IS NOT NULL AND pct THEN '%' WHEN base IS NOT NULL AND nullif(cur, '') IS NOT NULL THEN cur ELSE du END AS unit,
   CASE WHEN v = '' THEN dc ELSE cur END AS currency,
-  CASE WHEN v = '' OR base IS NULL THEN coalesce(dt, 'text') WHEN pct THEN 'percentage' WHEN nullif(cur, '') IS NOT NULL THEN 'currency' ELSE coalesce(dt, 'number') END AS value_type
-FROM i WHERE NOT ratio
+  CASE WHEN ratio THEN 'range' WHEN v = '' OR base IS NULL THEN coalesce(dt, 'text') WHEN pct THEN 'percentage' WHEN nullif(cur, '') IS NOT NULL THEN 'currency' ELSE coalesce(dt, 'number') END AS value_type
+FROM (SELECT *, try_cast(regexp_extract(t3, '{_PARTS}', 1) AS DOUBLE) / nullif(try_cast(regexp_extract(t3, '{_PARTS}', 2) AS DOUBLE), 0) AS q FROM i)
 """)
 def normalize_numeric(spark, d):
     """Numbers, units and currencies of every fact's value in normal form."""
     f = table(spark, d, "facts").select("seq", "value_text", F.col("unit").alias("du"), F.col("currency").alias("dc"), "value_type")
-    return N.with_numeric(f, "n", F.col("value_text"), F.col("du"), F.col("dc"), F.col("value_type")).where("n.value_type <> 'range'").select("seq", "n.raw", "n.normalized", "n.unit", "n.currency", "n.value_type")
+    return N.with_numeric(f, "n", F.col("value_text"), F.col("du"), F.col("dc"), F.col("value_type")).select("seq", "n.raw", "n.normalized", "n.unit", "n.currency", "n.value_type")
 
 
 _Y = "(19[0-9][0-9]|20[0-9][0-9])"
@@ -401,15 +406,27 @@ def durations(spark, d):
 
 
 @query("""
-SELECT id, CASE WHEN n % 3 = 0 THEN greatest(n + 1.5, 5.0) WHEN n % 3 = 1 THEN greatest(n + 0.5 + 1.5, 5.0) ELSE 45.0 END::DOUBLE AS seconds FROM (SELECT id, page_count AS n FROM document_files WHERE page_count IS NOT NULL)
+SELECT id, CASE n % 6 WHEN 0 THEN greatest(n + 1.5, 5.0) WHEN 1 THEN greatest(n + 0.5 + 1.5, 5.0) WHEN 2 THEN greatest(n + 1.5, 5.0) WHEN 3 THEN greatest(n + 0.25 + 1.5, 5.0) ELSE 45.0 END::DOUBLE AS seconds FROM (SELECT id, page_count AS n FROM document_files WHERE page_count IS NOT NULL)
 """)
 def retry_delays(spark, d):
     """Waiting times read from error messages in several wordings."""
     n = F.col("page_count")
-    said = F.when(n % 3 == 0, F.concat(F.lit("Please retry in "), n, F.lit("s"))).when(n % 3 == 1, F.concat(F.lit("{'retryDelay': '"), n, F.lit(".5s'}"))).otherwise("quota exceeded")
+    say = lambda a, b: F.concat(F.lit(a), n, F.lit(b))
+    said = F.when(n % 6 == 0, say("Please retry in ", "s.")).when(n % 6 == 1, say("{'retryDelay': '", ".5s'}")).when(n % 6 == 2, say("retryDelay: ", "")).when(n % 6 == 3, say("{\"retry_after\": ", ".25}")).when(n % 6 == 4, say("retry-after ", "")).otherwise("quota exceeded")
     return table(spark, d, "document_files").where("page_count is not null").select("id", X.retry_delay(said).alias("seconds"))
 
 
+@query("""
+SELECT id, CASE WHEN created_at IS NULL THEN '' ELSE strftime(timezone('Europe/Berlin', created_at::TIMESTAMPTZ), '%Y-%m-%d %H:%M:%S') END AS iso, CASE WHEN created_at IS NULL THEN '' ELSE strftime(timezone('America/New_York', created_at::TIMESTAMPTZ), '%Y-%m-%d %H:%M:%S') END AS utc,
+  CASE WHEN original_filename IS NULL THEN '' ELSE replace(substr(original_filename, 1, 19), 'T', ' ') END AS other FROM document_files WHERE original_filename IS NULL OR NOT regexp_matches(original_filename, '^[0-9]{4}')
+""")
+def local_times(spark, d):
+    """Time stamps of files as local time: naive ones, those with Z, and texts that are none."""
+    f = table(spark, d, "document_files").where("original_filename is null or not original_filename rlike '^[0-9]{4}'")
+    naive, zulu = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.concat(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit("Z"))
+    return f.select("id", X.local_time(naive, "Europe/Berlin").alias("iso"), X.local_time(zulu, "America/New_York").alias("utc"), X.local_time(F.col("original_filename"), "UTC").alias("other"))
+
+
 # ---- facts -----------------------------------------------------------------------------------------------------------
 
 
@@ -626,134 +643,11 @@ def explanations(spark, d):
     return PR.compare(related_pairs(spark, d)).select("a_id", "b_id", "explanation")
 
 
-# ---- reading -----------------------------------------------------------------------------------------------------------
-
-#: Rows of a page of results, as the interface gives them.
-PAGE = 50
-
-
-def like(c, text: str):
-    """Substring search without letter case; ``%`` and ``_`` of the text are wildcards."""
-    return F.coalesce(F.ilike(c, F.lit(f"%{text}%")), F.lit(False))
-
-
-def page(df, *order, limit: int = PAGE, offset: int = 0):
-    """One page of a listing in a total order."""
-    return df.orderBy(*order).offset(offset).limit(limit)
-
-
-@query(f"""WITH {LATEST} SELECT f.id, f.subject, e.canonical_name AS name, f.predicate, f.value_text, f.extraction_confidence FROM lf f LEFT JOIN entities e ON e.id = f.entity_id
-WHERE (f.subject ILIKE '%mining%' OR coalesce(e.canonical_name ILIKE '%mining%', false)) AND f.predicate ILIKE '%revenue%' AND f.validation_status = 'validated' AND f.extraction_confidence >= 0.8 ORDER BY f.seq DESC LIMIT 50 OFFSET 10""")
-def search_facts(spark, d):
-    """A page of validated facts on a subject or entity and a metric, newest first."""
-    f = latest_facts(spark, d).join(table(spark, d, "entities").select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("name")), "entity_id", "left")
-    f = f.where((like(F.col("subject"), "mining") | like(F.col("name"), "mining")) & like(F.col("predicate"), "revenue") & (F.col("validation_status") == "validated") & (F.col("extraction_confidence") >= 0.8))
-    return page(f, F.col("seq").desc(), offset=10).select("id", "subject", "name", "predicate", "value_text", "extraction_confidence")
-
-
-@query(f"""WITH {LATEST} SELECT f.id, f.subject, f.value_text, f.geography, d.title FROM lf f LEFT JOIN document_files d ON d.id = f.document_id LEFT JOIN entities e ON e.id = f.entity_id
-WHERE f.value_type = 'currency' AND (coalesce(f.subject ILIKE '%energy%', false) OR coalesce(f.predicate ILIKE '%energy%', false) OR coalesce(f.value_text ILIKE '%energy%', false) OR coalesce(e.canonical_name ILIKE '%energy%', false)) ORDER BY f.seq DESC LIMIT 50""")
-def search_facts_joined(spark, d):
-    """A page of facts of a type found in any of four columns, with their documents."""
-    f = latest_facts(spark, d).where("value_type = 'currency'")
-    f = f.join(table(spark, d, "entities").select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("name")), "entity_id", "left").join(table(spark, d, "document_files").select(F.col("id").alias("document_id"), "title"), "document_id", "left")
-    f = f.where(like(F.col("subject"), "energy") | like(F.col("predicate"), "energy") | like(F.col("value_text"), "energy") | like(F.col("name"), "energy"))
-    return page(f, F.col("seq").desc()).select("id", "subject", "value_text", "geography", "title")
-
+# ---- aggregates --------------------------------------------------------------------------------------------------------
 
 _KIND = f"lower({strip_sql('relationship_type')})"
 
 
-@query(f"SELECT id, {_KIND} AS relationship_type, confidence FROM relationships WHERE {_KIND} = 'contradicts' AND confidence >= 0.7 ORDER BY confidence DESC NULLS LAST, created_at DESC NULLS LAST, id LIMIT 50")
-def list_relationships(spark, d):
-    """A page of relationships of a type above a confidence."""
-    r = table(spark, d, "relationships").withColumn("relationship_type", F.lower(X.strip(F.col("relationship_type"))))
-    r = r.where("relationship_type = 'contradicts' AND confidence >= 0.7")
-    return page(r, F.col("confidence").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "id").select("id", "relationship_type", "confidence")
-
-
-_ENRICH = f"""WITH {LATEST} SELECT r.id, {_KIND} AS relationship_type, r.confidence, fa.subject AS subject_a, fb.subject AS subject_b, fa.value_text AS value_a, fb.value_text AS value_b, da.title AS title_a, db.title AS title_b
-FROM relationships r JOIN lf fa ON fa.id = r.fact_a_id JOIN lf fb ON fb.id = r.fact_b_id LEFT JOIN document_files da ON da.id = fa.document_id LEFT JOIN document_files db ON db.id = fb.document_id"""
-
-
-def enriched(spark, d):
-    """Relationships with both facts and their documents."""
-    f = latest_facts(spark, d).select("id", "document_id", "subject", "value_text").join(table(spark, d, "document_files").select(F.col("id").alias("document_id"), "title"), "document_id", "left")
-    side = lambda s: f.select(F.col("id").alias(f"fact_{s}_id"), F.col("subject").alias(f"subject_{s}"), F.col("value_text").alias(f"value_{s}"), F.col("title").alias(f"title_{s}"))
-    r = table(spark, d, "relationships").withColumn("relationship_type", F.lower(X.strip(F.col("relationship_type"))))
-    return r.join(side("a"), "fact_a_id").join(side("b"), "fact_b_id").select("id", "relationship_type", "confidence", *(f"{c}_{s}" for c in ("subject", "value", "title") for s in "ab"))
-
-
-@query(_ENRICH)
-def relationships_enriched(spark, d):
-    """All relationships with both facts and their documents."""
-    return enriched(spark, d)
-
-
-@query(_ENRICH + f" WHERE {_KIND} = 'uncertain'")
-def uncertain_relationships(spark, d):
-    """Relationships that are uncertain, with both facts and their documents."""
-    return enriched(spark, d).where("relationship_type = 'uncertain'")
-
-
-@query(f"WITH {LATEST} SELECT count(*) AS n, r.id FROM relationships r JOIN lf fa ON fa.id = r.fact_a_id JOIN lf fb ON fb.id = r.fact_b_id WHERE fa.document_id <> fb.document_id GROUP BY r.id")
-def cross_document_relationships(spark, d):
-    """Relationships between facts of different documents."""
-    f = latest_facts(spark, d).select("id", "document_id")
-    r = table(spark, d, "relationships").select(F.col("id").alias("rid"), "fact_a_id", "fact_b_id")
-    j = r.join(f.select(F.col("id").alias("fact_a_id"), F.col("document_id").alias("da")), "fact_a_id").join(f.select(F.col("id").alias("fact_b_id"), F.col("document_id").alias("db")), "fact_b_id")
-    return j.where("da <> db").groupBy(F.col("rid").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT id, title, status, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id) AS k FROM document_files WHERE status = 'uploaded' ORDER BY created_at DESC NULLS LAST, id LIMIT 50 OFFSET 20")
-def document_listing(spark, d):
-    """A page of documents of a status, newest first, with their rank."""
-    p = page(table(spark, d, "document_files").where("status = 'uploaded'"), F.col("created_at").desc_nulls_last(), "id", offset=20)
-    from pyspark.sql import Window as W
-
-    # the window runs over one page of rows
-    return p.withColumn("k", F.row_number().over(W.orderBy(F.col("created_at").desc_nulls_last(), "id")) + 20).select("id", "title", "status", "k")
-
-
-@query("SELECT p.document_id, p.page_number, b.id, b.block_type, row_number() OVER (PARTITION BY p.document_id ORDER BY p.page_number NULLS FIRST, b.reading_order NULLS FIRST, b.block_index NULLS FIRST, b.id)::INT AS k FROM blocks b JOIN pages p ON p.id = b.page_id")
-def block_listing(spark, d):
-    """Blocks of every document in reading order, numbered."""
-    from pyspark.sql import Window as W
-
-    j = table(spark, d, "blocks").join(table(spark, d, "pages").select(F.col("id").alias("page_id"), "document_id", "page_number"), "page_id")
-    w = W.partitionBy("document_id").orderBy("page_number", "reading_order", "block_index", "id")
-    return j.select("document_id", "page_number", "id", "block_type", F.row_number().over(w).alias("k"))
-
-
-@query("SELECT id, document_id, sequence_index, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY sequence_index NULLS FIRST, id)")
-def chunk_links(spark, d):
-    """Chunks of every document in order, each with its neighbours."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("document_id").orderBy("sequence_index", "id")
-    return table(spark, d, "chunks").select("id", "document_id", "sequence_index", F.lag("id").over(w).alias("previous_id"), F.lead("id").over(w).alias("next_id"))
-
-
-@query(f"WITH {LATEST} SELECT f.id, f.validation_status, f.source_quote, d.title FROM lf f LEFT JOIN document_files d ON d.id = f.document_id WHERE f.validation_status IN ('rejected', 'warning')")
-def rejected_and_warning(spark, d):
-    """Facts that verification rejected or doubts, with their documents."""
-    f = latest_facts(spark, d).where(F.col("validation_status").isin("rejected", "warning"))
-    return f.join(table(spark, d, "document_files").select(F.col("id").alias("document_id"), "title"), "document_id", "left").select("id", "validation_status", "source_quote", "title")
-
-
-@query("SELECT id, title, error_message FROM document_files WHERE status = 'error'")
-def failed_documents(spark, d):
-    """Documents whose processing failed."""
-    return table(spark, d, "document_files").where("status = 'error'").select("id", "title", "error_message")
-
-
-@query("SELECT p.id, p.page_number, p.text_quality, length(p.raw_text)::INT AS chars, d.title FROM pages p LEFT JOIN document_files d ON d.id = p.document_id WHERE p.is_scanned OR p.text_quality < 0.3")
-def low_quality_pages(spark, d):
-    """Scanned pages and pages of poor text."""
-    p = table(spark, d, "pages").where("is_scanned OR text_quality < 0.3")
-    return p.join(table(spark, d, "document_files").select(F.col("id").alias("document_id"), "title"), "document_id", "left").select("id", "page_number", "text_quality", F.length("raw_text").alias("chars"), "title")
-
-
 @query(f"""WITH {LATEST}, r AS (SELECT {_KIND} AS t FROM relationships)
 SELECT (SELECT count(*) FROM document_files) AS documents, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM lf) AS facts, (SELECT count(*) FILTER (validation_status = 'validated') FROM lf) AS validated, (SELECT count(*) FILTER (validation_status = 'warning') FROM lf) AS warning,
   (SELECT count(*) FILTER (validation_status = 'rejected') FROM lf) AS rejected, count(*) AS relationships, count(*) FILTER (t = 'corroborates') AS corroborates, count(*) FILTER (t = 'contradicts') AS contradicts, count(*) FILTER (t = 'reconciles') AS reconciles, count(*) FILTER (t = 'uncertain') AS uncertain, count(*) FILTER (t = 'unrelated') AS unrelated FROM r""")
@@ -859,15 +753,6 @@ def unprocessed_documents(spark, d):
     return table(spark, d, "document_files").join(c, "id", "left_anti").select("id")
 
 
-@query("SELECT id, CASE WHEN id IN (SELECT id FROM document_files) THEN 'document' WHEN id IN (SELECT id FROM facts) THEN 'fact' ELSE 'missing' END AS target FROM (SELECT fact_a_id AS id FROM relationships WHERE fact_a_id IS NOT NULL UNION SELECT document_id FROM pages WHERE document_id IS NOT NULL)")
-def target_dispatch(spark, d):
-    """What each of a set of ids is: a document, a fact or missing."""
-    ids = table(spark, d, "relationships").select(F.col("fact_a_id").alias("id")).unionByName(table(spark, d, "pages").select(F.col("document_id").alias("id"))).where("id is not null").distinct()
-    docs = table(spark, d, "document_files").select("id", F.lit("document").alias("t1")).distinct()
-    facts = table(spark, d, "facts").select("id", F.lit("fact").alias("t2")).distinct()
-    return ids.join(docs, "id", "left").join(facts, "id", "left").select("id", F.coalesce("t1", "t2", F.lit("missing")).alias("target"))
-
-
 @query("SELECT 'relationship_type' AS column, count(*) FILTER (relationship_type NOT IN ('corroborates', 'contradicts', 'reconciles', 'uncertain', 'unrelated'))::BIGINT AS rows FROM relationships")
 def contract_report(spark, d):
     """How many relationships break each contract of the data model."""

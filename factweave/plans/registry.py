@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factweave.plans import problems, reference
+from factweave.plans import problems, reading, reference  # noqa: F401  (reading adds its queries to those of reference)
 
 
 def flagship(spark, sf_dir):

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import uuid
 
 import pytest
@@ -34,22 +35,58 @@ def test_tables_and_blocks(spark):
     assert b[0].content_hash == hashlib.sha256(b"1. Intro").hexdigest()[:16]
 
 
-def block(i, kind, n, page=1):
-    return dict(id=i, block_type=kind, text=(i + " ") * (4 * n // (len(i) + 1)), page_number=page)
-
-
-def test_chunks_follow_sections():
-    h = dict(id="h", block_type="heading", text="1. Introduction", page_number=1)
-    h2 = dict(id="h2", block_type="heading", text="1.1 Overview", page_number=1)
-    one = K.chunk_blocks("d", [h, h2, block("b", "paragraph", 50)], set(), 500, 1000, 150)
-    assert len(one) == 1 and one[0]["heading_path"] == ["1. Introduction", "1.1 Overview"]
-    two = K.chunk_blocks("d", [h, block("b1", "paragraph", 20), block("b2", "paragraph", 20), dict(h, id="h3", text="2. Next"), block("b4", "table", 20, 2)], {2}, 15, 30, 15)
-    assert all(c["previous_chunk_id"] == (two[k - 1]["id"] if k else None) for k, c in enumerate(two))
-    assert two[1]["text"].startswith(K.MARK) and two[-1]["has_table"] and two[-1]["has_low_quality_page"] and not two[0]["has_low_quality_page"]
-    assert two[0]["id"] == str(uuid.uuid5(K.NAMESPACE, "d_chunk_0"))
-    table = block("t", "table", 3000)
-    assert any(table["text"].strip() in c["text"] for c in K.chunk_blocks("d", [block("a", "paragraph", 900), table], set()))
-    assert K.chunk_blocks("d", [], set()) == [] and K.chunk_blocks("d", [dict(id="x", block_type="paragraph", text=" ", page_number=1)], set()) == []
+def chunks_of(spark, rows, least, most, overlap, low=()):
+    """Chunks of one document from (id, type, text, page) rows."""
+    nos = sorted({p for *_, p in rows} | {*low}) or [1]
+    pages = spark.createDataFrame([(f"p{n}", "d", n, n in low, None) for n in nos], "id string, document_id string, page_number int, is_scanned boolean, text_quality double")
+    blocks = spark.createDataFrame([(i, f"p{n}", k, kind, t, k) for k, (i, kind, t, n) in enumerate(rows)], "id string, page_id string, block_index int, block_type string, text string, reading_order int")
+    return K.chunk_documents(pages, blocks, least, most, overlap).orderBy("sequence_index").collect()
+
+
+def words(i, n):
+    return (i + " ") * (4 * n // (len(i) + 1))
+
+
+def test_chunks_follow_sections(spark):
+    h, h2 = ("h", "heading", "1. Introduction", 1), ("h2", "heading", "1.1 Overview", 1)
+    one = chunks_of(spark, [h, h2, ("b", "paragraph", words("b", 50), 1)], 500, 1000, 150)
+    assert len(one) == 1 and one[0].heading_path == ["1. Introduction", "1.1 Overview"]
+    two = chunks_of(spark, [h, ("b1", "paragraph", words("b1", 20), 1), ("b2", "paragraph", words("b2", 20), 1), ("h3", "heading", "2. Next", 1), ("b4", "table", words("b4", 20), 3)], 15, 30, 15, low=(2,))
+    assert [c.previous_chunk_id for c in two] == [None, *(c.id for c in two[:-1])] and [c.next_chunk_id for c in two] == [*(c.id for c in two[1:]), None]
+    assert two[1].text.startswith(K.MARK) and two[-1].has_table and two[-1].has_low_quality_page and not two[0].has_low_quality_page
+    assert two[0].id == str(uuid.uuid5(uuid.UUID(K.NAMESPACE), "d_chunk_0")) and two[-1].id == str(uuid.uuid5(uuid.UUID(K.NAMESPACE), f"d_chunk_{len(two) - 1}"))
+    c = two[1]
+    assert c.content_hash == hashlib.sha256("".join([c.text.strip(), *c.heading_path, *c.block_ids]).encode()).hexdigest()
+    table = ("t", "table", words("t", 3000), 1)
+    assert any(table[2].strip() in c.text for c in chunks_of(spark, [("a", "paragraph", words("a", 900), 1), table], 800, 2500, 150))
+    assert chunks_of(spark, [], 1, 2, 1) == [] and chunks_of(spark, [("x", "paragraph", " ", 1)], 1, 2, 1) == []
+
+
+def test_ends_of_chunks_by_their_definition():
+    rnd = random.Random(3)
+    for _ in range(500):
+        n = rnd.randint(0, 30)
+        tokens, headings = [rnd.choice([1, 2, 5, 20, 90]) for _ in range(n)], {k: rnd.choice(["1. A", "1.2 B", "2.3.1 C", "Part 4", "Notes"]) for k in range(n) if rnd.random() < 0.3}
+        least, most, want = rnd.choice([1, 10, 30]), rnd.choice([10, 40, 100]), rnd.choice([0, 3, 25])
+        got, at = K.cuts(tokens, headings, least, most, want), 0
+        for c, before in zip(got, [None, *got]):
+            end = next((k for k in range(at + 1, n) if sum(tokens[at:k]) >= least and (k in headings or sum(tokens[at : k + 1]) > most)), n)
+            assert (c["first"], c["last"]) == (at, end)
+            path = []
+            for k in sorted(headings):
+                if k <= end:
+                    h = headings[k]
+                    path = path[: {"1. A": 0, "1.2 B": 1, "2.3.1 C": 2, "Part 4": 0, "Notes": 1}[h]] + [h]
+            assert c["path"] == path
+            if before is None or not want:
+                assert c["before"] == []
+            else:
+                group = [k for k in range(before["first"], before["last"])]
+                while group and group[-1] in headings:
+                    group.pop()
+                assert c["before"] == (group[-1:] if group and tokens[group[-1]] >= want else group[-2:])
+            at = end
+        assert at == n
 
 
 def test_chunk_table_is_stable(spark):
