@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factweave.session import Scratch
+
 #: Texts beyond this many characters are encoded by several tasks.
 SEGMENT_CHARS = 1 << 18
 #: Unsplit words beyond this many bytes are encoded as a tree of halves.
@@ -148,12 +150,16 @@ def concat(enc: Encoder, texts: list[str], ids: list[list[int]], hard: list[bool
     return parts[0][1]
 
 
-def encode_documents(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str | None = None, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+def encode_documents(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str | None = None, segment_chars: int = SEGMENT_CHARS, scratch=None) -> DataFrame:
     """``df`` without ``text`` and with ``out``, the list of token ids of ``text``.
 
     Every row of ``df`` gives one row; null and empty texts give the empty list.
     Other columns are kept as they are, whatever they are called, except one
     called ``out``, which is replaced.  An empty input gives an empty result.
+
+    Whether there is a text beyond ``segment_chars`` is found first, without Python. Such
+    rows are written to the shared folder with a number, which names a row even where keys
+    repeat or are null; their segments are encoded apart and joined by that number.
     """
     path = vocabulary or default_vocabulary()
     df = df.drop(out) if out in df.columns and out != text else df
@@ -165,13 +171,19 @@ def encode_documents(df: DataFrame, text: str = "text", out: str = "ids", vocabu
         enc = encoder(path)
         return pd.Series([enc.encode(t) for t in batches], dtype=object)
 
+    if not df.agg(F.coalesce(F.max(is_long), F.lit(False))).first()[0]:
+        return df.select(*keep, ids_of(F.col(text)).alias(out))
     short = df.where(is_long.isNull() | ~is_long).select(*keep, ids_of(F.col(text)).alias(out))
-
-    cut = F.udf(lambda t: [(k, t[a:b], h) for k, (a, b, h) in enumerate(cut_points(t, segment_chars))], "array<struct<k:int,t:string,h:boolean>>")
     row = next(c for c in (f"__row{i}" for i in range(len(df.columns) + 1)) if c not in df.columns)
-    # the row number names a row even where keys repeat or are null; a scan numbers its rows alike when a task is run again
-    rows = df.where(is_long).withColumn(row, F.monotonically_increasing_id())
-    segments = rows.select(F.col(row).alias("row"), F.explode(cut(F.col(text))).alias("s")).select("row", "s.*").repartition("row", "k")
+    rows = (scratch or Scratch(df.sparkSession, "p8")).write(df.where(is_long).withColumn(row, F.monotonically_increasing_id()))
+
+    def cut(it):
+        for pdf in it:
+            for r, t in zip(pdf["row"], pdf["t"]):
+                for k, (a, b, h) in enumerate(cut_points(t, segment_chars)):
+                    yield pd.DataFrame({"row": [r], "k": [k], "t": [t[a:b]], "h": [h]})
+
+    segments = rows.select(F.col(row).alias("row"), F.col(text).alias("t")).mapInPandas(cut, "row long, k int, t string, h boolean").repartition("row", "k")
 
     def together(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
