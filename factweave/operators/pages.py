@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +70,33 @@ def parse_table(text: Column) -> Column:
     cells = lambda x: F.split(x, r" \| ")
     ok = (F.size(lines) >= 2) & F.coalesce(F.get(lines, F.lit(1)).rlike("^-{40}$"), F.lit(False))
     return F.when(ok, F.struct(cells(F.get(lines, F.lit(0))).alias("headers"), F.transform(F.slice(lines, F.lit(3), F.greatest(F.lit(0), F.size(lines) - 2)), cells).alias("rows")))
+
+
+def with_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """Text blocks and table blocks of pages as one table (S-7): the tables of a page follow its
+    texts, block_index counts on and reading_order begins at 1000."""
+    from pyspark.sql import Window as W
+
+    count = blocks.groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("__n"))
+    k = (F.row_number().over(W.partitionBy("page_id").orderBy("block_index", "id")) - 1).cast("int")
+    t = tables.withColumn("__k", k).join(count, "page_id", "left").where("page_id is not null")
+    t = t.withColumns({"block_index": F.coalesce("__n", F.lit(0)) + F.col("__k"), "reading_order": F.col("__k") + 1000, "block_type": F.lit("table")}).select(*blocks.columns)
+    return blocks.where("page_id is not null").unionByName(t)
+
+
+def table_metadata(table: Column) -> Column:
+    """JSON that is kept beside a table's text (S-6): headers, rows and their numbers; null for none."""
+    return F.when(table.isNotNull(), F.to_json(F.struct(table["headers"].alias("headers"), table["rows"].alias("rows"), F.size(table["rows"]).alias("row_count"), F.size(table["headers"]).alias("col_count"))))
+
+
+def with_recognized(pages: DataFrame, provider, image: str = "image", text: str = "cleaned_text") -> DataFrame:
+    """Pages whose scanned ones have what ``provider`` recognises of their image at the end of
+    ``text`` (S-16); nothing is added where it recognises nothing. Only scanned pages leave the JVM."""
+    @F.pandas_udf("string")
+    def run(images: pd.Series) -> pd.Series:
+        return pd.Series([provider.text(bytes(x)) if x is not None else "" for x in images], dtype=object)
+
+    scanned = F.coalesce(F.col("is_scanned"), F.lit(False))
+    seen = pages.withColumn("__seen", F.when(scanned, run(F.when(scanned, F.col(image)))))
+    more = F.concat(F.coalesce(text, F.lit("")), F.lit("\n[OCR fallback]:\n"), F.col("__seen"))
+    return seen.withColumn(text, F.when(F.coalesce(F.col("__seen") != "", F.lit(False)), more).otherwise(F.col(text))).drop("__seen")

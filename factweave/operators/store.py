@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave import schemas
+from factweave.functions.vectors import DIMENSIONS, canonical_text, hash_embedding
 from factweave.operators.facts import latest
 
 
@@ -79,3 +80,56 @@ def with_cache(requests: DataFrame, cache: DataFrame, key: str, answer: str) ->
     hits = requests.join(cache.select(key, answer), key)
     misses = requests.join(cache.select(key), key, "left_anti").dropDuplicates([key])
     return hits, misses
+
+
+#: Folders into which a stored table is dealt by its document.
+PARTS = 64
+
+
+def store_documents(root: str, name: str, rows: DataFrame, documents: DataFrame, key: str = "document_id", parts: int = PARTS) -> None:
+    """Write ``rows`` of a table in place of all rows of ``documents`` (S-7, S-8).
+
+    The table lies in ``parts`` folders by a hash of the document; only folders that hold
+    one of the documents are written anew, by a dynamic overwrite after their present rows
+    are read and kept apart in a written copy, so that a failed write can be repeated.
+    """
+    from factweave.session import Scratch
+
+    spark, path = rows.sparkSession, f"{root}/{name}"
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    ids = documents.select(key).where(F.col(key).isNotNull()).distinct()
+    out = rows.withColumn("part", part)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    scratch, touched = Scratch(spark, "store"), []
+    if fs.exists(p):
+        touched = sorted(r.part for r in ids.select(part.alias("part")).distinct().collect())  # at most `parts`
+        old = spark.read.parquet(path).where(F.col("part").isin(touched)).join(ids, key, "left_anti")
+        out = out.unionByName(old.select(*out.columns))
+    out = scratch.write(out)
+    out.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    for n in {*touched} - {r.part for r in out.select("part").distinct().collect()}:  # folders that have no row any more
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part={n}"), True)
+    scratch.clear()
+
+
+def embed_facts(facts: DataFrame, entities: DataFrame, have: DataFrame | None = None, model: str = "hash-embedding-v1") -> DataFrame:
+    """(fact_id, model, dimensions, vector, content_hash, reused): a vector for each fact (E-5).
+
+    A vector of ``have`` is taken where it is the fact's, of the model and of the same text;
+    only the others are computed. The result is ``have`` after the upsert, for these facts.
+    """
+    names = entities.select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("name"))
+    f = facts.join(names, "entity_id", "left").select(F.col("id").alias("fact_id"), canonical_text(name=F.col("name")).alias("text")).withColumn("content_hash", F.sha2("text", 256))
+    if have is None:
+        f = f.withColumn("known", F.lit(None).cast("array<float>"))
+    else:
+        h = have.where((F.col("model") == model) & (F.size("vector") > 0)).select("fact_id", "content_hash", F.col("vector").alias("known"))
+        f = f.join(h, ["fact_id", "content_hash"], "left")
+    new = F.when(F.col("known").isNull(), hash_embedding(F.when(F.col("known").isNull(), F.col("text"))))
+    return f.select("fact_id", F.lit(model).alias("model"), F.lit(DIMENSIONS).alias("dimensions"), F.coalesce("known", new).alias("vector"), "content_hash", F.col("known").isNotNull().alias("reused"))
+
+
+def fetch_vectors(vectors: DataFrame, ids: DataFrame, model: str = "hash-embedding-v1") -> DataFrame:
+    """The vectors of a set of facts (E-6)."""
+    return vectors.where(F.col("model") == model).join(ids.select(F.col("id").alias("fact_id")).distinct(), "fact_id", "left_semi")

@@ -8,6 +8,8 @@ the tables aren't of the run and stay as they are.
 
 from __future__ import annotations
 
+import datetime as dt
+import threading
 import time
 from collections.abc import Callable
 
@@ -98,6 +100,18 @@ class Job:
         self.extractor = extract or VF.mock_facts
         self.scratch = Scratch(next(iter(tables.values())).sparkSession, "job")
         self.log: list[tuple[str, str, float, str | None]] = []
+        self.created, self.started, self.ended = time.time(), None, None
+
+    def row(self, job_id: str, error: str | None = None) -> DataFrame:
+        """The job as a row of the table of jobs: how far it is and what failed (W-2, A-6)."""
+        done = sum(x[1] == "completed" for x in self.log)
+        state = "failed" if error or any(x[1] == "failed" for x in self.log) else "completed" if done == len(self.STAGES) else "running" if self.log else "queued"
+        stage = self.STAGES[min(done, len(self.STAGES) - 1)]
+        message = error or next((f"{x[0]}: {x[3]}" for x in self.log if x[1] == "failed"), None)
+        now = lambda at: None if at is None else dt.datetime.fromtimestamp(at, dt.timezone.utc)
+        kind = {"extract": "extraction"}.get(self.mode, self.mode)
+        values = (job_id, kind, [], state, round(done / len(self.STAGES), 2), stage, len(self.STAGES), done, message, now(self.created), now(self.started), now(self.ended))
+        return self.scratch.spark.createDataFrame([values], schemas.TABLES["jobs"])
 
     def need(self, *names: str) -> list[DataFrame]:
         if missing := [n for n in names if n not in self.t]:
@@ -126,12 +140,28 @@ class Job:
         self.t["related"] = self.scratch.write(related(*self.need("normalized", "entities")))
 
     def run(self) -> dict[str, DataFrame]:
+        self.started = time.time()
         for s in self.STAGES:
-            at = time.time()
+            at = self.ended = time.time()
             try:
                 getattr(self, s)()
-                self.log.append((s, "completed", time.time() - at, None))
+                self.ended = time.time()
+                self.log.append((s, "completed", self.ended - at, None))
             except Exception as e:
                 self.log.append((s, "failed", time.time() - at, str(e)[:500]))
                 raise
         return self.t
+
+
+def launch(job: Job) -> threading.Thread:
+    """The job in a thread of its own (W-3); what becomes of it stands in ``job.log`` and ``job.row``."""
+
+    def run() -> None:
+        try:
+            job.run()
+        except Exception:  # noqa: BLE001  (the log has it)
+            pass
+
+    t = threading.Thread(target=run, daemon=True)
+    t.start()
+    return t

@@ -158,7 +158,21 @@ def header_footer_patterns(spark, d):
     return PG.line_patterns(table(spark, d, "pages"))
 
 
-@query()
+_NORM = lambda x: collapse_sql(f"regexp_replace({strip_sql(x)}, '(?i)^((page[ \t\n\x0c\r\x0b]+)?[0-9]+[ \t\n\x0c\r\x0b]*|-[ \t\n\x0c\r\x0b]*[0-9]+[ \t\n\x0c\r\x0b]*-)$', '')")
+
+
+@query(f"""
+WITH p AS (SELECT id, document_id, raw_text, string_split(raw_text, chr(10)) AS l, string_split(coalesce(raw_text, ''), chr(10)) AS l0 FROM pages),
+e AS (SELECT document_id, 'header' AS position, unnest(l0[1:3]) AS line FROM p UNION ALL SELECT document_id, 'footer', unnest(l0[greatest(1, len(l0) - 2):]) FROM p),
+k AS (SELECT document_id, position, {_NORM('line')} AS pattern FROM e), t AS (SELECT document_id, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) >= 3),
+c AS (SELECT k.document_id, position, pattern FROM k JOIN t ON k.document_id = t.document_id WHERE length(pattern) > 2 GROUP BY 1, 2, 3, t.n HAVING count(*) >= 0.4 * t.n),
+s AS (SELECT document_id, list(pattern) FILTER (position = 'header') AS h, list(pattern) FILTER (position = 'footer') AS f FROM c GROUP BY 1),
+j AS (SELECT p.*, s.document_id AS own, coalesce(h, []) AS h, coalesce(f, []) AS f FROM p LEFT JOIN s ON s.document_id = p.document_id),
+m AS (SELECT *, list_transform(l[1:3], lambda x: {_NORM('x')} = '' OR list_contains(h, {_NORM('x')})) AS a FROM j),
+n AS (SELECT *, l[coalesce(nullif(list_position(a, false), 0), len(a) + 1):] AS rest FROM m),
+o AS (SELECT *, list_transform(list_reverse(rest)[1:3], lambda x: {_NORM('x')} = '' OR list_contains(f, {_NORM('x')})) AS b FROM n)
+SELECT id, CASE WHEN own IS NULL THEN raw_text ELSE {strip_sql("array_to_string(rest[:len(rest) - (coalesce(nullif(list_position(b, false), 0), len(b) + 1) - 1)], chr(10))")} END AS cleaned FROM o
+""")
 def header_footer_clean(spark, d):
     """Pages without the repeated lines of their file."""
     p = table(spark, d, "pages").select("id", "document_id", "raw_text")
@@ -244,7 +258,24 @@ def verify_quotes(spark, d):
     return j.select("seq", VF.verdict_of_forms(F.col("source_quote"), F.col("norm"), F.col("bare"), F.col("f"))["status"].alias("status"))
 
 
-@query()
+@query(f"""
+WITH pg AS (SELECT id, page_number FROM pages), bl AS (SELECT b.id, p.page_number, {_quote_sql('b.text')} AS n FROM blocks b JOIN pg p ON p.id = b.page_id),
+bk AS (SELECT *, {_bare_sql('n')} AS r FROM bl),
+ch AS (SELECT id, text, start_page, end_page, CASE WHEN json_valid(block_ids_json) AND json_type(block_ids_json) = 'ARRAY' THEN from_json(block_ids_json, '["VARCHAR"]') ELSE [] END AS ids FROM chunks),
+li AS (SELECT id AS chunk_id, unnest(ids) AS block_id, generate_subscripts(ids, 1) AS k FROM ch),
+cb AS (SELECT chunk_id, list({{'id': block_id, 'n': n, 'r': r, 'p': page_number}} ORDER BY k, block_id) AS bs FROM li JOIN bk ON bk.id = block_id GROUP BY 1),
+j AS (SELECT f.id AS fact_id, f.seq, f.source_quote AS raw, c.start_page AS cs, c.end_page AS ce, coalesce(cb.bs, []) AS bs, {_quote_sql("coalesce(f.source_quote, '')")} AS q, {_quote_sql("coalesce(c.text, '')")} AS c FROM facts f JOIN ch c ON c.id = f.chunk_id LEFT JOIN cb ON cb.chunk_id = c.id),
+k AS (SELECT *, {_bare_sql('q')} AS bq, {_bare_sql('c')} AS bc FROM j),
+w AS (SELECT *, list_filter(string_split(bq, ' '), lambda x: length(x) > 2) AS ws, list_filter(string_split(q, ' '), lambda x: x <> '') AS qs FROM k),
+v AS (SELECT *, CASE WHEN {strip_sql("coalesce(raw, '')")} = '' THEN 'none' WHEN contains(c, q) THEN 'exact' WHEN length(bq) >= 8 AND contains(bc, bq) THEN 'form' WHEN len(ws) >= 4 AND contains(bc, array_to_string(ws[1:6], ' ')) THEN 'part' ELSE 'none' END AS way,
+  array_to_string(qs[1:4], ' ') AS head, array_to_string(qs[greatest(1, len(qs) - 3):len(qs)], ' ') AS tail FROM w),
+h AS (SELECT *, CASE way WHEN 'exact' THEN CASE WHEN len(list_filter(bs, lambda b: contains(b.n, q))) > 0 THEN list_filter(bs, lambda b: contains(b.n, q))[1:1] ELSE list_filter(bs, lambda b: contains(b.n, head) OR contains(b.n, tail)) END
+  WHEN 'form' THEN list_filter(bs, lambda b: contains(b.r, bq))[1:1] ELSE [] END AS hit FROM v)
+SELECT fact_id, seq, CASE WHEN {strip_sql("coalesce(raw, '')")} = '' OR way = 'none' THEN 'rejected' WHEN way = 'exact' THEN 'validated' ELSE 'warning' END AS status, way,
+  CASE WHEN {strip_sql("coalesce(raw, '')")} = '' THEN '{VF.NOTE_EMPTY}' WHEN way = 'form' THEN '{VF.NOTE_FORM}' WHEN way = 'part' THEN '{VF.NOTE_PART}' WHEN way = 'none' THEN '{VF.NOTE_NONE}' END AS note,
+  array_to_string(list_transform(CASE WHEN way = 'none' THEN [] WHEN len(hit) > 0 THEN hit ELSE bs END, lambda b: b.id), ',') AS block_ids,
+  CASE WHEN len(hit) > 0 THEN list_min(list_transform(hit, lambda b: b.p)) ELSE cs END AS start_page, CASE WHEN len(hit) > 0 THEN list_max(list_transform(hit, lambda b: b.p)) WHEN way = 'form' THEN cs ELSE ce END AS end_page FROM h
+""")
 def quote_attribution(spark, d):
     """Blocks and pages to which each verified quote is traced."""
     v = VF.verify_facts(*(table(spark, d, t) for t in ("facts", "chunks", "blocks", "pages")))
@@ -264,7 +295,10 @@ def mock_extract(spark, d):
     return VF.mock_facts(table(spark, d, "chunks"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT id, text, CASE WHEN json_valid(heading_path_json) AND json_type(heading_path_json) = 'ARRAY' THEN from_json(heading_path_json, '["VARCHAR"]') ELSE [] END AS path FROM chunks)
+SELECT id, CASE WHEN len(path) > 0 THEN 'Section Context: ' || array_to_string(path, ' > ') || chr(10) || chr(10) ELSE '' END || 'Document Text:' || chr(10) || '```' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10) || chr(10) || 'List the explicit facts of the text, each with a verbatim quote.' AS prompt FROM c
+""")
 def extraction_prompts(spark, d):
     """The text an extraction provider gets for every chunk."""
     path = F.coalesce(F.from_json("heading_path_json", "array<string>"), F.array().cast("array<string>"))
@@ -460,14 +494,15 @@ def fact_dedup(spark, d):
 _ONE = "coalesce(nullif({x}, ''), '{d}')"
 
 
-@query(f"""
-WITH {LATEST}, j AS (SELECT f.*, e.canonical_name AS name FROM lf f LEFT JOIN entities e ON e.id = f.entity_id),
+_CANON = f"""WITH {LATEST}, j AS (SELECT f.*, e.canonical_name AS name FROM lf f LEFT JOIN entities e ON e.id = f.entity_id),
 k AS (SELECT *, nullif({strip_sql('time_text')}, '') AS t, CASE WHEN nullif(time_start, '') IS NOT NULL OR nullif(time_end, '') IS NOT NULL THEN nullif(trim(coalesce(time_start, '') || '..' || coalesce(time_end, ''), '.'), '') END AS span,
-  list_filter(list_transform({_LIST.format(x='qualifiers_json')}, lambda q: {strip_sql('q')}), lambda q: q <> '') AS ql, coalesce(json_valid(qualifiers_json) AND json_type(qualifiers_json) = 'ARRAY', false) AS is_list FROM j)
-SELECT id, {strip_sql("coalesce(nullif(name, ''), subject, '')")} || '; ' || {strip_sql("coalesce(predicate, '')")} || '; ' || coalesce(value_type, '') || '; ' || coalesce(nullif(concat_ws(', ', t, CASE WHEN t IS NULL OR t <> span THEN span END), ''), 'unspecified time') || '; '
+  list_filter(list_transform({_LIST.format(x='qualifiers_json')}, lambda q: {strip_sql('q')}), lambda q: q <> '') AS ql, coalesce(json_valid(qualifiers_json) AND json_type(qualifiers_json) = 'ARRAY', false) AS is_list FROM j),
+c AS (SELECT id, seq, {strip_sql("coalesce(nullif(name, ''), subject, '')")} || '; ' || {strip_sql("coalesce(predicate, '')")} || '; ' || coalesce(value_type, '') || '; ' || coalesce(nullif(concat_ws(', ', t, CASE WHEN t IS NULL OR t <> span THEN span END), ''), 'unspecified time') || '; '
   || {_ONE.format(x=strip_sql('scope'), d='unspecified scope')} || '; ' || {_ONE.format(x=strip_sql('geography'), d='unspecified geography')} || '; ' || coalesce(nullif(array_to_string(ql, ', '), ''), CASE WHEN NOT is_list THEN nullif({strip_sql('qualifiers_json')}, '') END, 'no qualifiers') AS text
-FROM k
-""")
+FROM k)"""
+
+
+@query(f"{_CANON} SELECT id, text FROM c")
 def canonical_text(spark, d):
     """Every fact as one line for retrieval."""
     e = table(spark, d, "entities").select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("name"))
@@ -489,15 +524,37 @@ def hash_embedding(spark, d):
     return e.where("v <> 0").select("id", "k", F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
+@query(f"""{_CANON}, old AS (SELECT sha256(text) AS hash, id FROM c WHERE seq % 3 <> 0)
+SELECT id AS fact_id, sha256(text) AS content_hash, 'hash-embedding-v1' AS model, 128 AS dimensions, seq % 3 <> 0 AS reused FROM c""")
+def embedding_reuse(spark, d):
+    """A vector for every fact, and whether one of its present text was at hand (here: for two of
+    three facts, and for the others one of another text)."""
+    e = table(spark, d, "entities")
+    f = latest_facts(spark, d)
+    have = ST.embed_facts(f.withColumn("scope", F.when(F.col("seq") % 3 == 0, "elsewhere").otherwise(F.col("scope"))), e)
+    v = ST.embed_facts(f, e, Scratch(spark, "vectors").write(have))
+    return v.select("fact_id", "content_hash", "model", "dimensions", "reused")
+
+
+@query(f"WITH {LATEST} SELECT id AS fact_id FROM lf WHERE document_id = (SELECT min(id) FROM document_files)")
+def embedding_fetch(spark, d):
+    """The vectors of a document's facts (E-6)."""
+    f = latest_facts(spark, d)
+    first = table(spark, d, "document_files").agg(F.min("id").alias("document_id"))
+    return ST.fetch_vectors(ST.embed_facts(f, table(spark, d, "entities")), f.join(first, "document_id", "left_semi").select("id")).select("fact_id")
+
+
 @query("""
-WITH h AS (SELECT doc_id, sha256(text) AS hash, ingested_at < TIMESTAMP '2023-01-05' AS old FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, hash, coalesce(hash IN (SELECT hash FROM h WHERE old), false) AS reused FROM h
+WITH t AS (SELECT b.*, regexp_matches(coalesce(string_split(text, chr(10))[2], ''), '^-{40}$') AS is_table FROM blocks b), n AS (SELECT page_id, count(*) FILTER (NOT is_table) AS n_text FROM t GROUP BY 1),
+x AS (SELECT page_id, id, is_table, row_number() OVER (PARTITION BY page_id, is_table ORDER BY block_index NULLS FIRST, id) - 1 AS k, block_index, reading_order FROM t WHERE is_table)
+SELECT id, page_id, (n_text + k)::INT AS block_index, (1000 + k)::INT AS reading_order, 'table' AS block_type FROM x JOIN n USING (page_id)
+UNION ALL SELECT id, page_id, block_index, reading_order, block_type FROM t WHERE NOT is_table AND page_id IS NOT NULL
 """)
-def embedding_reuse(spark, d):
-    """Which texts have a vector already, by content hash."""
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"), "ingested_at")
-    have = docs.where("ingested_at < TIMESTAMP '2023-01-05'").select("hash", F.lit(True).alias("has")).distinct()
-    return docs.join(have, "hash", "left").select("doc_id", "hash", F.coalesce("has", F.lit(False)).alias("reused"))
+def document_blocks(spark, d):
+    """The blocks of every page as they are stored: tables come after its texts (S-7)."""
+    b = table(spark, d, "blocks").withColumn("is_table", PG.parse_table(F.col("text")).isNotNull())
+    out = PG.with_tables(b.where("not is_table"), b.where("is_table"))
+    return out.select("id", "page_id", "block_index", "reading_order", "block_type")
 
 
 @query("""
@@ -637,7 +694,16 @@ def provider_cache(spark, d):
     return hits.select("key", "a_id", "b_id", F.lit(True).alias("cached")).distinct().unionByName(misses.select("key", "a_id", "b_id", F.lit(False).alias("cached")))
 
 
-@query()
+def _vs(c: str) -> str:
+    return f"chr(39) || coalesce(nullif(a_{c}, ''), 'unspecified') || chr(39) || ' vs ' || chr(39) || coalesce(nullif(b_{c}, ''), 'unspecified') || chr(39)"
+
+
+@query(f"""{_BASE}, na AS (SELECT *, coalesce(a_name, a_subject) AS an, coalesce(b_name, b_subject) AS bn FROM z)
+SELECT a_id, b_id, CASE branch WHEN 'rejected' THEN 'A fact of the pair was rejected by verification.' WHEN 'types' THEN 'Entity types differ: ' || coalesce(nullif(a_entity_type, ''), 'unspecified') || ' vs ' || coalesce(nullif(b_entity_type, ''), 'unspecified') || '.'
+  WHEN 'entities' THEN 'Facts are about different entities: ' || chr(39) || an || chr(39) || ' vs ' || chr(39) || bn || chr(39) || '.' WHEN 'predicates' THEN 'Facts are about different metrics: ' || {_vs('predicate')} || '.' WHEN 'percent' THEN 'One value is a percentage, the other is not: ' || {_vs('value_text')} || '.'
+  WHEN 'equal' THEN 'Both sources give ' || an || ' ' || a_predicate || ' as ' || a_value_text || '.' WHEN 'differ' THEN 'Sources contradict each other on ' || an || ' ' || a_predicate || ': ' || {_vs('value_text')} || '.' WHEN 'period' THEN 'Values are for different periods: ' || {_vs('time_text')} || '.'
+  WHEN 'scope' THEN 'Values differ by scope: ' || {_vs('scope')} || '.' WHEN 'geography' THEN 'Values differ by geography: ' || {_vs('geography')} || '.' WHEN 'currency' THEN 'Values differ by currency: ' || {_vs('currency')} || '.' WHEN 'unit' THEN 'Values differ by unit: ' || {_vs('unit')} || '.'
+  ELSE 'No dimension decides; the offline provider answered.' END AS explanation FROM na""")
 def explanations(spark, d):
     """The sentence that explains the outcome of every related pair."""
     return PR.compare(related_pairs(spark, d)).select("a_id", "b_id", "explanation")

@@ -30,6 +30,39 @@ def tables(spark: SparkSession) -> dict[str, DataFrame]:
     return {"facts": facts, "entities": spark.createDataFrame([], schemas.TABLES["entities"]), "document_files": spark.createDataFrame([], schemas.TABLES["document_files"])}
 
 
+def corpus(spark: SparkSession) -> dict[str, DataFrame]:
+    """The demonstration as a small store (S-15): the facts above and some more, their documents,
+    chunks and entities, relationships between them and a finished job."""
+    t = tables(spark)
+    fields = lambda name: [c.strip().split(" ")[0] for c in schemas.TABLES[name].split(",")]
+
+    def rows(name: str, records: list[dict]) -> DataFrame:
+        return spark.createDataFrame([tuple(r.get(f) for f in fields(name)) for r in records], schemas.TABLES[name])
+
+    files = [dict(id=f"doc {s}", filename=f"{s}.pdf", original_filename=f"Northwind {s}.pdf", sha256=str(n) * 64, page_count=1, title=f"Northwind report {s}", status="ready", metadata_json='{"fiscal_year_end": "12-31"}') for n, s in enumerate("abc")]
+    entities = [dict(id="e1", canonical_name="Northwind Mills", entity_type="company", confidence=1.0), dict(id="e2", canonical_name="Southgate Dairy", entity_type="company", confidence=1.0), dict(id="e3", canonical_name="Ada Quill", entity_type="person", confidence=1.0)]
+    more = [dict(id=f"m{k}", document_id="doc c", chunk_id="chunk c", subject=n, predicate=p, value_text=v, value_type="text" if p == "ceo" else "currency", time_text=y, validation_status="validated", extraction_confidence=0.9, seq=20 + k)
+            for k, (n, p, v, y) in enumerate([("Northwind Mills", "total revenue", "USD 120 million", "FY2025"), ("Southgate Dairy", "net income", "€4M", "FY2024"), ("Southgate Dairy", "ceo", "Ada Quill", "2024"), ("Northwind Mills", "net sales", "$480M", "FY2024"), ("Southgate Dairy", "headcount", "310", "FY2024")])]
+    facts = t["facts"].withColumn("chunk_id", F.concat(F.lit("chunk "), F.substring("document_id", -1, 1))).unionByName(rows("facts", more))
+    names = spark.createDataFrame([(e["canonical_name"], e["id"]) for e in entities], "subject string, own string")
+    facts = facts.join(names, "subject", "left").withColumn("entity_id", F.col("own")).select(*fields("facts"))
+    texts = facts.groupBy("document_id", "chunk_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "subject", "predicate", "value_text", "time_text"))), ".\n").alias("text"))
+    chunks = texts.select(*(F.col("chunk_id").alias(n) if n == "id" else F.col(n) if n in texts.columns else F.lit(0 if n == "sequence_index" else 1).cast(k).alias(n) if k == "int" else F.lit(None).cast(k).alias(n) for n, k in (c.strip().split(" ") for c in schemas.TABLES["chunks"].split(","))))
+    pairs = [(f"{k}a", f"{k}b") for k in range(len(CASES))] + [("0a", "m0"), ("2a", "m3")]
+    ids = spark.createDataFrame(pairs, "fact_a_id string, fact_b_id string")
+    f = PR.with_entity(normalized(FA.latest(facts, ["id"], F.col("seq")), rows("document_files", files)), rows("entities", entities))
+    made, _ = PR.evaluate(PR.candidate_rows(_plain(PR.pair_up(ids, f))), normalized(facts, rows("document_files", files)), rows("entities", entities))
+    related = made.select(*(F.col(n) if n in made.columns else F.lit(None).cast(k).alias(n) for n, k in (c.strip().split(" ") for c in schemas.TABLES["relationships"].split(","))))
+    job = [dict(id="job 1", job_type="full", document_ids=[x["id"] for x in files], status="completed", progress=1.0, current_stage="relate", total_items=11, completed_items=11)]
+    return {"document_files": rows("document_files", files), "entities": rows("entities", entities), "facts": facts, "chunks": chunks, "relationships": related, "jobs": rows("jobs", job)}
+
+
+def _plain(pairs: DataFrame) -> DataFrame:
+    """Pairs in the form of candidates, without vectors."""
+    one, none = F.lit(1.0), F.lit(0.0)
+    return pairs.select("a_id", "b_id", "a_document_id", "b_document_id", one.alias("entity_similarity"), PR.predicate_similarity(none).alias("predicate_similarity"), none.alias("semantic"), PR.period_compatible().alias("period"), PR.pair_score(one, PR.predicate_similarity(none), none).alias("score"), PR.reasons(one, PR.predicate_similarity(none), none).alias("reasons"))
+
+
 def scorecard(spark: SparkSession) -> DataFrame:
     """(case, expected, actual, passed) of the four known cases."""
     t = tables(spark)

@@ -349,3 +349,106 @@ def test_streams(spark, tmp_path):
 
     last = sorted(glob.glob(out + "/v=*"), key=lambda p: int(p.rsplit("=", 1)[1]))[-1]
     assert sorted(r.id for r in spark.read.parquet(last).collect()) == ["a", "b"]
+
+
+def test_stored_documents_are_replaced(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(x, "id string, document_id string")
+    root = str(tmp_path)
+    ST.store_documents(root, "pages", rows(("p1", "a"), ("p2", "a"), ("p3", "b"), ("p4", "c")), rows(("", "a"), ("", "b"), ("", "c")))
+    ST.store_documents(root, "pages", rows(("p5", "a")), rows(("", "a"), ("", "b")))  # b is deleted
+    assert sorted((r.id, r.document_id) for r in spark.read.parquet(f"{root}/pages").collect()) == [("p4", "c"), ("p5", "a")]
+
+
+def test_vectors_are_reused(spark):
+    ents = spark.createDataFrame([("e1", "Apple Inc")], "id string, canonical_name string")
+    f = spark.createDataFrame([row("f1", e="e1")[:18], row("f2")[:18], row("f3", p="sales")[:18]], ", ".join(SCHEMA.split(", ")[:18]))
+    have = ST.embed_facts(f.where("id <> 'f2'"), ents)
+    changed = f.withColumn("scope", F.when(F.col("id") == "f3", "group"))
+    v = {r.fact_id: r for r in ST.embed_facts(changed, ents, have).collect()}
+    assert {k: r.reused for k, r in v.items()} == {"f1": True, "f2": False, "f3": False} and all(len(r.vector) == 128 for r in v.values())
+    assert [r.fact_id for r in ST.fetch_vectors(have, f.where("id in ('f1', 'f2')")).collect()] == ["f1"]
+
+
+def test_tables_follow_texts(spark):
+    b = spark.createDataFrame([("b1", "p", 0, "paragraph", 4), ("b2", "p", 1, "paragraph", 9)], "id string, page_id string, block_index int, block_type string, reading_order int")
+    t = spark.createDataFrame([("t1", "p", 7, "table", 5), ("t2", "p", 3, "table", 6), ("t3", "q", 0, "table", 1)], "id string, page_id string, block_index int, block_type string, reading_order int")
+    got = {r.id: (r.block_index, r.reading_order) for r in PG.with_tables(b, t).collect()}
+    assert got == {"b1": (0, 4), "b2": (1, 9), "t2": (2, 1000), "t1": (3, 1001), "t3": (0, 1000)}
+    m = spark.createDataFrame([("a | b\n" + "-" * 40 + "\n1 | 2",), ("x",)], "t string").select(PG.table_metadata(PG.parse_table(F.col("t"))).alias("m")).collect()
+    assert [r.m for r in m] == ['{"headers":["a","b"],"rows":[["1","2"]],"row_count":1,"col_count":2}', None]
+
+
+def test_services(spark):
+    said = []
+
+    def limited(x):
+        if len(said) < 2:
+            raise providers.Limited("retryDelay: 9" if not said else "429")
+        return x
+
+    assert providers.retrying(limited, 1, sleep=said.append) == 1 and said == [10.5, 10.0]
+    with pytest.raises(providers.Fatal):
+        providers.retrying(lambda: (_ for _ in ()).throw(providers.Fatal("key")), sleep=lambda s: pytest.fail("waited"))
+
+    class Words:
+        version = "v1"
+
+        def extract(self, prompts):
+            return [[{"subject": "Acme", "source_quote": p.split("```")[1].strip()}] * ("two" in p) for p in prompts]
+
+    chunks = spark.createDataFrame([("c1", "two words", '["A"]'), ("c2", "none", None)], "id string, text string, heading_path_json string")
+    got = providers.extract_claims(chunks, Words()).collect()
+    assert [(r.chunk_id, r.k, r.subject, r.source_quote, r.unit) for r in got] == [("c1", 0, "Acme", "two words", None)]
+
+    class Reader:
+        def text(self, image):
+            return image.decode()
+
+    pages = spark.createDataFrame([("a", True, b"seen", "x"), ("b", False, b"no", "y"), ("c", True, None, None), ("d", True, b"only", None)], "id string, is_scanned boolean, image binary, cleaned_text string")
+    assert {r.id: r.cleaned_text for r in PG.with_recognized(pages, Reader()).collect()} == {"a": "x\n[OCR fallback]:\nseen", "b": "y", "c": None, "d": "\n[OCR fallback]:\nonly"}
+
+    class Yes:
+        def decide(self, pairs):
+            return pairs.assign(type="uncertain", confidence=0.5, dimension="other", explanation=pairs.prompt.str.len().astype(str))
+
+    f = spark.createDataFrame([row("1a", v="San Francisco", t="FY2023"), row("1b", v="Austin", t="FY2023")], SCHEMA)
+    j = providers.judge_pairs(PR.compare(PR.pair_up(spark.createDataFrame([("1a", "1b")], "fact_a_id string, fact_b_id string"), f)), Yes()).collect()
+    assert [(r.type, r.dimension) for r in j] == [("uncertain", "other")]
+
+
+def test_reading_checks_its_arguments(spark):
+    from factweave.operators import read as R
+
+    t = demo.corpus(spark)
+    assert t["relationships"].count() == 5 and t["facts"].count() == 13 and t["chunks"].count() == 3 and {r.status for r in R.jobs(t).collect()} == {"completed"}
+    assert {r.id for r in R.facts(t, entity="northwind", predicate="REV").collect()} >= {"0a", "m0"} and R.facts(t, document_id="no").count() == 0
+    assert {r.fact_b_id for r in R.document_relationships(t, "doc c").collect()} == {"m0", "m3"} and R.found(R.by_id(t, "facts", "m1")).subject == "Southgate Dairy"
+    assert [r.id for r in R.search(t, "quill").collect()] == ["m2"] and R.enriched(t, text="b.pdf").count() == 3
+    with pytest.raises(LookupError):
+        R.found(R.by_id(t, "facts", "gone"))
+    with pytest.raises(ValueError):
+        R.facts(t, limit=501)
+    from factweave.plans.pipeline import normalized
+
+    assert R.reconcile(t | {"facts": normalized(t["facts"], t["document_files"])}, "0a", "m0").first().d.type == "corroborates" and R.reconcile(t, "0a", "gone").count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from factweave import cli
+    from tests.oracle import DATA
+
+    a, b = [r.id for r in spark.read.parquet(f"{DATA}/facts.parquet").select("id").distinct().orderBy("id").limit(2).collect()]
+    assert cli.main(["evaluate"], spark) == 0 and cli.main([], spark) == 2
+    assert cli.main(["reconcile", DATA, a, b], spark) == 0 and cli.main(["reconcile", DATA, a, "gone"], spark) == 1 and cli.main(["chunk", DATA], spark) == 0
+    assert "pass" in capsys.readouterr().out
+
+
+def test_jobs_tell_how_far_they_are(spark):
+    from factweave.plans.pipeline import Job, launch
+
+    t = demo.tables(spark)
+    job = Job(t, mode="relationship")
+    assert job.row("j").first().status == "queued"
+    launch(job).join()
+    r = job.row("j").first()
+    assert (r.status, r.completed_items, r.current_stage) == ("failed", 0, "chunk") and "pages" in r.error_message and not schemas.contract_report(job.row("j"), "jobs").count()
