@@ -48,7 +48,7 @@ def main(args: list[str], spark=None) -> int:
     else:
         f = prepared(t["facts"], t["document_files"], t["entities"], t.get("entity_aliases")) if command == "candidates" else FA.latest(t["facts"], ["id"], F.col("created_at"), F.col("seq"))
         if command == "candidates":
-            c = PR.candidates(f, t["entities"], queries=f.where(F.col("id") == rest[1]), similar_names=PR.name_pairs(PR.with_entity(f, t["entities"]), of=PR.with_entity(f.where(F.col("id") == rest[1]), t["entities"])))
+            c = PR.search_candidates(f, t["entities"], f.where(F.col("id") == rest[1]), session.Scratch(spark, "candidates"))
             for r in c.orderBy("rank").select("b_id", "score", F.array_join("reasons", "; ").alias("reasons")).collect():  # the best ten
                 print(*r, sep="  ")
         else:

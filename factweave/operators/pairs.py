@@ -6,6 +6,12 @@ A pair is a row whose columns of the two facts are called ``a_x`` and ``b_x``;
 
 from __future__ import annotations
 
+import collections
+import decimal
+import difflib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,24 +72,33 @@ def _kind(s: str, k: str) -> Column:
     return F.coalesce(F.col(f"{s}_value_type") == k, F.lit(False))
 
 
+def _percent(s: str) -> Column:
+    return _kind(s, "percentage") | (folded(F.col(f"{s}_unit")) == "%") | (folded(F.col(f"{s}_normalized_unit")) == "%")
+
+
+def _money(s: str) -> Column:
+    return _kind(s, "currency") | (_currency(s) != "")
+
+
 def unit_compatible() -> Column:
     """Whether units and currencies can be compared (C-3)."""
     ca, cb, ua, ub = _currency("a"), _currency("b"), _unit("a"), _unit("b")
-    pct = lambda s: _kind(s, "percentage") | (folded(F.col(f"{s}_unit")) == "%") | (folded(F.col(f"{s}_normalized_unit")) == "%")
-    mon = lambda s: _kind(s, "currency") | (_currency(s) != "")
-    pa, pb = pct("a"), pct("b")
-    return ~(_both(ca, cb) & (ca != cb)) & ~((pa & mon("b")) | (mon("a") & pb)) & ~(_both(ua, ub) & (ua != ub) & (pa != pb))
+    pa, pb = _percent("a"), _percent("b")
+    return ~(_both(ca, cb) & (ca != cb)) & ~((pa & _money("b")) | (_money("a") & pb)) & ~(_both(ua, ub) & (ua != ub) & (pa != pb))
 
 
 def _year(s: str) -> Column:
     return F.coalesce(year_of(F.col(f"{s}_time_text")), year_of(F.col(f"{s}_time_start")))
 
 
+def _stated(s: str) -> Column:
+    return (folded(F.col(f"{s}_time_text")) != "") | (F.coalesce(F.col(f"{s}_time_start"), F.lit("")) != "")
+
+
 def period_compatible() -> Column:
     """True, false, or null where neither fact states a time (C-4)."""
     ya, yb = _year("a"), _year("b")
-    stated = lambda s: (folded(F.col(f"{s}_time_text")) != "") | (F.coalesce(F.col(f"{s}_time_start"), F.lit("")) != "")
-    return F.when(ya.isNotNull() & yb.isNotNull(), ya == yb).when(stated("a") | stated("b"), True)
+    return F.when(ya.isNotNull() & yb.isNotNull(), ya == yb).when(_stated("a") | _stated("b"), True)
 
 
 def predicate_similarity(ratio: Column) -> Column:
@@ -286,6 +301,194 @@ def pair_prompt() -> Column:
     return F.concat(F.lit("Fact A\n"), _prompt_lines("a"), F.lit("\n\nFact B\n"), _prompt_lines("b"), F.lit("\n\nDecide from these facts alone: corroborates, contradicts, reconciles, uncertain or unrelated; name the dimension that decides and say why."))
 
 
+def live(facts: DataFrame) -> DataFrame:
+    """Facts that take part in pairs: with an id, and not rejected."""
+    return facts.where("id is not null").where(F.coalesce(F.col("validation_status") != "rejected", F.lit(True)))
+
+
+def profiles(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """What the score of a pair depends on, a row for each fact."""
+    a = side(with_entity(live(facts), entities), "a")
+    kind = F.when(F.col("a_entity_type") != "other", F.col("a_entity_type"))
+    a = a.select(
+        F.col("a_id").alias("id"), F.col("a_document_id").alias("document"), filled(F.col("a_entity_id")).alias("entity"), kind.alias("kind"), effective_name("a").alias("name"), folded(F.col("a_predicate")).alias("predicate"),
+        _currency("a").alias("currency"), _unit("a").alias("unit"), _percent("a").alias("percent"), _money("a").alias("money"), _year("a").cast("int").alias("year"), _stated("a").alias("stated"),
+    )
+    text = with_entity(live(facts), entities).select("id", hash_embedding(canonical_text(name=F.col("name"))).alias("vector"))
+    return a.join(text, "id").withColumn("family", family(F.col("predicate")))
+
+
+#: Query facts that go to the tasks at once, and facts that are compared with them as one matrix.
+BLOCK, BATCH = 2048, 512
+
+
+def search_candidates(facts: DataFrame, entities: DataFrame, queries: DataFrame, scratch, min_score: float = 0.6, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """The ``k`` best candidates of each of a stated set of facts among all facts, whatever their
+    entities (C-1 to C-8), with their rank; the columns of ``candidates``.
+
+    Nothing is lost: the result is that of comparing each query fact with each fact. The
+    queries go to the tasks in blocks; a batch of facts meets a block as matrices, whose
+    entries are the score with an upper bound for the similarity of names: the letters that two
+    names share, in any order. Only where that bound can still be among a query's best of
+    the task is the similarity computed. A task gives ``k`` rows a query at most.
+    """
+    from pyspark.sql import Window as W
+
+    spark = facts.sparkSession
+    f = scratch.write(profiles(facts, entities))
+    rows = f.join(queries.select("id").distinct(), "id", "left_semi").toLocalIterator()
+    parts = []
+    while chunk := [r.asDict() for _, r in zip(range(block), rows)]:
+        parts.append(f.mapInPandas(_search(spark.sparkContext.broadcast(pd.DataFrame(chunk)), min_score, k), "qa string, qb string, es double, pred double, semantic double"))
+    if not parts:
+        return candidates(facts, entities, queries, min_score, k)
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.unionByName(x)
+    j = pair_up(scratch.write(found), with_entity(live(facts), entities), "qa", "qb")
+    j = j.withColumn("score", pair_score(F.col("es"), F.col("pred"), F.col("semantic"))).where(F.col("score") >= min_score)
+    j = j.select("a_id", "b_id", "a_document_id", "b_document_id", F.col("es").alias("entity_similarity"), F.col("pred").alias("predicate_similarity"), F.round("semantic", 2).alias("semantic"), period_compatible().alias("period"), "score", reasons(F.col("es"), F.col("pred"), F.col("semantic")).alias("reasons"))
+    w = W.partitionBy("a_id").orderBy(F.col("score").desc(), (F.col("a_document_id") == F.col("b_document_id")).asc(), "b_id")
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+_CENT = decimal.Decimal("0.01")
+
+
+def _two(x: float) -> float:
+    """Rounded to two places as Spark does."""
+    return float(decimal.Decimal(repr(float(x))).quantize(_CENT, decimal.ROUND_HALF_UP))
+
+
+def _ratio(x: str, y: str) -> float:
+    return difflib.SequenceMatcher(None, x, y).ratio()
+
+
+class _Side:
+    """The columns of facts as arrays."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.ids, self.names = list(pdf.id), list(pdf.name)
+        self.columns = {c: pdf[c].to_numpy(dtype=object) for c in ("document", "entity", "kind", "name", "predicate", "currency", "unit", "family")}
+        self.percent, self.money, self.stated = (pdf[c].to_numpy(dtype=bool) for c in ("percent", "money", "stated"))
+        self.year = pdf.year.fillna(0).to_numpy(dtype=np.int64)
+        v = np.array([np.asarray(x, dtype=np.float64) for x in pdf.vector]).reshape(len(pdf), -1)
+        self.vector, self.own = v, (v * v).sum(1)
+        self.words = [frozenset(n.split()) for n in self.names]
+
+    def equal(self, other: _Side, c: str, empty: bool = True) -> np.ndarray:
+        """Where a column is equal and filled in both; ``empty`` says that '' counts as missing."""
+        codes: dict = {}
+        code = lambda x, none: none if x is None or x != x or (empty and x == "") else codes.setdefault(x, len(codes))
+        a, b = np.array([code(x, -1) for x in self.columns[c]]), np.array([code(x, -2) for x in other.columns[c]])
+        return a[:, None] == b[None, :]
+
+    def has(self, c: str) -> np.ndarray:
+        return np.array([x is not None and x == x and x != "" for x in self.columns[c]], dtype=bool)
+
+
+def _letters(names: list[str], at: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(names), len(at) + 1), dtype=np.int16)
+    for i, n in enumerate(names):
+        for c, m in collections.Counter(n).items():
+            out[i, at.get(c, len(at))] += m
+    return out
+
+
+def _search(queries, min_score: float, k: int):
+    """The best ``k`` facts of a partition for each query, in the order of the ranking."""
+
+    def run(it):
+        q = _Side(queries.value)
+        at = {c: i for i, c in enumerate(sorted({c for n in q.names for c in n}))}
+        bag_q, size_q = _letters(q.names, at)[:, :-1], np.array([len(n) for n in q.names])
+        holders: dict[str, list[int]] = {}
+        for i, ws in enumerate(q.words):
+            for w in ws:
+                holders.setdefault(w, []).append(i)
+        best: list[list] = [[] for _ in q.ids]
+        kth = np.full(len(q.ids), min_score)
+        ratios: dict[tuple[str, str], float] = {}
+        metrics: dict[tuple[str, str], float] = {}
+
+        def metric(x: str, y: str, same: bool) -> float:
+            if (x, y) not in metrics:
+                metrics[x, y] = 1.0 if x == y else 0.91 if same else _two(_ratio(x, y))
+            return metrics[x, y]
+
+        for pdf in it:
+            for s in range(0, len(pdf), BATCH):
+                b = _Side(pdf.iloc[s : s + BATCH].reset_index(drop=True))
+                kinds, known = q.equal(b, "kind"), q.has("kind")[:, None] & b.has("kind")[None, :]
+                currencies, units = q.has("currency")[:, None] & b.has("currency")[None, :], q.has("unit")[:, None] & b.has("unit")[None, :]
+                ok = (kinds | ~known) & ~(currencies & ~q.equal(b, "currency")) & ~((q.percent[:, None] & b.money[None, :]) | (q.money[:, None] & b.percent[None, :]))
+                ok &= ~(units & ~q.equal(b, "unit") & (q.percent[:, None] != b.percent[None, :]))
+                same = q.equal(b, "entity") | q.equal(b, "name")
+                years = (q.year[:, None] > 0) & (b.year[None, :] > 0)
+                time = np.where(years, np.where(q.year[:, None] == b.year[None, :], 0.10, 0.0), np.where(q.stated[:, None] | b.stated[None, :], 0.10, 0.05))
+                alike = q.equal(b, "document", False)
+                cross = np.where(alike, 0.0, 0.05)
+                norm = np.sqrt(q.own[:, None] * b.own[None, :])
+                cos = np.clip(np.divide(q.vector @ b.vector.T, norm, out=np.zeros_like(norm), where=norm > 0), -1, 1)
+                preds, cols = sorted({*q.columns["predicate"]}), sorted({*b.columns["predicate"]})
+                row, col = {p: i for i, p in enumerate(preds)}, {p: i for i, p in enumerate(cols)}
+                qi, bi = np.array([row[p] for p in q.columns["predicate"]]), np.array([col[p] for p in b.columns["predicate"]])
+                table = np.zeros((len(preds), len(cols)))
+                fam_of = {p: f for side in (q, b) for p, f in zip(side.columns["predicate"], side.columns["family"])}
+                for x in preds:
+                    for y in cols:
+                        table[row[x], col[y]] = metric(x, y, fam_of[x] is not None and fam_of[x] == fam_of[y])
+                pred = table[qi[:, None], bi[None, :]]
+                # the similarity of names is at most what their letters allow, 1 where they share a word
+                names, place = np.unique(np.array(b.names, dtype=object), return_inverse=True)
+                bag = _letters(list(names), at)[:, :-1]
+                top = np.empty((len(q.ids), len(names)))
+                for j, n in enumerate(names):
+                    top[:, j] = 2.0 * np.minimum(bag_q, bag[j]).sum(1) / np.maximum(1, size_q + len(n))
+                    for w in {*n.split()}:
+                        top[holders.get(w, []), j] = 1.0
+                upper = np.where(same, 1.0, np.minimum(1.0, top[:, place] + 0.005))
+                rest = pred * 0.30 + np.maximum(0.0, cos) * 0.25 + time + cross
+                reach = np.minimum(1.0, upper * 0.30 + rest) + 0.00501
+                hit, matchers = ok & (reach >= kth[:, None]), {}
+                for i in np.flatnonzero(hit.any(1)):
+                    js = np.flatnonzero(hit[i])
+                    for j in js[np.argsort(-reach[i, js], kind="stable")]:
+                        if reach[i, j] < kth[i]:
+                            break
+                        if q.ids[i] == b.ids[j]:
+                            continue
+                        if same[i, j]:
+                            es = 1.0
+                        else:
+                            key = (q.names[i], b.names[j])
+                            if key not in ratios:
+                                x, y = q.words[i], b.words[j]
+                                m = matchers.get(key[1])
+                                if m is None:
+                                    m = matchers[key[1]] = difflib.SequenceMatcher(None, "", key[1])
+                                m.set_seq1(key[0])
+                                ratios[key] = _two(max(m.ratio(), len(x & y) / len(x | y) if x | y else 0.0))
+                            es = ratios[key]
+                        score = _two(min(1.0, max(0.0, es * 0.30 + pred[i, j] * 0.30 + max(0.0, cos[i, j]) * 0.25 + time[i, j] + cross[i, j])))
+                        if score < min_score:
+                            continue
+                        # null documents come first, as nulls do
+                        order = (-score, -1 if q.columns["document"][i] is None or b.columns["document"][j] is None else int(alike[i, j]), b.ids[j])
+                        best[i].append((order, es, float(pred[i, j]), float(cos[i, j])))
+                        if len(best[i]) > k:
+                            best[i].sort()
+                            best[i].pop()
+                        if len(best[i]) == k:
+                            kth[i] = max(kth[i], min(-x[0][0] for x in best[i]))
+            # similarities are remembered for a batch of Arrow only, so that memory stays bounded
+            ratios.clear()
+        rows = [(q.ids[i], x[0][2], *x[1:]) for i, xs in enumerate(best) for x in xs]
+        yield pd.DataFrame(rows, columns=["qa", "qb", "es", "pred", "semantic"])
+
+    return run
+
+
 def _qualifiers(s: str) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(F.from_json(f"{s}_qualifiers_json", "array<string>"), F.array().cast("array<string>"))))
 

@@ -65,15 +65,25 @@ def assembled(extracted: DataFrame, chunks: DataFrame, blocks: DataFrame, pages:
     return e.join(v, "id").select(*((made[n] if n in made else or_null(n)).cast(t).alias(n) for n, t in names))
 
 
-def related(facts: DataFrame, entities: DataFrame, queries: str | None = None, min_score: float = 0.6, k: int = 10) -> DataFrame:
+def related(facts: DataFrame, entities: DataFrame, queries: str | None = None, min_score: float = 0.6, k: int = 10, exact: bool = False) -> DataFrame:
     """(a_id, b_id, relationship_type, primary_dimension, confidence, explanation) of the
     candidates of ``prepared`` facts: the ``k`` best of either end among all facts or, with
-    ``queries``, those of the facts for which that condition holds."""
+    ``queries``, those of the facts for which that condition holds.
+
+    With ``queries`` or ``exact`` nothing is lost: each (query) fact is compared with all
+    facts, in blocks. Else, as that work grows with the square of the facts, facts of different
+    entities meet only where their names share a word and are alike (``pairs.name_pairs``).
+    """
     scratch = Scratch(facts.sparkSession, "related")
     facts = scratch.write(facts)
-    of, f = None if queries is None else facts.where(queries), PR.with_entity(facts, entities)
-    alike = scratch.write(PR.name_pairs(f, of=None if of is None else PR.with_entity(of, entities)))
-    c = PR.candidates(facts, entities, queries=of, min_score=min_score, k=k, similar_names=alike).select("a_id", "b_id", "score")
+    f = PR.with_entity(facts, entities)
+    if queries is not None or exact:
+        c = PR.search_candidates(facts, entities, facts if queries is None else facts.where(queries), scratch, min_score, k)
+        if queries is None:
+            c = c.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
+    else:
+        c = PR.candidates(facts, entities, min_score=min_score, k=k, similar_names=scratch.write(PR.name_pairs(f)))
+    c = scratch.write(c.select("a_id", "b_id"))
     j = PR.pair_up(c.withColumnsRenamed({"a_id": "fa", "b_id": "fb"}), f, "fa", "fb")
     d = PR.compare(j).where("d.branch <> 'rejected'")
     return d.select("a_id", "b_id", F.col("d.type").alias("relationship_type"), F.col("d.dimension").alias("primary_dimension"), F.col("d.confidence").alias("confidence"), "explanation")
@@ -88,15 +98,16 @@ class Job:
     """A run over documents: chunk, extract and verify, normalise, pair, decide.
 
     ``extract`` maps chunks to claims (see ``assembled``) and defaults to the offline
-    extractor; a network provider is given the same way (``sources.providers``). ``log``
+    extractor; a network provider is given the same way (``sources.providers``). ``exact``
+    relates facts without loss (see ``related``). ``log``
     holds one (stage, status, seconds, message) per stage; a failing stage, or one whose
     input is missing, ends the job.
     """
 
     STAGES = ("chunk", "extract", "normalise", "relate")
 
-    def __init__(self, tables: dict[str, DataFrame], mode: str = "full", extract: Callable[[DataFrame], DataFrame] | None = None):
-        self.t, self.mode = dict(tables), mode
+    def __init__(self, tables: dict[str, DataFrame], mode: str = "full", extract: Callable[[DataFrame], DataFrame] | None = None, exact: bool = False):
+        self.t, self.mode, self.exact = dict(tables), mode, exact
         self.extractor = extract or VF.mock_facts
         self.scratch = Scratch(next(iter(tables.values())).sparkSession, "job")
         self.log: list[tuple[str, str, float, str | None]] = []
@@ -137,7 +148,7 @@ class Job:
         self.t["normalized"] = self.scratch.write(prepared(*self.need("facts", "document_files", "entities"), self.t.get("entity_aliases")))
 
     def relate(self) -> None:
-        self.t["related"] = self.scratch.write(related(*self.need("normalized", "entities")))
+        self.t["related"] = self.scratch.write(related(*self.need("normalized", "entities"), exact=self.exact))
 
     def run(self) -> dict[str, DataFrame]:
         self.started = time.time()

@@ -675,12 +675,11 @@ def topk_either_endpoint(spark, d):
 
 @query()
 def candidate_pairs(spark, d):
-    """The ten best candidates of each query fact (seq divisible by 100) among all facts."""
+    """The ten best candidates of each query fact (seq divisible by 100) among all facts, without loss."""
     e = table(spark, d, "entities")
     scratch = Scratch(spark, "candidates")
     f = scratch.write(FA.with_entities(latest_facts(spark, d), e, table(spark, d, "entity_aliases")))
-    of = f.where("seq % 100 = 0")
-    c = PR.candidates(f, e, queries=of, similar_names=scratch.write(PR.name_pairs(PR.with_entity(f, e), of=PR.with_entity(of, e))))
+    c = PR.search_candidates(f, e, f.where("seq % 100 = 0"), scratch)
     return c.select("a_id", "b_id", "predicate_similarity", "semantic", "period", "score", "rank")
 
 

@@ -190,6 +190,36 @@ def test_candidates_of_other_names_equal_brute_force(spark):
         assert sorted(got) == sorted({tuple(sorted(x[:2])) for v in top.values() for x in v})
 
 
+@pytest.mark.parametrize("k", [3, 10])
+def test_searched_candidates_equal_the_nested_loop(spark, scratch, k):
+    from pyspark.sql import Window as W
+
+    from factweave.plans.reference import latest_facts
+    from tests.oracle import DATA
+
+    ents = spark.read.parquet(f"{DATA}/entities.parquet")
+    f = scratch.write(latest_facts(spark, DATA))
+    of = f.where("seq % 20 = 0")
+    got = {(r.a_id, r.b_id): (r.score, r.rank) for r in PR.search_candidates(f, ents, of, scratch, k=k).collect()}
+    fe = scratch.write(PR.with_entity(PR.live(f), ents).withColumn("v", V.hash_embedding(V.canonical_text(name=F.col("name")))))
+    j = PR.side(fe.join(of.select("id"), "id", "left_semi"), "a").crossJoin(PR.side(fe, "b")).where("a_id <> b_id").where(PR.entity_compatible() & PR.unit_compatible())
+    es = PR.entity_similarity(V.sequence_ratio(PR.effective_name("a"), PR.effective_name("b")))
+    s = PR.pair_score(es, PR.predicate_similarity(V.sequence_ratio(F.lower("a_predicate"), F.lower("b_predicate"))), V.cosine(F.col("a_v"), F.col("b_v")))
+    w = W.partitionBy("a_id").orderBy(F.col("score").desc(), (F.col("a_document_id") == F.col("b_document_id")).asc(), "b_id")
+    want = j.withColumn("score", s).where("score >= 0.6").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    assert got == {(r.a_id, r.b_id): (r.score, r.rank) for r in want.select("a_id", "b_id", "score", "rank").collect()} and got
+
+
+def test_searched_candidates_of_odd_facts(spark, scratch):
+    ents = spark.createDataFrame([("e1", "Apple Inc", "company")], "id string, canonical_name string, entity_type string")
+    odd = [row("n1", v=None, subj=None, p=None, doc=None), row("n2", subj="", p="", doc=None), row("n3", subj="x" * 5000, e="e1"), row("r", e="e1", st="rejected"), row("a", e="e1"), row("b", subj="Apple Inc", doc="d2"), row("c", subj="Aple Inc", doc="d3", c="USD"), (None, *row("z")[1:])]
+    f = spark.createDataFrame([r[:18] for r in odd], ", ".join(SCHEMA.split(", ")[:18]))
+    got = {(r.a_id, r.b_id): r.entity_similarity for r in PR.search_candidates(f, ents, f, scratch, min_score=0.0, block=3).collect()}
+    ids = {"n1", "n2", "n3", "a", "b", "c"}
+    assert {x for p in got for x in p} == ids and len(got) == 30 and got["a", "b"] == 1.0 and got["n1", "a"] == 0.0
+    assert PR.search_candidates(f, ents, f.limit(0), scratch).count() == 0 and PR.search_candidates(f.limit(0), ents, f, scratch).count() == 0
+
+
 def test_missing_entities_are_resolved(spark):
     ents = spark.createDataFrame([("e1", "Acme Mining", "company", 1.0)], "id string, canonical_name string, entity_type string, confidence double")
     aliases = spark.createDataFrame([("e1", "AM")], "entity_id string, alias string")
