@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factweave import schemas
 from factweave.functions import normalize as N
 from factweave.functions import text as X
 from factweave.functions import vectors as V
@@ -631,12 +632,17 @@ _DIM = """CASE branch WHEN 'rejected' THEN 'value' WHEN 'types' THEN 'entity' WH
 _CONF = """CASE branch WHEN 'rejected' THEN 0.0 WHEN 'types' THEN 1.0 WHEN 'entities' THEN 1.0 WHEN 'predicates' THEN 1.0 WHEN 'percent' THEN 0.95 WHEN 'equal' THEN 1.0 WHEN 'differ' THEN 0.95 WHEN 'period' THEN 0.95 WHEN 'open' THEN CASE WHEN least(pa, pb) = 'revenue' AND greatest(pa, pb) = 'sales' THEN 0.9 ELSE 0.6 END ELSE 0.9 END"""
 
 
-def related_pairs(spark, d):
-    """The distinct pairs of different facts that relationships name, with both facts."""
-    ids = table(spark, d, "relationships").where("fact_a_id <> fact_b_id").select("fact_a_id", "fact_b_id").distinct()
+def related_pairs(spark, d, turned: bool = False):
+    """The distinct pairs of different facts that relationships name, with both facts; ``turned``
+    names the smaller id first."""
+    a, b = F.col("fact_a_id"), F.col("fact_b_id")
+    ids = table(spark, d, "relationships").where("fact_a_id <> fact_b_id").select((F.least(a, b) if turned else a).alias("fact_a_id"), (F.greatest(a, b) if turned else b).alias("fact_b_id")).distinct()
     return PR.pair_up(ids, PR.with_entity(latest_facts(spark, d), table(spark, d, "entities")))
 
 
+_TURNED = _BASE.replace("SELECT DISTINCT fact_a_id, fact_b_id FROM", "SELECT DISTINCT least(fact_a_id, fact_b_id) AS fact_a_id, greatest(fact_a_id, fact_b_id) AS fact_b_id FROM")
+
+
 @query(f"""{_BASE} SELECT a_id, b_id, {_OUT} AS relationship_type, {_DIM} AS primary_dimension, ({_CONF})::DOUBLE AS confidence, branch, d_period, d_equal, round(CASE WHEN d_numbers THEN apart END, 4) AS difference FROM z""")
 def comparator(spark, d):
     """The comparison of every related pair of facts: outcome, dimension, branch."""
@@ -660,14 +666,14 @@ def text_equivalence(spark, d):
     return related_pairs(spark, d).select("a_id", "b_id", X.equivalent(a, b).alias("equivalent"), F.array_join(X.text_tokens(a), " ").alias("words_a"))
 
 
-@query(f"""{_BASE}, s AS (SELECT *, round(least(1.0, 0.30 * (CASE WHEN d_entity THEN 1.0 ELSE 0.0 END) + 0.30 * (CASE WHEN pa = pb THEN 1.0 WHEN ({_FAM})[pa] = ({_FAM})[pb] THEN 0.91 ELSE 0.0 END) + 0.25
+@query(f"""{_TURNED}, s AS (SELECT *, round(least(1.0, 0.30 * (CASE WHEN d_entity THEN 1.0 ELSE 0.0 END) + 0.30 * (CASE WHEN pa = pb THEN 1.0 WHEN ({_FAM})[pa] = ({_FAM})[pb] THEN 0.91 ELSE 0.0 END) + 0.25
   + CASE WHEN ya IS NOT NULL AND yb IS NOT NULL THEN CASE WHEN ya = yb THEN 0.10 ELSE 0.0 END WHEN sta OR stb THEN 0.10 ELSE 0.05 END + CASE WHEN a_document_id = b_document_id THEN 0.0 ELSE 0.05 END), 2) AS score FROM z),
-e AS (SELECT a_id, b_id, score, a_document_id = b_document_id AS same, unnest([a_id, b_id]) AS e FROM s WHERE a_id < b_id),
+e AS (SELECT a_id, b_id, score, a_document_id = b_document_id AS same, unnest([a_id, b_id]) AS e FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY score DESC, same ASC NULLS FIRST, a_id, b_id) AS k FROM e)
 SELECT DISTINCT a_id, b_id, score::DOUBLE AS score FROM r WHERE k <= 3""")
 def topk_either_endpoint(spark, d):
     """Related pairs that are among the three best of either fact, by the score without vectors."""
-    p = related_pairs(spark, d).where("a_id < b_id")
+    p = related_pairs(spark, d, turned=True)
     one = F.when(PR.same_entity(), 1.0).otherwise(0.0)
     p = p.withColumn("score", PR.pair_score(one, PR.predicate_similarity(F.lit(0.0)), F.lit(1.0)))
     return PR.top_k_either(p.select("a_id", "b_id", "a_document_id", "b_document_id", "score"), 3).select("a_id", "b_id", "score")
@@ -818,12 +824,18 @@ def unprocessed_documents(spark, d):
     return table(spark, d, "document_files").join(c, "id", "left_anti").select("id")
 
 
-@query("SELECT 'relationship_type' AS column, count(*) FILTER (relationship_type NOT IN ('corroborates', 'contradicts', 'reconciles', 'uncertain', 'unrelated'))::BIGINT AS rows FROM relationships")
-def contract_report(spark, d):
-    """How many relationships break each contract of the data model."""
-    from factweave.schemas import contract_report as report
+_CHECKED = ("document_files", "blocks", "chunks", "facts", "entities", "entity_aliases", "relationships")
+_RULES = [(t, c, f"{c} NOT IN ({', '.join(repr(v) for v in d.split())})") for (t, c), d in schemas.DOMAINS.items()] + [(t, c, f"NOT {c} BETWEEN 0 AND 1") for t, c in sorted(schemas.RANGES)]
+
 
-    return report(table(spark, d, "relationships"), "relationships")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, '{c}' AS column, count(*) FILTER ({rule})::BIGINT AS rows FROM {t}" for t, c, rule in _RULES if t in _CHECKED) + ") WHERE rows > 0")
+def contract_report(spark, d):
+    """How many rows of each table break each contract of the data model."""
+    out = None
+    for t in _CHECKED:
+        r = schemas.contract_report(table(spark, d, t), t).withColumn("name", F.lit(t))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 @query()
