@@ -190,8 +190,7 @@ def test_candidates_of_other_names_equal_brute_force(spark):
         assert sorted(got) == sorted({tuple(sorted(x[:2])) for v in top.values() for x in v})
 
 
-@pytest.mark.parametrize("k", [3, 10])
-def test_searched_candidates_equal_the_nested_loop(spark, scratch, k):
+def test_searched_candidates_equal_the_nested_loop(spark, scratch, k=7):
     from pyspark.sql import Window as W
 
     from factweave.plans.reference import latest_facts
