@@ -5,8 +5,8 @@ strings that can't be a stamp never leave the JVM.  The conversion runs in the
 JVM, with the rule that a local time which a clock change skips or repeats takes
 the offset in force before the change.  A stamp without offset or zone takes the
 zone of its document, which the documents' metadata state; where they don't, the
-input's definition says UTC, so estimated zones (``zone_estimates``) are a report
-beside the result and never change it.
+input's definition says UTC, so estimated zones (``zone_estimates``) and the instants
+they give (``estimated_instants``) stand beside the result and never change it.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ import re
 import zoneinfo
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factweave.session import Scratch
+
 # Zone abbreviations (European, North American, Japanese, eastern Australian), hours from UTC.
 ZONES = {
     "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 1, "BST": 1, "IST": 1, "CET": 1, "CEST": 2, "MEZ": 1, "MESZ": 2, "EET": 2, "EEST": 3, "MSK": 3,
@@ -195,9 +197,31 @@ def instants(facts: DataFrame, files: DataFrame) -> DataFrame:
     return s.select("fact_id", "field", _instant(F.col("stamp"), F.col("zone")).alias("epoch_us")).distinct()
 
 
-#: Zones tried beside those that documents state: one for each offset history that matters commercially.
+#: Of zones that fit equally well these come first, one for each offset history that matters commercially.
 CANDIDATES = ("UTC", "Europe/London", "Europe/Berlin", "Europe/Helsinki", "Europe/Moscow", "Asia/Dubai", "Asia/Kolkata", "Asia/Kathmandu", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney", "America/Sao_Paulo", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "Pacific/Honolulu")
 MINUTE = 60_000_000
+HALF_HOUR = 30 * MINUTE
+DAY = 48 * HALF_HOUR
+
+
+def offset_histories(spark: SparkSession, days: list[int], named: tuple[str, ...]) -> tuple[str, ...]:
+    """``named`` and one zone for every other offset history that the JVM's zones have on ``days``
+    (microseconds of their starts in UTC): the offset of each day and, where it changes, of each half hour."""
+    ids = spark._jvm.java.lang.String.join(",", spark._jvm.java.time.ZoneId.getAvailableZoneIds()).split(",")
+    # the zones of both databases, some 600 rows
+    zones = spark.createDataFrame([(z,) for z in sorted({*regions()} & {*ids} | {*named})], "zone string")
+    at, day = F.col("at"), F.col("day")
+    offset = lambda t: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(t), F.col("zone"))) - t
+    points = F.when(offset(day) == offset(day + DAY), F.array("day")).otherwise(F.sequence(day, day + DAY - HALF_HOUR, F.lit(HALF_HOUR)))
+    of = spark.createDataFrame([(d,) for d in days], "day long").crossJoin(F.broadcast(zones)).select("zone", F.explode(points).alias("at"))
+    history = dict(of.groupBy("zone").agg(F.bit_xor(F.xxhash64(at, offset(at)))).collect())  # a row a zone
+    known, more = {history[z] for z in named}, []
+    # names of places before those of mere offsets
+    for z in sorted({*history} - {*named}, key=lambda z: ("/" not in z or z.startswith("Etc/"), z)):
+        if history[z] not in known:
+            known.add(history[z])
+            more.append(z)
+    return (*named, *more)
 
 
 def zone_estimates(facts: DataFrame, files: DataFrame, slack_hours: float = 14.0, candidates: tuple[str, ...] | None = None) -> DataFrame:
@@ -210,23 +234,51 @@ def zone_estimates(facts: DataFrame, files: DataFrame, slack_hours: float = 14.0
     an offset or zone, else none. So an offset too far east and one too far west both cost.
     ``ties`` counts the zones that do as well, the chosen one included: one is an answer.
 
-    Only stamps within ``slack_hours`` of ``created_at``, the range of offsets, can tell zones
-    apart; they are counted per document and zone with partial aggregates. ``candidates`` are
-    ``CANDIDATES`` and all zones that documents state, unless given. Among equally
-    good zones UTC comes first, then the order of the candidates.
+    Only stamps that some zone puts less than ``slack_hours``, the range of offsets, before
+    ``created_at`` can tell zones apart; they are counted per document and zone with partial
+    aggregates. ``candidates`` are ``CANDIDATES``, all zones that documents state and one zone
+    for every other offset history there is on the days of these stamps (``offset_histories``),
+    unless given. Among equally good zones UTC comes first, then the order of the candidates.
     """
+    return _estimates(stamps(facts, files), files, slack_hours, candidates)
+
+
+def _estimates(s: DataFrame, files: DataFrame, slack_hours: float = 14.0, candidates: tuple[str, ...] | None = None) -> DataFrame:
     slack = int(slack_hours * 3.6e9)
-    s = stamps(facts, files).where("created_at is not null").withColumn("at", F.unix_micros("created_at"))
-    told = s.where("stamp.offset_s is not null or stamp.zone is not null").withColumn("lag", F.col("at") - _instant(F.col("stamp"), F.col("zone")))
-    usual = told.where(F.col("lag").between(0, slack)).agg(F.percentile_approx("lag", 0.5)).first()[0] or 0
+    s = s.where("created_at is not null").withColumn("at", F.unix_micros("created_at"))
+    undated = F.col("stamp.offset_s").isNull() & F.col("stamp.zone").isNull()
+    # offset less time to ingestion: either may take up the slack
+    near = undated & (F.col("stamp.local_us") - F.col("at")).between(-2 * slack, slack)
+    lag = F.when(~undated, F.col("at") - _instant(F.col("stamp"), F.col("zone")))
+    seen = s.agg(F.percentile_approx(F.when(lag.between(0, slack), lag), 0.5).alias("usual"), F.collect_set(F.when(near, F.floor(F.col("at") / DAY))).alias("days")).first()  # as many days as there are
+    usual = seen.usual or 0
     if candidates is None:
         stated = [r.zone for r in document_context(files).where("zone is not null").select("zone").distinct().collect()]  # at most the zones there are
         candidates = (*CANDIDATES, *sorted({*stated} - {*CANDIDATES}))
-    s = s.where("stamp.offset_s is null and stamp.zone is null").where(F.abs(F.col("stamp.local_us") - F.col("at")) <= slack)
-    tried = s.select("document_id", "zone", "at", "stamp", F.posexplode(F.array(*map(F.lit, candidates))).alias("rank", "candidate"))
+        if seen.days:
+            reach = 3 * slack // DAY + 1
+            candidates = offset_histories(s.sparkSession, sorted({(d + k) * DAY for d in seen.days for k in range(-reach, reach + 1)}), candidates)
+    tried = s.where(near).select("document_id", "zone", "at", "stamp", F.posexplode(F.array(*map(F.lit, candidates))).alias("rank", "candidate"))
     lag = F.col("at") - F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("stamp.local_us")), F.col("candidate")))
     c = tried.withColumn("lag", lag).groupBy("document_id", "zone", "rank", "candidate").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lag") < 0).alias("violations"), F.round(F.avg(F.abs(F.col("lag") - usual)) / MINUTE).cast("long").alias("away"))
     cost = F.struct("violations", "away")
     # one row a candidate
     best = c.groupBy("document_id", F.col("zone").alias("stated_zone")).agg(F.min_by("candidate", F.struct(cost, "rank")).alias("zone"), F.collect_list(cost).alias("all"), F.min(cost).alias("low"), F.max("n").alias("n"))
     return best.select("document_id", "stated_zone", "zone", F.size(F.filter("all", lambda x: x == F.col("low"))).alias("ties"), "n", F.col("low.violations").alias("violations"), F.col("low.away").alias("away"))
+
+
+def estimated_instants(facts: DataFrame, files: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fact_id, field, epoch_us, zone, told_by, ties, n) of every point in time, as ``instants``,
+    save that the zone that neither the stamp nor its document tells is the estimated one.
+
+    ``told_by`` is ``stamp``, ``document``, ``estimate`` or, where no stamp of the document
+    can tell, ``none`` (UTC); ``ties`` and ``n`` are those of an estimate.
+    """
+    s = scratch.write(stamps(facts, files))
+    e = _estimates(s, files).where("stated_zone is null").select("document_id", F.col("zone").alias("estimate"), "ties", "n")
+    s = s.join(e, "document_id", "left")
+    own = F.col("stamp.offset_s").isNotNull() | F.col("stamp.zone").isNotNull()
+    told = F.when(own, "stamp").when(F.col("zone").isNotNull(), "document").when(F.col("estimate").isNotNull(), "estimate").otherwise("none")
+    zone = F.coalesce("zone", "estimate", F.lit("UTC"))
+    s = s.select("fact_id", "field", _instant(F.col("stamp"), zone).alias("epoch_us"), F.when(own, F.col("stamp.zone")).otherwise(zone).alias("zone"), told.alias("told_by"), "ties", "n")
+    return s.select(*s.columns[:5], *(F.when(F.col("told_by") == "estimate", F.col(c)).alias(c) for c in ("ties", "n"))).distinct()

@@ -35,5 +35,12 @@ def p7_zones(spark, d):
     return zone_estimates(table(spark, d, "facts"), table(spark, d, "document_files"))
 
 
+def p7_estimated(spark, d):
+    """Points in time of facts, with the estimated zone where neither stamp nor document tells one."""
+    from factweave.operators.timestamps import estimated_instants
+
+    return estimated_instants(table(spark, d, "facts"), table(spark, d, "document_files"), Scratch(spark, "p7"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}

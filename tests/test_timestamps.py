@@ -4,7 +4,7 @@ import zoneinfo
 
 import pytest
 
-from factweave.operators.timestamps import CANDIDATES, instants, read_stamp, zone_estimates
+from factweave.operators.timestamps import CANDIDATES, estimated_instants, instants, read_stamp, zone_estimates
 
 UTC = dt.timezone.utc
 
@@ -79,3 +79,51 @@ def test_all_notations_reach_the_reader(spark):
     f = spark.createDataFrame(rows, "id string, document_id string, time_text string, time_start string, time_end string, created_at timestamp")
     got = {r.field: r.epoch_us for r in instants(f, spark.createDataFrame([("d", "{bad")], "id string, metadata_json string")).collect()}
     assert got == {"time_text": us(2024, 3, 5, 15), "time_start": us(2024, 3, 5, 14, 30), "time_end": us(2024, 3, 5, 14, 30)}
+
+
+FACTS = "id string, document_id string, time_text string, time_start string, time_end string, created_at timestamp"
+
+
+def local(t, zone):
+    return t.astimezone(zoneinfo.ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M")
+
+
+def test_zones_of_all_offset_histories_are_estimated(spark):
+    """Zones that no document states and that aren't among ``CANDIDATES``; a zone with the same offsets is as good."""
+    zones, rnd, rows, true = ("America/St_Johns", "America/Bogota", "America/Santiago", "Africa/Johannesburg", "Africa/Cairo", "Asia/Tehran", "Asia/Yangon", "Australia/Adelaide", "Pacific/Auckland", "Pacific/Chatham", "Pacific/Pago_Pago"), random.Random(3), [], {}
+    for z in zones:
+        for k in range(40):
+            at = dt.datetime(2023, 1, 1, 12, tzinfo=UTC) + dt.timedelta(days=9 * k, hours=rnd.randrange(24))
+            true[z, k] = at - dt.timedelta(minutes=rnd.randint(1, 59))
+            rows.append((f"{z}{k}", z, local(true[z, k], z), None, None, at))
+    f, files = spark.createDataFrame(rows, FACTS), spark.createDataFrame([(z, None) for z in zones], "id string, metadata_json string")
+    got = {r.document_id: r.zone for r in zone_estimates(f, files).collect()}
+    assert [z for z in zones if any(local(true[z, k], z) != local(true[z, k], got[z]) for k in range(40))] == []
+    assert {r.document_id: r.zone for r in zone_estimates(f, files, candidates=("UTC", "Asia/Tokyo")).collect()}["Pacific/Auckland"] == "Asia/Tokyo"
+
+
+def test_long_lags_of_western_zones_are_kept(spark):
+    """Lags of up to 12 hours, as of stamps with an offset: from Los Angeles the longer ones lie over 14 hours back."""
+    rows = []
+    for k in range(120):
+        at = dt.datetime(2023, 5, 1, tzinfo=UTC) + dt.timedelta(hours=7 * k)
+        t = at - dt.timedelta(minutes=6 * k)
+        rows += [(f"a{k}", "told", t.strftime("%Y-%m-%dT%H:%M:00Z"), None, None, at), (f"b{k}", "la", local(t, "America/Los_Angeles"), None, None, at), (f"c{k}", "tokyo", local(t, "Asia/Tokyo"), None, None, at)]
+    got = {r.document_id: (r.zone, r.n) for r in zone_estimates(spark.createDataFrame(rows, FACTS), spark.createDataFrame([("la", None)], "id string, metadata_json string")).collect()}
+    assert got == {"la": ("America/Los_Angeles", 120), "tokyo": ("Asia/Tokyo", 120)}
+
+
+def test_instants_by_estimated_zone(spark, scratch):
+    at = [dt.datetime(2023, 1, 1, 18, tzinfo=UTC) + dt.timedelta(days=9 * k) for k in range(40)]
+    rows = [(f"e{k}", "ny", local(t - dt.timedelta(minutes=5), "America/New_York"), None, None, t) for k, t in enumerate(at)]
+    rows += [("old", "ny", "2010-07-01 12:00", "2010-07-01 12:00 JST", "2010", at[0]), ("old", "ny", "2010-07-01 12:00", None, None, at[1]), ("told", "berlin", "2010-07-01 12:00", None, None, at[0]), ("far", "lone", "2010-07-01 12:00", None, None, at[0]), ("null", None, None, "2010-07-01 12:00", None, None)]
+    f, files = spark.createDataFrame(rows, FACTS), spark.createDataFrame([("ny", None), ("berlin", '{"timezone": "Europe/Berlin"}'), ("lone", "{bad")], "id string, metadata_json string")
+    got = {(r.fact_id, r.field): (r.epoch_us, r.zone, r.told_by, r.n) for r in estimated_instants(f, files, scratch).collect()}
+    assert len(got) == 45 and all(got[f"e{k}", "time_text"][0] == us(2023, 1, 1, 17, 55) + 9 * k * 86_400_000_000 for k in range(40))
+    assert got["old", "time_text"] == (us(2010, 7, 1, 16), "America/New_York", "estimate", 40) and got["old", "time_start"] == (us(2010, 7, 1, 3), None, "stamp", None)
+    assert got["told", "time_text"] == (us(2010, 7, 1, 10), "Europe/Berlin", "document", None)
+    assert got["far", "time_text"] == got["null", "time_start"] == (us(2010, 7, 1, 12), "UTC", "none", None)
+    # the required result goes by what is stated
+    plain = {(r.fact_id, r.field): r.epoch_us for r in instants(f, files).collect()}
+    assert plain.keys() == got.keys() and plain["old", "time_text"] == us(2010, 7, 1, 12)
+    assert estimated_instants(f.limit(0), files, scratch).count() == 0
