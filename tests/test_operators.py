@@ -219,6 +219,43 @@ def test_searched_candidates_of_odd_facts(spark, scratch):
     assert PR.search_candidates(f, ents, f.limit(0), scratch).count() == 0 and PR.search_candidates(f.limit(0), ents, f, scratch).count() == 0
 
 
+def test_searched_candidates_meet_only_what_can_rank(spark, scratch):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    names, metrics = [f"{word(7)} {word(8)}" for _ in range(12)], [word(12) for _ in range(30)]
+    rows = [row(f"f{k:05}", n=1.0, p=metrics[k // 12 % 30], subj=names[k % 12], doc=f"d{k % 50}", t="FY2023") for k in range(6000)]
+    f = spark.createDataFrame([r[:18] for r in rows], ", ".join(SCHEMA.split(", ")[:18]))
+    ents = spark.createDataFrame([], "id string, canonical_name string, entity_type string")
+    work = spark.sparkContext.accumulator(0)
+    got = PR.search_candidates(f, ents, f.where("id like '%00'"), scratch, work=work).collect()
+    # no fact of another metric comes near ten facts of the same name and metric
+    assert 0 < work.value < 0.5 * 60 * 6000 and len(got) == 600 and all(r.entity_similarity == r.predicate_similarity == 1.0 for r in got)
+    of = {r[0]: (r[3], r[4], r[1]) for r in rows}
+    for a in {r.a_id for r in got}:
+        alike = sorted((of[a][2] == of[b][2], b) for b in of if b != a and of[b][:2] == of[a][:2])
+        assert [r.b_id for r in sorted((r for r in got if r.a_id == a), key=lambda r: r.rank)] == [b for _, b in alike[:10]]
+
+
+def test_names_are_bounded(k=400):
+    import difflib
+
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(3)
+    names = ["", "a", "\u00e9" * 70, "x" * 64, *(" ".join("".join(rnd.choice("abcd\u00e9") for _ in range(rnd.randint(1, 7))) for _ in range(rnd.randint(1, 4))) for _ in range(k))]
+    one = {"document": None, "entity": None, "kind": None, "predicate": "p", "currency": "", "unit": "", "percent": False, "money": False, "stated": False, "year": None, "family": None, "text": ""}
+    q = PR._Side(pd.DataFrame([{"id": str(i), "name": n, **one} for i, n in enumerate(names[: k // 2])]))
+    b = PR._Side(pd.DataFrame([{"id": str(i), "name": n, **one} for i, n in enumerate(names)]), q)
+    i, j = np.repeat(np.arange(len(q.names)), len(b.names)), np.tile(np.arange(len(b.names)), len(q.names))
+    first, second = PR._shared_names(q, b, np.arange(len(q.names)), np.arange(len(b.names))).ravel(), PR._ordered(q, b, i, j)
+    for x in rnd.sample(range(len(i)), 4000):
+        m, n = q.names[i[x]], b.names[j[x]]
+        u, v = {*m.split()}, {*n.split()}
+        true = round(max(difflib.SequenceMatcher(None, m, n).ratio(), len(u & v) / len(u | v) if u or v else 0.0), 4)
+        assert true <= first[x] + 1e-6 and true <= second[x] + 1e-6
+
+
 def test_missing_entities_are_resolved(spark):
     ents = spark.createDataFrame([("e1", "Acme Mining", "company", 1.0)], "id string, canonical_name string, entity_type string, confidence double")
     aliases = spark.createDataFrame([("e1", "AM")], "entity_id string, alias string")
